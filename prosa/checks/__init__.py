@@ -1,0 +1,6 @@
+"""Registered queries with the SQL that checks them."""
+
+from prosa.checks import core  # noqa: F401  (registers)
+from prosa.checks.base import ORACLE, QUERIES
+
+__all__ = ["ORACLE", "QUERIES"]

@@ -26,6 +26,7 @@ def build_session(app: str = "prosa", master: str | None = None, **conf: str) ->
         builder = (
             builder.master(master)
             .config("spark.ui.enabled", "false")
+            .config("spark.ui.showConsoleProgress", "false")
             .config("spark.driver.memory", "12g")
             .config("spark.sql.shuffle.partitions", "8")
         )

@@ -55,8 +55,9 @@ def read_source(spark: SparkSession, path: str, schema: T.StructType | str | Non
 def nanos_to_timestamp(df: DataFrame, *columns: str) -> DataFrame:
     """Nanosecond Parquet timestamps, read as long with ``spark.sql.legacy.parquet.nanosAsLong``,
     to microsecond timestamps."""
+    # Integer arithmetic: nanoseconds do not fit a double.
     return df.withColumns({
-        c: F.timestamp_micros(F.floor(F.col(c) / F.lit(1000)).cast("long")) for c in columns})
+        c: F.timestamp_micros(F.expr(f"(`{c}` - pmod(`{c}`, 1000L)) div 1000L")) for c in columns})
 
 
 def _folders(spark: SparkSession, path: str) -> list[str]:
