@@ -7,13 +7,14 @@ import os
 from pyspark.sql import functions as F
 
 from prosa.checks.base import (
-    bronze_of, conversations_of, entity_columns, masked, messages_of, notebook_conversations,
+    SEGMENTS, bronze_of, conversations_of, entity_columns, masked, messages_of, notebook_conversations,
     notebook_messages, notebook_source, over_cleaned, over_conversations, over_messages,
     over_silver, query,
 )
 from prosa.operators import bronze as B
 from prosa.operators import conversations as C
 from prosa.operators import silver
+from prosa.operators.segments import DIMENSIONS, gold_segmentation
 from prosa.params import NOTEBOOK
 from prosa.schemas import SOURCE_MESSAGES
 from prosa.session import scratch_dir
@@ -338,13 +339,14 @@ def _(spark, d):
         F.array_join(all_matches("text", P.CEP), ";").alias("ceps"))
 
 
-@query("gold_pii_leaks", over_conversations("""
-    SELECT c.coluna AS column, 0::BIGINT AS leaks FROM (VALUES ('conversation_id'), ('conversation_outcome'),
-      ('seg_engajamento'), ('seg_velocidade_resposta'), ('seg_veiculo'), ('seg_regiao'), ('seg_origem'),
-      ('seg_duracao'), ('seg_qualificacao_lead'), ('agent_id'), ('campaign_id'), ('lead_source'), ('lead_state'),
-      ('lead_city')) c(coluna)"""))
+_GOLD_TEXT = ("conversation_id", "conversation_outcome", *DIMENSIONS, "agent_id", "campaign_id", "lead_source",
+              "lead_state", "lead_city")
+
+
+@query("gold_pii_leaks", over_conversations(" UNION ALL ".join(
+    rf"SELECT '{c}' AS column, count(*) FILTER (regexp_matches({c}, '\b\d{{3}}\.?\d{{3}}\.?\d{{3}}-?\d{{2}}\b|@')) AS leaks "
+    "FROM gold_segments" for c in _GOLD_TEXT), SEGMENTS))
 def _(spark, d):
-    from prosa.operators.segments import gold_segmentation
     return silver.leaks(gold_segmentation(conversations_of(spark, d)))
 
 

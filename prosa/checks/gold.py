@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from prosa.checks.base import (
     CAMPAIGNS, PERSONAS, SCORES, SEGMENTS, SELLERS, SENTIMENT, conversations_of, messages_of,
-    notebook_conversations, notebook_messages, over_conversations, over_silver, query, scored_of,
+    notebook_messages, over_conversations, over_silver, query, scored_of,
     segmented_of,
 )
 from prosa.operators import charts, competition, leads, personas, segments, sellers, sentiment, timing

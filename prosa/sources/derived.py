@@ -82,7 +82,7 @@ step_versions AS (
          CAST(l_quantity AS BIGINT) AS rows_output,
          CASE WHEN l_returnflag = 'R' THEN concat('erro ', CAST(l_suppkey AS STRING)) END AS error_message,
          concat(lpad(CAST(l_partkey AS STRING), 12, '0'), '_', lpad(CAST(l_suppkey AS STRING), 12, '0'), '_',
-                CAST(CAST(l_extendedprice * 100 AS BIGINT) AS STRING)) AS written
+                CAST(CAST(round(l_extendedprice * 100) AS BIGINT) AS STRING)) AS written
   FROM lineitem)
 """
 

@@ -145,6 +145,9 @@ class Tables:
         if any(own in f.replace("file://", "") for f in df.inputFiles()):
             raise ValueError(f"{path} is read by the rows that would replace it; write to another path")
         df.withColumn(BATCH, F.lit(0)).write.mode("overwrite").partitionBy(BATCH).parquet(path)
+        if f"{BATCH}=0" not in _folders(self.spark, path):
+            # No rows, so no folder: keep the schema readable.
+            df.limit(0).write.mode("overwrite").parquet(f"{path}/{BATCH}=0")
         return 0
 
     def write(self, df: DataFrame, name: str, mode: str = "overwrite") -> int:
