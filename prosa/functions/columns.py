@@ -89,12 +89,10 @@ def hash16(value: Column | str) -> Column:
     return F.substring(F.sha2(col(value), 256), 1, 16)
 
 
-def first_match(value: Column | str, pattern: str, needs: str | None = None) -> Column:
-    """First match or null. ``needs`` is a literal every match contains: rows without it skip
-    the regular expression."""
-    value = col(value)
-    found = F.nullif(F.regexp_extract(value, pattern, 0), F.lit(""))
-    return F.when(value.contains(needs), found) if needs else found
+def first_match(value: Column | str, pattern: str, where: Column | None = None) -> Column:
+    """First match or null. Rows outside ``where`` skip the regular expression."""
+    found = F.nullif(F.regexp_extract(col(value), pattern, 0), F.lit(""))
+    return found if where is None else F.when(where, found)
 
 
 def all_matches(value: Column | str, pattern: str) -> Column:
@@ -103,9 +101,8 @@ def all_matches(value: Column | str, pattern: str) -> Column:
     return F.coalesce(F.array_sort(F.array_distinct(found)), F.array().cast("array<string>"))
 
 
-def replace_all(value: Column, pattern: str, tag: str, needs: str | None = None) -> Column:
-    replaced = F.regexp_replace(value, pattern, tag)
-    return F.when(value.contains(needs), replaced).otherwise(value) if needs else replaced
+def replace_all(value: Column, pattern: str, tag: str, where: Column) -> Column:
+    return F.when(where, F.regexp_replace(value, pattern, tag)).otherwise(value)
 
 
 def strip(value: Column | str) -> Column:

@@ -113,10 +113,10 @@ def split_batches(df: DataFrame, batches: int, order: tuple[str, ...] = ("timest
 
     Write the result with ``partitionBy("batch")`` to get one folder per batch.
     """
-    numbered = position(df, order, alias="_position")
-    size = F.floor(df.agg(F.count(F.lit(1))).scalar() / F.lit(batches))
-    last = F.lit(batches - 1)
-    batch = F.when(size > 0, F.least(F.floor((F.col("_position") - 1) / size), last)).otherwise(last)
+    rows = df.count()
+    size, last = rows // batches, F.lit(batches - 1)
+    numbered = position(df, order, alias="_position", rows=rows)
+    batch = F.least(F.floor((F.col("_position") - 1) / size), last) if size else last
     return numbered.withColumn("batch", batch.cast("int")).drop("_position")
 
 

@@ -57,12 +57,14 @@ def running_sum(
     alias: str,
     within: Sequence[str] = (),
     rows_per_slice: int = ROWS_PER_SLICE,
+    rows: int | None = None,
 ) -> DataFrame:
     """Running total of ``value`` over the whole table (or within groups) in ``order``.
 
-    Groups may be of any size: a group is cut into slices like the table is.
+    Groups may be of any size: a group is cut into slices like the table is. ``rows`` saves the
+    count where the caller has it.
     """
-    rows = df.count()
+    rows = df.count() if rows is None else rows
     slices = min(MAX_SLICES, -(-rows // rows_per_slice))
     points = split_points(df, order, slices, rows)
     sliced = df.withColumn("_value", value)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from typing import Any, Mapping, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -120,92 +120,108 @@ _FLAT = (T.StringType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNT
 
 
 def _entries(counted: DataFrame, columns: Sequence[tuple[str, Mapping[str, Any]]]) -> DataFrame:
-    """One aggregate row to one row per profiled column."""
+    """One aggregate row to one row per column."""
     rows = F.array(*[
         F.struct(F.lit(name).alias("coluna"), *[c.alias(alias) for alias, c in parts.items()])
         for name, parts in columns])
     return counted.select(F.inline(rows))
 
 
-def profile(df: DataFrame, exact: bool = True) -> DataFrame:
-    """Type, nulls, null percent, distinct values (null counts as one) and an example per column.
+def _as_text(field: T.StructField):
+    value = F.col(f"`{field.name}`")
+    if isinstance(field.dataType, (T.DoubleType, T.FloatType)):
+        value = value + F.lit(0.0)  # one zero, not two
+    return value.cast("string") if isinstance(field.dataType, _FLAT) else F.to_json(value)
+
 
-    ``exact=False`` replaces the distinct counts by HyperLogLog sketches: one pass without the
-    row expansion that exact counts over many columns need.
+def column_values(df: DataFrame, exact: bool = True) -> DataFrame:
+    """Rows, nulls, distinct values (null counts as one) and an example per column.
+
+    Exact: the cells are counted per column and value, with map-side combining, then per column.
+    A value that fills a third of the table is one row per map task, and no task holds a set of
+    values. ``exact=False`` keeps a HyperLogLog sketch per column instead: no shuffle of values.
     """
-    uniques = F.count_distinct if exact else F.approx_count_distinct
-    aggregates = [F.count(F.lit(1)).alias("_total")]
-    columns = []
-    for i, field in enumerate(df.schema.fields):
-        value = F.col(f"`{field.name}`")
-        counted = value if isinstance(field.dataType, _FLAT) else F.to_json(value)
-        aggregates += [
-            F.count_if(value.isNull()).alias(f"_n{i}"),
-            uniques(counted).alias(f"_u{i}"),
-            F.min(F.substring(counted.cast("string"), 1, 100)).alias(f"_e{i}"),
-        ]
-        nulls = F.col(f"_n{i}")
-        columns.append((field.name, {
-            "tipo": F.lit(field.dataType.simpleString()),
-            "nulos": nulls,
-            "nulos_pct": _percent(nulls, F.col("_total")),
-            "valores_unicos": F.col(f"_u{i}") + F.when(nulls > 0, 1).otherwise(0),
-            "exemplo": F.coalesce(F.col(f"_e{i}"), F.lit("")),
-        }))
-    return _entries(df.agg(*aggregates), columns)
+    fields = df.schema.fields
+    if not exact:
+        aggregates, columns = [F.count(F.lit(1)).alias("_total")], []
+        for i, field in enumerate(fields):
+            text, nulls = _as_text(field), F.col(f"_n{i}")
+            aggregates += [F.count_if(F.col(f"`{field.name}`").isNull()).alias(f"_n{i}"),
+                           F.approx_count_distinct(text).alias(f"_u{i}"),
+                           F.min(F.substring(text, 1, 100)).alias(f"_e{i}")]
+            columns.append((field.name, {
+                "linhas": F.col("_total"), "nulos": nulls,
+                "valores_unicos": F.col(f"_u{i}") + F.when(nulls > 0, 1).otherwise(0),
+                "exemplo": F.coalesce(F.col(f"_e{i}"), F.lit(""))}))
+        return _entries(df.agg(*aggregates), columns)
+
+    cells = df.select(F.inline(F.array(*[
+        F.struct(F.lit(i).alias("_i"), _as_text(field).alias("_v")) for i, field in enumerate(fields)])))
+    values = cells.groupBy("_i", "_v").agg(F.count(F.lit(1)).alias("_n"))
+    # A row without cells per column keeps the columns of an empty table.
+    none = df.sparkSession.createDataFrame([(i, None, 0) for i in range(len(fields))], "_i int, _v string, _n long")
+    name = F.element_at(F.array(*[F.lit(f.name) for f in fields]), F.col("_i") + 1)
+    return values.unionByName(none).groupBy("_i").agg(
+        F.sum("_n").alias("linhas"),
+        F.sum(F.when(F.col("_v").isNull(), F.col("_n")).otherwise(0)).alias("nulos"),
+        F.count_if(F.col("_n") > 0).alias("valores_unicos"),
+        F.coalesce(F.min(F.substring("_v", 1, 100)), F.lit("")).alias("exemplo"),
+    ).select(name.alias("coluna"), "linhas", "nulos", "valores_unicos", "exemplo")
+
+
+def _types(df: DataFrame):
+    names = F.array(*[F.lit(f.name) for f in df.schema.fields])
+    kinds = F.array(*[F.lit(f.dataType.simpleString()) for f in df.schema.fields])
+    return F.element_at(kinds, F.array_position(names, F.col("coluna")).cast("int"))
+
+
+def profile(df: DataFrame, exact: bool = True) -> DataFrame:
+    """Type, nulls, null percent, distinct values and an example per column."""
+    return column_values(df, exact).select(
+        "coluna", _types(df).alias("tipo"), "nulos",
+        _percent(F.col("nulos"), F.col("linhas")).alias("nulos_pct"), "valores_unicos", "exemplo")
 
 
 def column_statistics(df: DataFrame, exact: bool = True) -> DataFrame:
     """Type, nulls and distinct values per column; minimum, maximum and mean of numeric ones."""
-    uniques = F.count_distinct if exact else F.approx_count_distinct
-    aggregates, columns = [F.count(F.lit(1)).alias("_total")], []
-    for i, field in enumerate(df.schema.fields):
-        value = F.col(f"`{field.name}`")
-        counted = value if isinstance(field.dataType, _FLAT) else F.to_json(value)
-        aggregates += [F.count_if(value.isNull()).alias(f"_n{i}"), uniques(counted).alias(f"_u{i}")]
-        numeric = isinstance(field.dataType, _NUMBERS)
-        if numeric:
-            aggregates += [F.min(value).cast("double").alias(f"_l{i}"),
-                           F.max(value).cast("double").alias(f"_h{i}"),
-                           F.avg(value).alias(f"_m{i}")]
-        none = F.lit(None).cast("double")
-        columns.append((field.name, {
-            "tipo": F.lit(field.dataType.simpleString()),
-            "nulos": F.col(f"_n{i}"),
-            "unicos": F.col(f"_u{i}") + F.when(F.col(f"_n{i}") > 0, 1).otherwise(0),
-            "min": F.col(f"_l{i}") if numeric else none,
-            "max": F.col(f"_h{i}") if numeric else none,
-            "media": F.col(f"_m{i}") if numeric else none,
-        }))
-    return _entries(df.agg(*aggregates), columns)
+    numeric = [f.name for f in df.schema.fields if isinstance(f.dataType, _NUMBERS)]
+    counted = column_values(df, exact).select(
+        "coluna", _types(df).alias("tipo"), "nulos", F.col("valores_unicos").alias("unicos"))
+    none = F.lit(None).cast("double")
+    if not numeric:
+        return counted.withColumns({"min": none, "max": none, "media": none})
+    aggregates, columns = [], []
+    for i, name in enumerate(numeric):
+        value = F.col(f"`{name}`")
+        aggregates += [F.min(value).cast("double").alias(f"_l{i}"), F.max(value).cast("double").alias(f"_h{i}"),
+                       F.avg(value).alias(f"_m{i}")]
+        columns.append((name, {"min": F.col(f"_l{i}"), "max": F.col(f"_h{i}"), "media": F.col(f"_m{i}")}))
+    return counted.join(_entries(df.agg(*aggregates), columns), "coluna", "left")
+
+
+def _class_of(kind: T.DataType) -> str:
+    if isinstance(kind, _NUMBERS):
+        return "numerica"
+    if isinstance(kind, T.StringType):
+        return "categorica"
+    if isinstance(kind, T.BooleanType):
+        return "booleana"
+    if isinstance(kind, (T.DateType, T.TimestampType, T.TimestampNTZType)):
+        return "temporal"
+    return "outra"
 
 
 def column_classes(df: DataFrame, most: int = 15, exact: bool = True) -> DataFrame:
     """Class of each column, distinct values of text columns (null counts as one), and whether a
     text column is fit for grouping: 2 to ``most`` values."""
-    uniques = F.count_distinct if exact else F.approx_count_distinct
-    aggregates, columns = [], []
-    for i, field in enumerate(df.schema.fields):
-        value, kind = F.col(f"`{field.name}`"), field.dataType
-        if isinstance(kind, _NUMBERS):
-            label = "numerica"
-        elif isinstance(kind, T.StringType):
-            label = "categorica"
-        elif isinstance(kind, T.BooleanType):
-            label = "booleana"
-        elif isinstance(kind, (T.DateType, T.TimestampType, T.TimestampNTZType)):
-            label = "temporal"
-        else:
-            label = "outra"
-        if label == "categorica":
-            aggregates += [uniques(value).alias(f"_u{i}"),
-                           F.max(F.when(value.isNull(), 1).otherwise(0)).alias(f"_n{i}")]
-            values = F.col(f"_u{i}") + F.coalesce(F.col(f"_n{i}"), F.lit(0))
-            fit = values.between(2, most)
-        else:
-            values, fit = F.lit(None).cast("long"), F.lit(False)
-        columns.append((field.name, {"classe": F.lit(label), "valores_unicos": values, "agrupavel": fit}))
-    return _entries(df.agg(*(aggregates or [F.count(F.lit(1)).alias("_rows")])), columns)
+    classes = df.sparkSession.createDataFrame(
+        [(f.name, _class_of(f.dataType)) for f in df.schema.fields], "coluna string, classe string")
+    texts = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
+    if not texts:
+        return classes.withColumns({"valores_unicos": F.lit(None).cast("long"), "agrupavel": F.lit(False)})
+    values = column_values(df.select(*[F.col(f"`{n}`") for n in texts]), exact).select("coluna", "valores_unicos")
+    fit = F.coalesce(F.col("valores_unicos").between(2, most), F.lit(False))
+    return classes.join(values, "coluna", "left").withColumn("agrupavel", fit)
 
 
 def preview(df: DataFrame, rows: int = 5) -> DataFrame:

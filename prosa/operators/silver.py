@@ -74,41 +74,66 @@ def cleaning_stats(bronze: DataFrame, cleaned: DataFrame) -> DataFrame:
 
 # --- first entity per message ---------------------------------------------------------------
 
-def extract(df: DataFrame, body: str = "message_body_normalized") -> DataFrame:
-    """First CPF, e-mail, CEP, plate and competitor of the text, hashed or normalised, and flags.
+_HINTS = ("_digits", "_at", "_name")
 
-    Each pattern runs once per row: flags come from the match. Null and empty text give nulls and
-    false.
-    """
+
+def _with_hints(df: DataFrame, body: str) -> DataFrame:
+    """Cheap necessary conditions, found once per row and shared by search and masking."""
+    text = F.col(body)
+    return df.withColumns({
+        "_digits": F.coalesce(text.rlike(P.SOME_DIGITS), F.lit(False)),
+        "_at": F.coalesce(text.contains("@"), F.lit(False)),
+        "_name": F.coalesce(text.rlike(P.SOME_NAME), F.lit(False)),
+    })
+
+
+def _extract(df: DataFrame, body: str) -> DataFrame:
+    digits = F.col("_digits")
     found = df.withColumns({
-        "_cpf": first_match(body, P.CPF),
-        "_email": first_match(body, P.EMAIL, needs="@"),
-        "_cep": first_match(body, P.CEP),
-        "_plate": first_match(body, P.PLATE),
-        "_competitor": first_match(body, P.COMPETITOR),
+        "_cpf": first_match(body, P.CPF, digits),
+        "_email": first_match(body, P.EMAIL, F.col("_at")),
+        "_cep": first_match(body, P.CEP, digits),
+        "_plate": first_match(body, P.PLATE, digits),
+        "_competitor": first_match(body, P.COMPETITOR, F.col("_name")),
     })
     return found.withColumns({
         "extracted_cpf_hash": hash16("_cpf"),
         "extracted_email_hash": hash16(F.lower("_email")),
-        "extracted_cep": F.regexp_replace("_cep", rf"\P{{Nd}}", ""),
+        "extracted_cep": F.regexp_replace("_cep", r"\P{Nd}", ""),
         "extracted_plate": F.upper("_plate"),
         "extracted_competitor": F.lower("_competitor"),
         "pii_cpf_found": F.col("_cpf").isNotNull(),
         "pii_email_found": F.col("_email").isNotNull(),
         "pii_cep_found": F.col("_cep").isNotNull(),
-        "pii_phone_found": F.coalesce(F.col(body).rlike(P.PHONE), F.lit(False)),
+        "pii_phone_found": F.when(digits, F.col(body).rlike(P.PHONE)).otherwise(F.lit(False)),
     }).drop("_cpf", "_email", "_cep", "_plate", "_competitor")
 
 
+def _mask(df: DataFrame, body: str, alias: str) -> DataFrame:
+    # One step per tag: each result is used twice and must not be computed twice.
+    digits = F.col("_digits")
+    steps = ((P.CPF, "[CPF_MASKED]", digits), (P.EMAIL, "[EMAIL_MASKED]", F.col("_at")),
+             (P.CEP, "[CEP_MASKED]", digits), (P.PHONE, "[PHONE_MASKED]", digits))
+    df = df.withColumn(alias, F.col(body))
+    for pattern, tag, where in steps:
+        df = df.withColumn(alias, replace_all(F.col(alias), pattern, tag, where))
+    return df
+
+
+def extract(df: DataFrame, body: str = "message_body_normalized") -> DataFrame:
+    """First CPF, e-mail, CEP, plate and competitor of the text, hashed or normalised, and flags.
+
+    Each pattern runs at most once per row: flags come from the match. Null and empty text give
+    nulls and false.
+    """
+    return _extract(_with_hints(df, body), body).drop(*_HINTS)
+
+
 def with_mask(df: DataFrame, body: str = "message_body_normalized",
               alias: str = "message_body_masked") -> DataFrame:
-    """Tags in place of personal data, in this order: it decides what an 11-digit number becomes."""
-    text = replace_all(F.col(body), P.CPF, "[CPF_MASKED]")
-    df = df.withColumn(alias, text)
-    # A step of its own: the condition uses its input twice.
-    df = df.withColumn(alias, replace_all(F.col(alias), P.EMAIL, "[EMAIL_MASKED]", needs="@"))
-    text = replace_all(F.col(alias), P.CEP, "[CEP_MASKED]")
-    return df.withColumn(alias, replace_all(text, P.PHONE, "[PHONE_MASKED]"))
+    """Tags in place of personal data, in the order CPF, e-mail, CEP, phone: it decides what an
+    11-digit number becomes."""
+    return _mask(_with_hints(df, body), body, alias).drop(*_HINTS)
 
 
 def extraction_stats(messages: DataFrame) -> DataFrame:
@@ -163,4 +188,6 @@ def silver_messages(bronze: DataFrame, profile: Profile = CANONICAL) -> DataFram
     cleaned = clean(bronze, profile)
     if profile.name == "notebook":
         return extract_all(cleaned)
-    return extract(with_mask(cleaned))
+    body = "message_body_normalized"
+    hinted = _with_hints(cleaned, body)
+    return _extract(_mask(hinted, body, "message_body_masked"), body).drop(*_HINTS)

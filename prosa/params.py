@@ -58,14 +58,22 @@ NOTEBOOK_COMPETITORS = (
 
 # --- Fixed values: patterns, in Java syntax with Unicode word edges ------------------------
 
+# The digit patterns take their digits first and look back afterwards: most text has no digit, and
+# a position without one is then left at once.
+
 D = r"\p{Nd}"
-CPF = rf"{NOT_AFTER_WORD}{D}{{3}}\.?{D}{{3}}\.?{D}{{3}}-?{D}{{2}}{NOT_BEFORE_WORD}"
-CEP = rf"{NOT_AFTER_WORD}{D}{{5}}-?{D}{{3}}{NOT_BEFORE_WORD}"
+CPF = rf"{D}{{3}}(?<!{WORD}{D}{{3}})\.?{D}{{3}}\.?{D}{{3}}-?{D}{{2}}{NOT_BEFORE_WORD}"
+CEP = rf"{D}{{5}}(?<!{WORD}{D}{{5}})-?{D}{{3}}{NOT_BEFORE_WORD}"
 EMAIL = rf"(?iu){NOT_AFTER_WORD}{WORD}[\p{{L}}\p{{N}}_.+-]*+@[\p{{L}}\p{{N}}_-]++\.[a-z]{{2,}}{NOT_BEFORE_WORD}"
 PLATE = rf"(?iu){NOT_AFTER_WORD}[A-Z]{{3}}{D}[A-Z0-9]{D}{{2}}{NOT_BEFORE_WORD}"
 PHONE = rf"\(?{D}{{2}}\)?{SPACE}?{D}{{4,5}}-?{D}{{4}}{NOT_BEFORE_WORD}"
 COMPETITOR = rf"(?iu){NOT_AFTER_WORD}(?:{'|'.join(COMPETITORS)}){NOT_BEFORE_WORD}"
 
+# Every CPF, CEP, plate and phone contains the first, every competitor name the second. Rows
+# without them skip the patterns above.
+SOME_DIGITS = rf"{D}{{2}}"
+SOME_NAME = r"[EeLlAaMmUu](?iu:guro|lianz|pfre|arine|hai)"
+
 ANY_EMAIL = rf"{EDGE}[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{{2,}}{EDGE}"
 ANY_PHONE = rf"{EDGE}(?:\+55{SPACE}?)?\(?{D}{{2}}\)?{SPACE}?{D}{{4,5}}-?{D}{{4}}{NOT_BEFORE_WORD}"
 ANY_PLATE = rf"{NOT_AFTER_WORD}[A-Z]{{3}}{D}[A-Z0-9]{D}{{2}}{NOT_BEFORE_WORD}"

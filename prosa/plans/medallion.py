@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from typing import Any
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from prosa.operators import bronze as B
@@ -32,13 +32,18 @@ def ingest(tables: Tables, source_path: str, mode: str = "auto", profile: Profil
             fresh = B.new_rows(B.cast_timestamp(raw), held)
     else:
         fresh = raw if profile.name == "notebook" else B.cast_timestamp(raw)
+    incremental = mode_used == "incremental"
+    if incremental and exists:
+        # Compared once, used twice: to see whether there is anything, and to write it.
+        fresh = fresh.persist()
+        if fresh.isEmpty():
+            fresh.unpersist()
+            return {"rows_read": rows_read, "rows_written": 0, "mode": "incremental", "status": "no_new_data"}
     typed = B.stamp(B.parse_metadata(fresh, profile), source_path)
-
-    if mode_used == "incremental" and exists and fresh.isEmpty():
-        return {"rows_read": rows_read, "rows_written": 0, "mode": "incremental", "status": "no_new_data"}
     seen = Observation("ingest")
     observed = typed.observe(seen, F.count(F.lit(1)).alias("rows"))
-    version = tables.write(observed, "bronze", "append" if mode_used == "incremental" else "overwrite")
+    version = tables.write(observed, "bronze", "append" if incremental else "overwrite")
+    fresh.unpersist()
     return {
         "rows_read": rows_read, "rows_written": seen.get["rows"], "total_rows": tables.count("bronze"),
         "mode": mode_used, "version": version, "status": "success",

@@ -80,10 +80,12 @@ class Tables:
         """Path of a logical name; an unknown name is a path already."""
         return os.path.join(self.root, self.layout[name]) if name in self.layout else name
 
-    def read(self, name: str, as_of: int | None = None) -> DataFrame:
+    def read(self, name: str, as_of: int | None = None, merge_schema: bool | None = None) -> DataFrame:
         """The table, or its state after batch (Delta: version) ``as_of``.
 
         A table folder, a single file and a folder of plain Parquet files read the same way.
+        Schemas are merged, which reads every footer, only for a table of several batches:
+        one write gives one schema.
         """
         path = self.path(name)
         if self.fmt == "delta":
@@ -91,7 +93,9 @@ class Tables:
             if as_of is not None:
                 reader = reader.option("versionAsOf", as_of)
             return reader.load(path)
-        df = self.spark.read.option("mergeSchema", True).parquet(path)
+        if merge_schema is None:
+            merge_schema = sum(f.startswith(f"{BATCH}=") for f in _folders(self.spark, path)) > 1
+        df = self.spark.read.option("mergeSchema", merge_schema).parquet(path)
         if BATCH not in df.columns:
             return df
         if as_of is not None:
