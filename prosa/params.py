@@ -64,7 +64,7 @@ NOTEBOOK_COMPETITORS = (
 D = r"\p{Nd}"
 CPF = rf"{D}{{3}}(?<!{WORD}{D}{{3}})\.?{D}{{3}}\.?{D}{{3}}-?{D}{{2}}{NOT_BEFORE_WORD}"
 CEP = rf"{D}{{5}}(?<!{WORD}{D}{{5}})-?{D}{{3}}{NOT_BEFORE_WORD}"
-EMAIL = rf"(?iu){NOT_AFTER_WORD}{WORD}[\p{{L}}\p{{N}}_.+-]*+@[\p{{L}}\p{{N}}_-]++\.[a-z]{{2,}}{NOT_BEFORE_WORD}"
+EMAIL = rf"(?iu){EDGE}[\p{{L}}\p{{N}}_.+-]++@[\p{{L}}\p{{N}}_-]++\.[a-z]{{2,}}{NOT_BEFORE_WORD}"
 PLATE = rf"(?iu){NOT_AFTER_WORD}[A-Z]{{3}}{D}[A-Z0-9]{D}{{2}}{NOT_BEFORE_WORD}"
 PHONE = rf"\(?{D}{{2}}\)?{SPACE}?{D}{{4,5}}-?{D}{{4}}{NOT_BEFORE_WORD}"
 COMPETITOR = rf"(?iu){NOT_AFTER_WORD}(?:{'|'.join(COMPETITORS)}){NOT_BEFORE_WORD}"
