@@ -284,9 +284,9 @@ CAMPAIGNS = """
 campaigns AS (
   SELECT campaign_id, count(*) AS total_conversas,
          count(*) FILTER (conversation_outcome = 'venda_fechada') AS vendas,
-         round(avg(total_messages), 1) AS media_mensagens,
-         round(avg(avg_response_time_sec), 1) AS media_tempo_resposta,
-         round(avg(lead_score), 1) AS media_lead_score,
+         round(round(avg(total_messages), 6), 1) AS media_mensagens,
+         round(round(avg(avg_response_time_sec), 6), 1) AS media_tempo_resposta,
+         round(round(avg(lead_score), 6), 1) AS media_lead_score,
          round(count(*) FILTER (conversation_outcome = 'venda_fechada')::DOUBLE / count(*) * 100, 2) AS taxa_conversao_pct
   FROM scored GROUP BY campaign_id)
 """
@@ -300,10 +300,10 @@ seller_sums AS (
          count(*) FILTER (conversation_outcome = 'perdido_concorrente') AS perdido_concorrente,
          count(*) FILTER (conversation_outcome = 'proposta_enviada') AS propostas_enviadas,
          count(*) FILTER (conversation_outcome = 'em_negociacao') AS em_negociacao,
-         round(avg(total_messages), 1) AS media_mensagens,
-         round(avg(avg_response_time_sec), 1) AS media_tempo_resposta_sec,
-         round(avg(duration_minutes), 1) AS media_duracao_minutos,
-         round(avg(inbound_messages), 1) AS media_msgs_lead,
+         round(round(avg(total_messages), 6), 1) AS media_mensagens,
+         round(round(avg(avg_response_time_sec), 6), 1) AS media_tempo_resposta_sec,
+         round(round(avg(duration_minutes), 6), 1) AS media_duracao_minutos,
+         round(round(avg(inbound_messages), 6), 1) AS media_msgs_lead,
          count(competitor_mentioned) AS conversas_com_concorrente
   FROM convs GROUP BY agent_id),
 seller_rates AS (

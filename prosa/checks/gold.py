@@ -32,7 +32,7 @@ def _(spark, d):
 @query("sentiment_stats", over_conversations("""
     SELECT count(*) AS total_conversas, count(*) FILTER (sentimento = 'positivo') AS positivo,
            count(*) FILTER (sentimento = 'neutro') AS neutro, count(*) FILTER (sentimento = 'negativo') AS negativo,
-           round(avg(sentimento_score), 3) AS score_medio, count(*) AS rows_written FROM gold_sentiment""", SENTIMENT))
+           round(round(avg(sentimento_score), 6), 3) AS score_medio, count(*) AS rows_written FROM gold_sentiment""", SENTIMENT))
 def _(spark, d):
     return sentiment.sentiment_stats(sentiment.gold_sentiment(conversations_of(spark, d)))
 
@@ -182,7 +182,7 @@ def _(spark, d):
 
 
 @query("lead_score_stats", over_conversations("""
-    SELECT count(*) AS total_conversas, round(avg(lead_score), 1) AS lead_score_medio,
+    SELECT count(*) AS total_conversas, round(round(avg(lead_score), 6), 1) AS lead_score_medio,
            round(median(lead_score), 1) AS lead_score_mediano, count(DISTINCT campaign_id) AS campanhas FROM scored""",
     SCORES))
 def _(spark, d):
@@ -217,7 +217,7 @@ def _(spark, d):
 
 @query("seller_stats", over_conversations("""
     SELECT count(*) AS total_vendedores, max(taxa_conversao_pct) AS melhor_taxa_conversao,
-           min(taxa_conversao_pct) AS pior_taxa_conversao, round(avg(taxa_conversao_pct), 2) AS media_taxa_conversao
+           min(taxa_conversao_pct) AS pior_taxa_conversao, round(round(avg(taxa_conversao_pct), 6), 2) AS media_taxa_conversao
     FROM sellers""", SELLERS))
 def _(spark, d):
     return sellers.seller_stats(sellers.seller_metrics(conversations_of(spark, d)))

@@ -68,6 +68,12 @@ def round_to(value: Column, places: int) -> Column:
     return F.round(value * F.lit(scale)) / F.lit(scale)
 
 
+def mean_to(value: Column | str, places: int) -> Column:
+    """Rounded mean, as an aggregate. A sum of doubles depends on the order of its rows in the last
+    digits; rounding to six places first makes a tie a tie in every order."""
+    return round_to(round_to(F.avg(col(value)), 6), places)
+
+
 def ratio(part: Column | str, whole: Column | str) -> Column:
     """part / whole as double, 0 where there is nothing to divide by."""
     part, whole = col(part), col(whole)

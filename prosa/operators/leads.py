@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from prosa import params as P
-from prosa.functions.columns import at_least, below, clip, percent, ratio, round_to, share_of
+from prosa.functions.columns import at_least, below, clip, mean_to, percent, ratio, round_to, share_of
 from prosa.operators.ordering import rank_by
 from prosa.params import CANONICAL, Profile
 
@@ -86,11 +86,11 @@ def campaign_performance(scored: DataFrame) -> DataFrame:
     metrics = [
         F.count(F.lit(1)).alias("total_conversas"),
         F.count_if(F.col("conversation_outcome") == P.SALE).alias("vendas"),
-        round_to(F.avg("total_messages"), 1).alias("media_mensagens"),
-        round_to(F.avg("avg_response_time_sec"), 1).alias("media_tempo_resposta"),
+        mean_to("total_messages", 1).alias("media_mensagens"),
+        mean_to("avg_response_time_sec", 1).alias("media_tempo_resposta"),
     ]
     if "lead_score" in scored.columns:
-        metrics.append(round_to(F.avg("lead_score"), 1).alias("media_lead_score"))
+        metrics.append(mean_to("lead_score", 1).alias("media_lead_score"))
     grouped = scored.groupBy("campaign_id").agg(*metrics)
     return (grouped.withColumn("taxa_conversao_pct", percent("vendas", "total_conversas"))
             .orderBy(F.desc("total_conversas"), "campaign_id"))
@@ -105,7 +105,7 @@ def score_stats(scored: DataFrame) -> DataFrame:
     most 1,001 counts per task."""
     return scored.agg(
         F.count(F.lit(1)).alias("total_conversas"),
-        F.coalesce(round_to(F.avg("lead_score"), 1), F.lit(0.0)).alias("lead_score_medio"),
+        F.coalesce(mean_to("lead_score", 1), F.lit(0.0)).alias("lead_score_medio"),
         F.coalesce(round_to(F.median("lead_score"), 1), F.lit(0.0)).alias("lead_score_mediano"),
         F.count_distinct("campaign_id").alias("campanhas"),
     )

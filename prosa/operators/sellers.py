@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from prosa import params as P
-from prosa.functions.columns import below, clip, percent, round_to
+from prosa.functions.columns import below, clip, mean_to, percent, round_to
 from prosa.operators.ordering import rank_by
 from prosa.params import CANONICAL, Profile
 
@@ -28,10 +28,10 @@ def _canonical(conversations: DataFrame, profile: Profile) -> DataFrame:
         _outcomes(P.LOST_COMPETITOR, "perdido_concorrente"),
         _outcomes(P.PROPOSAL, "propostas_enviadas"),
         _outcomes(P.NEGOTIATING, "em_negociacao"),
-        round_to(F.avg("total_messages"), 1).alias("media_mensagens"),
-        round_to(F.avg("avg_response_time_sec"), 1).alias("media_tempo_resposta_sec"),
-        round_to(F.avg("duration_minutes"), 1).alias("media_duracao_minutos"),
-        round_to(F.avg("inbound_messages"), 1).alias("media_msgs_lead"),
+        mean_to("total_messages", 1).alias("media_mensagens"),
+        mean_to("avg_response_time_sec", 1).alias("media_tempo_resposta_sec"),
+        mean_to("duration_minutes", 1).alias("media_duracao_minutos"),
+        mean_to("inbound_messages", 1).alias("media_msgs_lead"),
         F.count("competitor_mentioned").alias("conversas_com_concorrente"),
     )
     rated = grouped.withColumns({
@@ -72,7 +72,7 @@ def seller_stats(sellers: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("total_vendedores"),
         F.coalesce(round_to(F.max(rate), 2), F.lit(0.0)).alias("melhor_taxa_conversao"),
         F.coalesce(round_to(F.min(rate), 2), F.lit(0.0)).alias("pior_taxa_conversao"),
-        F.coalesce(round_to(F.avg(rate), 2), F.lit(0.0)).alias("media_taxa_conversao"),
+        F.coalesce(mean_to(rate, 2), F.lit(0.0)).alias("media_taxa_conversao"),
     )
 
 

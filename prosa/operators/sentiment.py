@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from prosa import params as P
-from prosa.functions.columns import at_least, below, clip, lookup, ratio, round_to
+from prosa.functions.columns import at_least, below, clip, lookup, mean_to, ratio, round_to
 from prosa.params import CANONICAL, Profile
 
 COLUMNS = (
@@ -60,5 +60,5 @@ def sentiment_stats(gold: DataFrame) -> DataFrame:
         F.count_if(label == "positivo").alias("positivo"),
         F.count_if(label == "neutro").alias("neutro"),
         F.count_if(label == "negativo").alias("negativo"),
-        F.coalesce(round_to(F.avg("sentimento_score"), 3), F.lit(0.0)).alias("score_medio"),
+        F.coalesce(mean_to("sentimento_score", 3), F.lit(0.0)).alias("score_medio"),
     ).withColumn("rows_written", F.col("total_conversas"))

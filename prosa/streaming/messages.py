@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 from prosa.operators import bronze as B
 from prosa.operators import conversations as C
 from prosa.operators import silver as S
+from prosa.operators.ordering import latest_per_key
 from prosa.operators.silver import status_rank
 from prosa.params import CANONICAL, Profile
 from prosa.schemas import SOURCE_MESSAGES
@@ -59,19 +60,12 @@ def stream_dedup(messages: DataFrame, delay: str = "1 day", profile: Profile = C
     """
     keys = [k for k in profile.dedup_keys if k != "timestamp"]
     rest = [c for c in messages.columns if c not in (*keys, "timestamp")]
-    best = F.max_by(F.struct(*rest), F.struct(status_rank(profile), _reverse_text("message_id")))
+    best = F.min_by(F.struct(*rest), F.struct(-status_rank(profile), F.col("message_id")))
     return (messages.withWatermark("timestamp", delay)
             .groupBy("timestamp", *keys).agg(best.alias("_best"))
             .select(*keys, "timestamp", "_best.*").select(*messages.columns))
 
 
-def _reverse_text(name: str):
-    """An order in which the smallest text is the largest: its code points, negated; the missing
-    code point at the end of a shorter text counts as the largest of all."""
-    points = F.transform(F.split(F.col(name), ""), lambda c: -F.ascii(c))
-    return F.concat(points, F.array(F.lit(1)))
-
-
 def refresh_touched(bronze_stream: DataFrame, tables: Tables, checkpoint: str, every: str | None = "60 seconds",
                     profile: Profile = CANONICAL) -> StreamingQuery:
     """Keep Silver current as Bronze grows.
@@ -91,5 +85,4 @@ def refresh_touched(bronze_stream: DataFrame, tables: Tables, checkpoint: str, e
 
 def latest_versions(conversations: DataFrame) -> DataFrame:
     """The newest version of every conversation."""
-    from prosa.operators.ordering import latest_per_key
     return latest_per_key(conversations, ["conversation_id"], [F.desc("_version")]).drop("_version")
