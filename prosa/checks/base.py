@@ -5,10 +5,13 @@ from __future__ import annotations
 from typing import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from prosa.operators import bronze, conversations, leads, segments, silver
 from prosa.params import NOTEBOOK
+from prosa.session import scratch_dir
 from prosa.sources import derived as D
+from prosa.sources.tables import Tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -51,7 +54,6 @@ def segmented_of(spark: SparkSession, d: str) -> DataFrame:
 
 def notebook_source(spark: SparkSession, d: str) -> DataFrame:
     """The message source in the notebook variant's layout."""
-    from pyspark.sql import functions as F
     df = D.source_messages(spark, d)
     return df.withColumnRenamed("status", "message_status").withColumn(
         "lead_source", F.get_json_object("metadata", "$.lead_source")).drop("conversation_outcome")
@@ -66,6 +68,14 @@ def notebook_conversations(spark: SparkSession, d: str) -> DataFrame:
     return conversations.aggregate_notebook(notebook_messages(spark, d))
 
 
+def stored(spark: SparkSession, df: DataFrame) -> DataFrame:
+    """A table written to the shared scratch folder and read back, as Gold tables are before they
+    are ranked: what built it then runs once."""
+    tables = Tables(spark, scratch_dir(spark, "stored"))
+    tables.overwrite(df, f"{tables.root}/table")
+    return tables.read(f"{tables.root}/table")
+
+
 # --- the same inputs in SQL ------------------------------------------------------------------
 
 BRONZE = """

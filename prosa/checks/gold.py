@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from prosa.checks.base import (
     CAMPAIGNS, PERSONAS, SCORES, SEGMENTS, SELLERS, SENTIMENT, conversations_of, messages_of,
     notebook_messages, over_conversations, over_silver, query, scored_of,
-    segmented_of,
+    segmented_of, stored,
 )
 from prosa.operators import charts, competition, leads, personas, segments, sellers, sentiment, timing
 from prosa.operators.conversations import conversation_extras
@@ -205,7 +205,7 @@ def _(spark, d):
 @query("campaign_ranking", over_conversations(
     "SELECT *, rank() OVER (ORDER BY taxa_conversao_pct DESC) AS posicao FROM campaigns", SCORES, CAMPAIGNS))
 def _(spark, d):
-    return leads.campaign_ranking(leads.campaign_performance(scored_of(spark, d)))
+    return leads.campaign_ranking(stored(spark, leads.campaign_performance(scored_of(spark, d))))
 
 
 # --- sellers ----------------------------------------------------------------------------------------
@@ -229,7 +229,7 @@ def _(spark, d):
     SELECT *, rank() OVER (ORDER BY score_eficiencia DESC) AS posicao_eficiencia,
            rank() OVER (ORDER BY score_vendedor DESC) AS posicao_geral FROM rated""", SELLERS))
 def _(spark, d):
-    return sellers.seller_ranking(sellers.seller_metrics(conversations_of(spark, d)))
+    return sellers.seller_ranking(stored(spark, sellers.seller_metrics(conversations_of(spark, d))))
 
 
 @query("seller_metrics_notebook", over_conversations("""

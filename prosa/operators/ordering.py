@@ -62,7 +62,7 @@ def running_sum(
     """Running total of ``value`` over the whole table (or within groups) in ``order``.
 
     Groups may be of any size: a group is cut into slices like the table is. ``rows`` saves the
-    count where the caller has it.
+    count where the caller has it. The table is read several times: pass a stored one.
     """
     rows = df.count() if rows is None else rows
     slices = min(MAX_SLICES, -(-rows // rows_per_slice))
@@ -106,7 +106,10 @@ def position(df: DataFrame, order: Sequence[str], alias: str = "position", **opt
 
 def rank_by(df: DataFrame, value: str, alias: str) -> DataFrame:
     """Descending rank with gaps by a column of few distinct values (a percentage rounded to two
-    places has at most 10,001): the window runs over the distinct values, not over the rows."""
+    places has at most 10,001): the window runs over the distinct values, not over the rows.
+
+    The rows are used twice. Rank a stored table rather than a long plan.
+    """
     counts = df.groupBy(value).agg(F.count(F.lit(1)).alias("_rows"))
     above = (Window.orderBy(F.col(value).desc_nulls_last())
              .rowsBetween(Window.unboundedPreceding, -1))

@@ -69,6 +69,28 @@ def _folders(spark: SparkSession, path: str) -> list[str]:
     return sorted(s.getPath().getName() for s in files.listStatus(hadoop) if s.isDirectory())
 
 
+def _reads_below(df: DataFrame, path: str) -> bool:
+    """Whether a frame scans files at or below a path. Looks at the roots of its scans only, so the
+    number of files does not matter."""
+    spark = df.sparkSession
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    own = target.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(target).toString()
+    leaves = df._jdf.queryExecution().analyzed().collectLeaves()
+    for i in range(leaves.size()):
+        leaf = leaves.apply(i)
+        if leaf.getClass().getSimpleName() != "LogicalRelation":
+            continue
+        relation = leaf.relation()
+        if relation.getClass().getSimpleName() != "HadoopFsRelation":
+            continue
+        roots = relation.location().rootPaths()
+        for j in range(roots.size()):
+            root = roots.apply(j).toString()
+            if root == own or root.startswith(own + "/") or own.startswith(root + "/"):
+                return True
+    return False
+
+
 class Tables:
     """The tables of one data root."""
 
@@ -145,8 +167,7 @@ class Tables:
         if self.fmt == "delta":
             df.write.format("delta").mode("overwrite").option("overwriteSchema", "true").save(path)
             return self.version(name)
-        own = os.path.abspath(path) + "/"
-        if any(own in f.replace("file://", "") for f in df.inputFiles()):
+        if _reads_below(df, path):
             raise ValueError(f"{path} is read by the rows that would replace it; write to another path")
         df.withColumn(BATCH, F.lit(0)).write.mode("overwrite").partitionBy(BATCH).parquet(path)
         if f"{BATCH}=0" not in _folders(self.spark, path):

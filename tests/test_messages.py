@@ -192,3 +192,17 @@ def test_one_task_does_not_need_a_whole_conversation(spark):
     plan = one_plan(two_conversations(spark))._jdf.queryExecution().executedPlan().toString()
     head = plan[:plan.index("hashpartitioning(conversation_id") + 4000]
     assert "partial_min_by" in plan and "partial_count" in head
+
+
+def test_notebook_layers(spark, tmp_path):
+    tables, path = Tables(spark, str(tmp_path / "data")), str(tmp_path / "in.parquet")
+    df = two_conversations(spark).withColumnRenamed("status", "message_status").withColumn(
+        "lead_source", F.lit("Indicação")).drop("conversation_outcome")
+    df.write.parquet(path)
+    assert ingest(tables, path, profile=NOTEBOOK)["rows_written"] == 4
+    assert ingest(tables, path, profile=NOTEBOOK)["status"] == "no_new_data"
+    assert build_silver(tables, NOTEBOOK)["rows_after_dedup"] == 4
+    rows = build_gold(tables, NOTEBOOK)
+    assert rows == {"gold_sentiment": 2, "gold_personas": 2, "gold_segmentation": 2, "gold_analytics": 2, "gold_vendor": 1}
+    seg = tables.read("gold_segmentation").first()
+    assert seg["seg_origem"] == "indicacao" and seg["seg_duracao"] == "instantanea" or seg["seg_duracao"] in ("flash", "curta")
