@@ -32,7 +32,9 @@ def deduplicate(df: DataFrame, profile: Profile = CANONICAL) -> DataFrame:
         order.append(F.col("message_id").asc())
     else:
         order.append(F.col("timestamp").asc())
-    return latest_per_key(df, profile.dedup_keys, order)
+    # Time first: the sort then decides most pairs on eight bytes instead of on texts.
+    keys = sorted(profile.dedup_keys, key=lambda name: name != "timestamp")
+    return latest_per_key(df, keys, order)
 
 
 def content_flags(df: DataFrame, profile: Profile = CANONICAL) -> DataFrame:
