@@ -60,10 +60,14 @@ def nanos_to_timestamp(df: DataFrame, *columns: str) -> DataFrame:
         c: F.timestamp_micros(F.expr(f"(`{c}` - pmod(`{c}`, 1000L)) div 1000L")) for c in columns})
 
 
+def _file_system(spark: SparkSession, path: str):
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()), hadoop
+
+
 def _folders(spark: SparkSession, path: str) -> list[str]:
     """Names of the folders directly below a path, on whatever file system it lies."""
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    files = hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
+    files, hadoop = _file_system(spark, path)
     if not files.exists(hadoop):
         return []
     return sorted(s.getPath().getName() for s in files.listStatus(hadoop) if s.isDirectory())
@@ -73,8 +77,8 @@ def _reads_below(df: DataFrame, path: str) -> bool:
     """Whether a frame scans files at or below a path. Looks at the roots of its scans only, so the
     number of files does not matter."""
     spark = df.sparkSession
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    own = target.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(target).toString()
+    files, target = _file_system(spark, path)
+    own = files.makeQualified(target).toString()
     leaves = df._jdf.queryExecution().analyzed().collectLeaves()
     for i in range(leaves.size()):
         leaf = leaves.apply(i)
@@ -126,6 +130,9 @@ class Tables:
         return df.drop(BATCH)
 
     def exists(self, name: str) -> bool:
+        files, hadoop = _file_system(self.spark, self.path(name))
+        if not files.exists(hadoop):
+            return False
         try:
             self.read(name).schema
             return True

@@ -1,6 +1,3 @@
-import datetime as dt
-
-from pyspark.sql import functions as F
 
 from fixtures import by, later_batch, message, source, two_conversations
 from prosa.operators.bronze import cast_timestamp
