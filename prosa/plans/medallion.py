@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from concurrent.futures import ThreadPoolExecutor
 from typing import Any
 
 from pyspark.sql import DataFrame, Observation
@@ -86,7 +85,7 @@ def gold_frames(convs: DataFrame, profile: Profile = CANONICAL) -> dict[str, Dat
     return frames
 
 
-def build_gold(tables: Tables, profile: Profile = CANONICAL, parallel: int = 5) -> dict[str, int]:
+def build_gold(tables: Tables, profile: Profile = CANONICAL) -> dict[str, int]:
     """Write all Gold tables from Silver conversations; rows per table.
 
     Each table reads only its own columns of the (columnar) Silver table. Column selection keeps
@@ -101,10 +100,7 @@ def build_gold(tables: Tables, profile: Profile = CANONICAL, parallel: int = 5)
         tables.overwrite(frame.observe(seen, F.count(F.lit(1)).alias("rows")), target)
         return name, seen.get["rows"]
 
-    # The tables do not depend on each other: submit their jobs together and let Spark fill the
-    # cores that a small aggregate leaves idle.
-    with ThreadPoolExecutor(max_workers=parallel) as pool:
-        return dict(pool.map(write, gold_frames(convs, profile).items()))
+    return dict(write(item) for item in gold_frames(convs, profile).items())
 
 
 def one_plan(source: DataFrame, profile: Profile = CANONICAL) -> DataFrame:
