@@ -6,10 +6,10 @@ import pytest
 
 import __spark_entry__ as entry
 from compare import compare, connect
+from prosa.checks import ORACLE, QUERIES
 
 DATA = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test data")
-QUERIES, ORACLE = entry.queries(), entry.oracle_sql()
 
 
 @pytest.fixture(scope="module")
