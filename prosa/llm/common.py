@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
 
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,6 +31,14 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def shipped(module: str) -> None:
+    """Send the functions of this module to executors by value, as these need not have the library."""
+    cloudpickle.register_pickle_by_value(sys.modules[module])
+
+
+shipped(__name__)
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 

@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from prosa.llm import mixing, quality_rules, url_filter
+import importlib.util
+import os
+
+from pyspark.sql import functions as F
+
+from prosa.llm import bpe, classifier, mixing, quality_rules, secrets, url_filter
 from prosa.llm.common import table
 
 QUERIES, ORACLE = {}, {}
@@ -31,3 +36,31 @@ def op6(spark, d):
 def op7(spark, d):
     pages = table(spark, d, "pages")
     return url_filter.url_filter(pages, url_filter.repeated_urls(pages))
+
+
+@query("op2_secrets")
+def op2(spark, d):
+    return secrets.scan_secrets(table(spark, d, "documents"))
+
+
+@query("op8_quality_classifier")
+def op8(spark, d):
+    return classifier.classify(table(spark, d, "documents"), table(spark, d, "labels"))
+
+
+def tokenizer_file(name: str = "byte_bpe_50k.json") -> str:
+    """Where the vocabulary is; it stays outside this repository."""
+    return os.path.join(os.path.dirname(importlib.util.find_spec("public_tokenizers").origin), name)
+
+
+@query("op9_bpe")
+def op9(spark, d):
+    return token_digests(bpe.encode(table(spark, d, "documents"), tokenizer_file()))
+
+
+def token_digests(encoded):
+    """doc_id, n_tokens and the digests of the ids and of the text they decode to."""
+    ids = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return bpe.decode(encoded, tokenizer_file()).select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"))
