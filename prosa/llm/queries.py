@@ -7,7 +7,7 @@ import os
 
 from pyspark.sql import functions as F
 
-from prosa.llm import bpe, classifier, mixing, quality_rules, secrets, url_filter
+from prosa.llm import bpe, classifier, mixing, pii, quality_rules, secrets, url_filter
 from prosa.llm.common import table
 
 QUERIES, ORACLE = {}, {}
@@ -38,6 +38,11 @@ def op7(spark, d):
     return url_filter.url_filter(pages, url_filter.repeated_urls(pages))
 
 
+@query("op1_pii")
+def op1(spark, d):
+    return pii.find_pii(table(spark, d, "documents"))
+
+
 @query("op2_secrets")
 def op2(spark, d):
     return secrets.scan_secrets(table(spark, d, "documents"))
