@@ -7,7 +7,7 @@ import os
 
 from pyspark.sql import functions as F
 
-from prosa.llm import bpe, classifier, mixing, pii, quality_rules, secrets, url_filter
+from prosa.llm import bpe, classifier, jaccard, mixing, pii, quality_rules, secrets, url_filter
 from prosa.llm.common import table
 
 QUERIES, ORACLE = {}, {}
@@ -27,6 +27,11 @@ def op4(spark, d):
     return mixing.mix(table(spark, d, "documents"))
 
 
+@query("op5_jaccard")
+def op5(spark, d):
+    return jaccard.jaccard_join(table(spark, d, "documents"))
+
+
 @query("op6_quality_rules")
 def op6(spark, d):
     return quality_rules.quality_rules(table(spark, d, "documents")).drop("char_distance", "word_distance")
