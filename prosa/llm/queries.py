@@ -7,7 +7,7 @@ import os
 
 from pyspark.sql import functions as F
 
-from prosa.llm import bpe, classifier, jaccard, mixing, pii, quality_rules, secrets, url_filter
+from prosa.llm import bpe, classifier, jaccard, line_dedup, mixing, pii, quality_rules, secrets, url_filter
 from prosa.llm.common import table
 
 QUERIES, ORACLE = {}, {}
@@ -22,6 +22,11 @@ def query(name, sql=None):
     return register
 
 
+@query("op3_line_dedup")
+def op3(spark, d):
+    return line_dedup.line_dedup(table(spark, d, "documents"))
+
+
 @query("op4_mixing", mixing.SQL)
 def op4(spark, d):
     return mixing.mix(table(spark, d, "documents"))
