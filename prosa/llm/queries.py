@@ -7,7 +7,7 @@ import os
 
 from pyspark.sql import functions as F
 
-from prosa.llm import bpe, classifier, jaccard, line_dedup, mixing, pii, quality_rules, secrets, url_filter
+from prosa.llm import bpe, classifier, jaccard, line_dedup, mixing, pii, quality_rules, secrets, url_filter, vectors
 from prosa.llm.common import table
 
 QUERIES, ORACLE = {}, {}
@@ -79,3 +79,8 @@ def token_digests(encoded):
     return bpe.decode(encoded, tokenizer_file()).select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@query("op10_vectors")
+def op10(spark, d):
+    return vectors.near_duplicates(table(spark, d, "embeddings"))
