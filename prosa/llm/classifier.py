@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from prosa.llm.common import settle, shipped
+from prosa.llm.common import settle, shipped, small_batches
 
 SAMPLE = 20_000
 TREES, DEPTH, BINS, RATE, L2, LEAST = 40, 4, 64, 0.2, 1.0, 20
@@ -47,7 +47,7 @@ def statistics(text: str) -> list[float]:
 
 def features(docs: DataFrame) -> DataFrame:
     """doc_id, x: the statistics of every document."""
-    rows = docs.select("doc_id", "text")
+    rows = small_batches(docs.select("doc_id", "text"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -135,7 +135,7 @@ def train(rows: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Trees:
     known = known.groupBy("doc_id").agg((F.avg("quality") >= 0.5).cast("int").alias("y"))
     order = F.xxhash64(F.col("doc_id"), F.lit("sample"))
     some = rows.join(known, "doc_id").orderBy(order, "doc_id", "x").limit(sample).toPandas()
-    x = np.array(some["x"].tolist(), float).reshape(len(some), -1)
+    x = np.array(some["x"].tolist(), float) if len(some) else np.zeros((0, 1))
     return fit(x, some["y"].to_numpy(float))
 
 
@@ -143,7 +143,7 @@ def score(rows: DataFrame, model: Trees) -> DataFrame:
     """doc_id, score of every row of features."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            x = np.array(batch["x"].tolist(), float).reshape(len(batch), -1)
+            x = np.stack(batch["x"].to_list())
             yield pd.DataFrame({"doc_id": batch["doc_id"], "score": model.score(x)})
 
     return rows.mapInPandas(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, score double")
@@ -156,4 +156,15 @@ def classify(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFr
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
+def accepted(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
+    """The rows of ``docs`` whose texts score ``THRESHOLD`` or more."""
+    model = train(settle(features(docs)), labels, sample)
+
+    @F.pandas_udf("double")
+    def quality(texts: pd.Series) -> pd.Series:
+        return pd.Series(model.score(np.array([statistics(t or "") for t in texts])))
+
+    return small_batches(docs).where(quality("text") >= THRESHOLD)
+
+
 shipped(__name__)

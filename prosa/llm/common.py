@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import sys
 import tempfile
+import uuid
 
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,20 +15,27 @@ GAP = r"[\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the folder in ``spark.checkpoint.dir`` and go on from there.
-
-    The files are shared, so the loss of an executor costs nothing. Only a local session without
-    the setting gets a folder of its own.
-    """
-    sc = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder. Only a local session without ``spark.checkpoint.dir`` gets one of its own."""
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        base = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        base = spark.conf.get("spark.checkpoint.dir", None)
         if not base:
             if not sc.master.startswith("local"):
                 raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
             base = tempfile.mkdtemp(prefix="prosa-llm-")
         sc.setCheckpointDir(base)
+    return sc.getCheckpointDir()
+
+
+def scratch(spark: SparkSession, label: str) -> str:
+    """A fresh path in the shared folder."""
+    return f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex[:12]}"
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the shared folder and go on from there: the loss of an executor costs nothing."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
@@ -39,6 +47,14 @@ def shipped(module: str) -> None:
 shipped(__name__)
 
 
+def small_batches(df: DataFrame, most: int = 2000) -> DataFrame:
+    """``df``, with Arrow batches of at most ``most`` rows in its session: texts can be long."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(df.sparkSession.conf.get(key)) > most:
+        df.sparkSession.conf.set(key, most)
+    return df
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from prosa.llm.common import components, settle, shipped
+from prosa.llm.common import components, settle, shipped, small_batches
 
 WORDS, PART, WHOLE = 4, 85, 100
 #: Relative costs of writing a signature and of checking a pair.
@@ -128,17 +128,17 @@ def signatures(s: np.ndarray, band: int, plan: tuple[int, int, int]) -> np.ndarr
 
 
 def classes_of(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """doc_id, n_shingles, cls; cls is null for an empty set."""
-    rows = docs.select("doc_id", "text")
+    """doc_id, th, n_shingles, cls: th is a hash of the text, cls is null for an empty set."""
+    rows = small_batches(docs.select("doc_id", "text", F.xxhash64("text").alias("th")))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes = Hashes()
         for batch in batches:
             sets = [shingles(t, hashes, words) for t in batch["text"]]
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "n_shingles": [len(s) for s in sets],
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "th": batch["th"], "n_shingles": [len(s) for s in sets],
                                 "cls": pd.array([class_of(s) if len(s) else None for s in sets], "Int64")})
 
-    return rows.mapInPandas(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_shingles long, cls long")
+    return rows.mapInPandas(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, th long, n_shingles long, cls long")
 
 
 def signature_rows(docs: DataFrame, plans: dict[int, tuple[int, int, int]], edges: list[int], words: int) -> DataFrame:
@@ -164,7 +164,7 @@ def signature_rows(docs: DataFrame, plans: dict[int, tuple[int, int, int]], edge
             if keys:
                 yield pd.DataFrame({"key": np.concatenate(keys), "cls": np.concatenate(owners)})
 
-    return docs.select("text").mapInPandas(run, "key long, cls long")
+    return small_batches(docs.select("text")).mapInPandas(run, "key long, cls long")
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
@@ -196,9 +196,10 @@ def sets_of(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
                     if held > 2_000_000:
                         yield pd.DataFrame(out)
                         out, held = {"cls": [], "items": []}, 0
-            yield pd.DataFrame(out)
+            if out["cls"]:
+                yield pd.DataFrame(out)
 
-    rows = docs.select("text").mapInPandas(run, "cls long, items array<long>")
+    rows = small_batches(docs.select("text")).mapInPandas(run, "cls long, items array<long>")
     return settle(rows.join(wanted, "cls", "left_semi").groupBy("cls").agg(F.any_value("items").alias("items")))
 
 
@@ -272,9 +273,8 @@ def links_between(pairs: DataFrame, groups: DataFrame, sets: DataFrame, part: in
     return rows.groupBy("task").applyInPandas(compare, "a long, b long")
 
 
-def jaccard_join(docs: DataFrame, words: int = WORDS, part: int = PART, whole: int = WHOLE) -> DataFrame:
-    """doc_id, n_shingles, component_id of every document: links are sets with
-    ``whole * common >= part * union``."""
+def grouped(docs: DataFrame, words: int = WORDS, part: int = PART, whole: int = WHOLE) -> tuple[DataFrame, DataFrame]:
+    """Rows (doc_id, th, n_shingles, cls) and groups (cls, grp, component_id) of the classes."""
     rows = settle(classes_of(docs, words))
     classes = rows.where("cls is not null").groupBy("cls").agg(F.first("n_shingles").alias("n"), F.min("doc_id").alias("least"))
     largest = classes.agg(F.max("n")).first()[0] or 0
@@ -300,9 +300,36 @@ def jaccard_join(docs: DataFrame, words: int = WORDS, part: int = PART, whole: i
     named = classes.join(groups.withColumnRenamed("node", "cls"), "cls", "left").select(
         "cls", "least", F.coalesce("component", "cls").alias("grp"))
     least = named.groupBy("grp").agg(F.min("least").alias("component_id"))
-    of_class = named.join(least, "grp").select("cls", "component_id")
-    full = rows.where("cls is not null").join(of_class, "cls").select("doc_id", "n_shingles", "component_id")
+    return rows, named.join(least, "grp").select("cls", "grp", "component_id")
+
+
+def jaccard_join(docs: DataFrame, words: int = WORDS, part: int = PART, whole: int = WHOLE) -> DataFrame:
+    """doc_id, n_shingles, component_id of every document: links are sets with
+    ``whole * common >= part * union``."""
+    rows, groups = grouped(docs, words, part, whole)
+    full = rows.where("cls is not null").join(groups, "cls").select("doc_id", "n_shingles", "component_id")
     return full.unionByName(rows.where("cls is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
 
 
+def representatives(docs: DataFrame, words: int = WORDS, part: int = PART, whole: int = WHOLE) -> DataFrame:
+    """The rows of ``docs`` without near duplicates: one of each group stays, that with the smallest id, then text hash.
+
+    Documents without words are in no group and stay.
+    """
+    rows, groups = grouped(docs, words, part, whole)
+    full = rows.where("cls is not null").join(groups, "cls")
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")
+    chosen = full.groupBy("grp").agg(F.min(place).alias("p")).select("p.doc_id", "p.th")
+    chosen = chosen.union(rows.where("cls is null").select("doc_id", "th").distinct())
+    copies = rows.groupBy("doc_id", "th", "cls").agg(F.count("*").alias("n"))
+    key = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("doc_id").isNull(), "th")
+    chosen = chosen.withColumn("_key", key).select("_key").join(
+        copies.select(key.alias("_key"), F.when((F.col("n") > 1) & F.col("cls").isNotNull(), 1).otherwise(0).alias("_many")), "_key")
+    chosen = settle(chosen.distinct())
+    keyed = docs.withColumn("_key", F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("doc_id").isNull(), F.xxhash64("text")))
+    single = keyed.join(chosen.where("_many = 0"), "_key", "left_semi")
+    several = keyed.join(chosen.where("_many = 1"), "_key", "left_semi").dropDuplicates(["_key"])
+    return single.unionByName(several).select(docs.columns)
+
+
 shipped(__name__)

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from prosa.llm.common import settle, shipped
+from prosa.llm.common import settle, shipped, small_batches
 
 MIN_WORDS = 50
 CELL_BITS = 12
@@ -40,10 +40,6 @@ def signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def text_hash(text: str | None) -> int:
-    return signed(xxhash.xxh3_64_intdigest((text or "").encode("utf-8", "replace")))
-
-
 def lines_of(text: str) -> tuple[list[str], np.ndarray]:
     """The lines with words, and how many words each has."""
     counted = [(line, len(line.encode("utf-8", "replace").split())) for line in text.split("\n")]
@@ -64,18 +60,18 @@ def windows_of(words: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
 
 def line_rows(docs: DataFrame, least: int) -> DataFrame:
     """doc_id, th, pos, h1, h2, ahead, behind: a row for each line with words."""
-    rows = docs.select("doc_id", "text")
+    rows = small_batches(docs.select("doc_id", "text", F.xxhash64("text").alias("th")))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             frames = []
-            for i, text in enumerate(batch["text"]):
+            for i, (text, th) in enumerate(zip(batch["text"], batch["th"], strict=True)):
                 lines, words = lines_of(text or "")
                 if lines:
                     ahead, behind = windows_of(words, least)
                     both = [xxhash.xxh3_128_intdigest(x.encode("utf-8", "replace")) for x in lines]
                     frames.append(pd.DataFrame({
-                        "doc_id": batch["doc_id"].iloc[np.full(len(lines), i)].to_numpy(), "th": text_hash(text), "pos": np.arange(len(lines)),
+                        "doc_id": batch["doc_id"].iloc[np.full(len(lines), i)].to_numpy(), "th": th, "pos": np.arange(len(lines)),
                         "h1": [signed(x >> 64) for x in both], "h2": [signed(x & (1 << 64) - 1) for x in both], "ahead": ahead, "behind": behind}))
             if frames:
                 yield pd.concat(frames)
@@ -139,7 +135,6 @@ def later_copies(docs: DataFrame, least: int = MIN_WORDS) -> DataFrame:
     return cuts.join(names, "ord").select("doc_id", "th", "cuts")
 
 
-@F.pandas_udf("struct<text string, n_lines int, n_deleted int, n_words int, n_words_left int>")
 def without(texts: pd.Series, cuts: pd.Series) -> pd.DataFrame:
     """The text without the windows, and what was there before and after."""
     out = []
@@ -163,17 +158,13 @@ def without(texts: pd.Series, cuts: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["text", "n_lines", "n_deleted", "n_words", "n_words_left"])
 
 
-@F.pandas_udf("long")
-def hash_of(texts: pd.Series) -> pd.Series:
-    return texts.map(text_hash).astype("int64")
-
-
 def line_dedup(docs: DataFrame, least: int = MIN_WORDS, keep: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, text, n_lines, n_deleted, n_words, n_words_left of every document, and the columns in ``keep``."""
     cuts = later_copies(docs, least).alias("c")
-    rows = docs.select("doc_id", "text", *keep, hash_of("text").alias("_th")).alias("d")
+    cut = F.pandas_udf(without, "struct<text string, n_lines int, n_deleted int, n_words int, n_words_left int>")
+    rows = docs.select("doc_id", "text", *keep, F.xxhash64("text").alias("_th")).alias("d")
     same = F.col("d.doc_id").eqNullSafe(F.col("c.doc_id")) & (F.col("d._th") == F.col("c.th"))
-    joined = rows.join(cuts, same, "left").select("d.doc_id", *[f"d.{c}" for c in keep], without("d.text", "c.cuts").alias("_out"))
+    joined = rows.join(cuts, same, "left").select("d.doc_id", *[f"d.{c}" for c in keep], cut("d.text", "c.cuts").alias("_out"))
     return joined.select("doc_id", *keep, "_out.*")
 
 

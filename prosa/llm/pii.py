@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from prosa.llm.common import shipped
+from prosa.llm.common import shipped, small_batches
 
 KINDS = ("email", "ip", "card", "phone")
 PATTERNS = {
@@ -316,7 +316,7 @@ def find_pii(docs: DataFrame, tagger: Tagger | None = None) -> DataFrame:
     The four counts are those of the patterns; ``n_added`` counts what only the network found.
     """
     tagger = tagger or train(docs)
-    rows = docs.select("doc_id", "text")
+    rows = small_batches(docs.select("doc_id", "text"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

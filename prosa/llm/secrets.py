@@ -22,7 +22,7 @@ import ahocorasick
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from prosa.llm.common import LOWER, UPPER, shipped
+from prosa.llm.common import LOWER, UPPER, shipped, small_batches
 
 KINDS = ("assign", "access", "hex", "github", "npm")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -93,7 +93,7 @@ def joined(spans: list[tuple[str, int, int]]) -> str:
 
 def scan_secrets(docs: DataFrame) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, n_checked, base_sha256, spans of every document."""
-    rows = docs.select("doc_id", "text")
+    rows = small_batches(docs.select("doc_id", "text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
