@@ -24,16 +24,16 @@ from prosa.sources.tables import Tables, append_record, export_csv, nanos_to_tim
 # --- sources and tables ----------------------------------------------------------------------
 
 
-@query("source_parquet", "SELECT doc_id, lang, source, n_chars FROM documents")
+@query("source_parquet", "SELECT doc_id, text, lang, source, n_chars FROM documents")
 def _(spark, d):
-    return read_source(spark, f"{d}/documents.parquet").select("doc_id", "lang", "source", "n_chars")
+    return read_source(spark, f"{d}/documents.parquet").select("doc_id", "text", "lang", "source", "n_chars")
 
 
 @query("source_csv_round_trip", """
     SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice, l_discount, l_tax,
-           l_returnflag, l_linestatus FROM lineitem""")
+           l_returnflag, l_linestatus, l_shipdate FROM lineitem""")
 def _(spark, d):
-    df = D.table(spark, d, "lineitem").drop("l_shipdate")
+    df = D.table(spark, d, "lineitem")
     path = scratch_dir(spark, "export") + ".csv"
     export_csv(df, path)
     return read_source(spark, path, schema=df.schema)
@@ -121,18 +121,18 @@ def _(spark, d):
 @query("run_records_appended", f"""
     WITH {D.STEPS}
     SELECT step_name AS notebook, CASE WHEN step_name = 'gold' THEN 'v2' END AS versao,
-           sum(rows_output)::BIGINT AS rows_written
+           sum(rows_output)::BIGINT AS rows_written, CAST(NULL AS VARCHAR) AS error
     FROM step_versions GROUP BY step_name""")
 def _(spark, d):
     tables = Tables(spark, scratch_dir(spark, "records"))
     totals = (D.step_log(spark, d).groupBy(F.col("step_name").alias("notebook"))
               .agg(F.sum("rows_output").alias("rows_written")))
     for row in totals.orderBy("notebook").collect():  # one row per layer of the run
-        record = row.asDict()
+        record = row.asDict() | {"error": None}
         if record["notebook"] == "gold":
             record["versao"] = "v2"
         append_record(spark, tables, f"{tables.root}/notebook_runs", record)
-    return tables.read(f"{tables.root}/notebook_runs").select("notebook", "versao", "rows_written")
+    return tables.read(f"{tables.root}/notebook_runs").select("notebook", "versao", "rows_written", "error")
 
 
 # --- Bronze --------------------------------------------------------------------------------------

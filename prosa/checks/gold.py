@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from prosa.checks.base import (
+    ORACLE,
     CAMPAIGNS, PERSONAS, SCORES, SEGMENTS, SELLERS, SENTIMENT, conversations_of, messages_of,
     notebook_messages, over_conversations, over_silver, query, scored_of,
     segmented_of, stored,
@@ -336,7 +337,8 @@ def _(spark, d):
 
 @query("competitor_outcomes", over_conversations(
     "SELECT competitor_mentioned AS concorrente, " + ", ".join(
-        f"count(*) FILTER (conversation_outcome = '{o}') AS {o}" for o in OUTCOMES) + f" FROM convs {_NAMED} GROUP BY 1"))
+        f"count(*) FILTER (conversation_outcome = '{o}') AS {o}" for o in OUTCOMES) + ", count(*) FILTER (conversation_outcome IS NULL OR conversation_outcome NOT IN ("
+    + ", ".join(f"'{o}'" for o in OUTCOMES) + f")) AS outros FROM convs {_NAMED} GROUP BY 1"))
 def _(spark, d):
     return competition.outcome_cross(conversations_of(spark, d))
 
@@ -377,6 +379,13 @@ def _(spark, d):
     return charts.waterfall(conversations_of(spark, d))
 
 
+@query("chart_waterfall_stored", ORACLE["chart_waterfall"])
+def _(spark, d):
+    """The same from the funnel, which is counted already."""
+    funnel = leads.funnel(conversations_of(spark, d))
+    return charts.waterfall(funnel, "contagem")
+
+
 @query("chart_score_histogram", over_conversations("""
     SELECT CAST(least(floor(lead_score / 5.0::DOUBLE), 19) AS INT) AS faixa,
            least(floor(lead_score / 5.0::DOUBLE), 19) * 5.0::DOUBLE AS inicio, count(*) AS quantidade
@@ -455,12 +464,9 @@ def _(spark, d):
 
 
 @query("chart_segment_cross", over_conversations("""
-    SELECT seg_regiao, count(*) FILTER (seg_origem = 'google') AS google, count(*) FILTER (seg_origem = 'facebook') AS facebook,
-           count(*) FILTER (seg_origem = 'instagram') AS instagram, count(*) FILTER (seg_origem = 'indicacao') AS indicacao,
-           count(*) FILTER (seg_origem = 'outros') AS outros FROM gold_segments GROUP BY seg_regiao""", SEGMENTS))
+    SELECT seg_regiao AS linha, seg_origem AS coluna, count(*) AS quantidade FROM gold_segments GROUP BY 1, 2""", SEGMENTS))
 def _(spark, d):
-    return charts.cross_counts(segmented_of(spark, d), "seg_regiao", "seg_origem",
-                               ("google", "facebook", "instagram", "indicacao", "outros"))
+    return charts.cross_counts(segmented_of(spark, d), "seg_regiao", "seg_origem")
 
 
 @query("chart_fallback_counts", _counts_sql("orders", "o_orderstatus"))

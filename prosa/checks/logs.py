@@ -143,13 +143,14 @@ def _(spark, d):
 @query("quality_missing_tables", f"""
     WITH {D.MESSAGES}
     SELECT 'silver_messages' AS name, CASE WHEN count(*) FILTER (channel IS NULL) = 0 THEN 'vazia' END AS problema FROM messages
-    UNION ALL SELECT 'gold_vendor', 'nao encontrada' FROM (SELECT count(*) AS n FROM messages) WHERE n > 0""")
+    UNION ALL SELECT 'gold_vendor', 'nao encontrada' FROM (SELECT count(*) AS n FROM messages) WHERE n > 0
+    UNION ALL SELECT 'gold', 'nenhuma' FROM (SELECT count(*) AS n FROM messages) WHERE n > 0""")
 def _(spark, d):
     tables = Tables(spark, scratch_dir(spark, "expected"))
     source = D.source_messages(spark, d)
     tables.overwrite(source, "bronze")
     tables.overwrite(source.where("channel IS NULL"), "silver_messages")
-    return Q.missing_tables(tables.listing(), ["bronze", "silver_messages", "gold_vendor"])
+    return Q.missing_tables(tables.listing(), ["bronze", "silver_messages", "gold_vendor"], any_of="gold")
 
 
 @query("quality_pending_messages", over_cleaned("""
@@ -338,8 +339,7 @@ def _(spark, d):
     SELECT action_id, round(sum(cost) OVER (ORDER BY timestamp, action_id ROWS UNBOUNDED PRECEDING), 9) AS custo_acumulado
     FROM actions"""))
 def _(spark, d):
-    # Slices small enough to have several of them in a test-size table.
-    return usage.cumulative_cost(_actions(spark, d), rows_per_slice=2000).select(
+    return usage.cumulative_cost(_actions(spark, d)).select(
         "action_id", F.round("custo_acumulado", 9).alias("custo_acumulado"))
 
 
@@ -350,7 +350,7 @@ def _(spark, d):
            round(greatest(0.0::DOUBLE, 0.5::DOUBLE - spent), 9) AS orcamento_restante, spent >= 0.5::DOUBLE AS orcamento_excedido
     FROM c"""))
 def _(spark, d):
-    left = usage.budget(_actions(spark, d), 0.5, ["agent_name"], rows_per_slice=2000)
+    left = usage.budget(_actions(spark, d), 0.5, ["agent_name"])
     return left.select("action_id", "agent_name", F.round("custo_acumulado", 9).alias("custo_acumulado"),
                        F.round("orcamento_restante", 9).alias("orcamento_restante"), "orcamento_excedido")
 
@@ -384,20 +384,30 @@ def _(spark, d):
     return tables.read("bronze").select("message_id", "status")
 
 
-@query("stream_dedup", over_cleaned("""
-    SELECT message_id, status FROM cleaned WHERE timestamp <= (SELECT max(timestamp) FROM bronze) - INTERVAL 1 DAY"""))
+@query("stream_after_batch", f"WITH {D.MESSAGES} SELECT message_id, status FROM messages")
+def _(spark, d):
+    """A stream into a table that a batch job has filled, then a second stream with a checkpoint of its own."""
+    from prosa.plans.medallion import ingest
+    from prosa.streaming.messages import arriving, stream_to_bronze
+    root = scratch_dir(spark, "mixed")
+    tables = Tables(spark, root)
+    D.first_arrivals(spark, d).write.parquet(os.path.join(root, "first"))
+    ingest(tables, os.path.join(root, "first"))
+    folder = _landed(spark, d, root)
+    for state in ("state", "another"):
+        stream_to_bronze(arriving(spark, folder, files_per_batch=1), tables, os.path.join(root, state)).awaitTermination()
+    return tables.read("bronze").select("message_id", "status")
+
+
+@query("stream_dedup", over_cleaned("SELECT message_id, status FROM cleaned"))
 def _(spark, d):
     from prosa.operators.bronze import cast_timestamp
-    from prosa.streaming.messages import arriving, stream_dedup
+    from prosa.streaming.messages import arriving, resolved, stream_messages
     root = scratch_dir(spark, "dedup")
-    folder = os.path.join(root, "in")
-    D.source_messages(spark, d).write.parquet(folder)
-    out = os.path.join(root, "out")
-    typed = cast_timestamp(arriving(spark, folder))
-    (stream_dedup(typed, "1 day").writeStream.format("parquet").outputMode("append")
-     .option("checkpointLocation", os.path.join(root, "state")).trigger(availableNow=True)
-     .start(out).awaitTermination())
-    return spark.read.schema(typed.schema).parquet(out).select("message_id", "status")
+    tables = Tables(spark, root)
+    typed = cast_timestamp(arriving(spark, _landed(spark, d, root), files_per_batch=1))
+    stream_messages(typed, tables, os.path.join(root, "candidates"), os.path.join(root, "state")).awaitTermination()
+    return resolved(tables.read(os.path.join(root, "candidates"))).select("message_id", "status")
 
 
 @query("stream_refresh", over_conversations("""
@@ -410,7 +420,7 @@ def _(spark, d):
     stream_to_bronze(source, tables, os.path.join(root, "state")).awaitTermination()
     held = tables.read("bronze")
     changes = spark.readStream.schema(held.schema).option("maxFilesPerTrigger", 4).parquet(
-        tables.path("bronze") + "/*")
+        tables.path("bronze") + "/*/*")
     refresh_touched(changes, tables, os.path.join(root, "state2"), every=None).awaitTermination()
     return latest_versions(tables.read("silver_conversations")).select(
         "conversation_id", "total_messages", "inbound_messages", "avg_response_time_sec", "conversation_outcome")

@@ -51,7 +51,8 @@ def top_per_region(segmented: DataFrame) -> DataFrame:
 
 
 def outcome_cross(conversations: DataFrame) -> DataFrame:
-    """Conversations per competitor and outcome, one column per known outcome."""
-    return (_mentioned(conversations).groupBy("concorrente")
-            .pivot("conversation_outcome", list(P.OUTCOMES))
+    """Conversations per competitor and outcome: a column per known outcome, ``outros`` for all other
+    and missing ones."""
+    known = F.when(F.col("conversation_outcome").isin(*P.OUTCOMES), F.col("conversation_outcome")).otherwise("outros")
+    return (_mentioned(conversations).withColumn("_known", known).groupBy("concorrente").pivot("_known", [*P.OUTCOMES, "outros"])
             .agg(F.count(F.lit(1))).na.fill(0))

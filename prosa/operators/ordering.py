@@ -1,107 +1,46 @@
-"""Total order over whole tables without a single-task window: positions, running sums, ranks.
+"""Running sums, positions and ranks over whole tables without a single-task window.
 
-The order is cut at split points found beforehand on a sample of the ordering columns. Each row
-gets its slice from literals, slices are summed with map-side combining, the few slice totals are
-accumulated, and the window runs inside a slice. Any sample gives the right result: the split
-points only decide how even the slices are. They are plain literals in the plan, so a recomputed
-task sees the same slices.
+The order is cut into cells by time, days and hours in it. Sums per cell come first, with map-side
+combining; they are accumulated over the days and over the hours of a day, and the window over rows runs inside an hour.
+Nothing is counted, sampled or collected beforehand, and a null time is a cell of its own.
 """
 
 from __future__ import annotations
 
+from functools import reduce
 from typing import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Rows one window task should hold, and the bound on slices (and so on literals and totals).
-ROWS_PER_SLICE = 2_000_000
-MAX_SLICES = 2_000
-SAMPLES_PER_SLICE = 20
-
-
-def split_points(df: DataFrame, order: Sequence[str], slices: int, rows: int) -> list:
-    """At most ``slices - 1`` ordering keys, ascending. The driver receives only a bounded sample."""
-    if slices < 2:
-        return []
-    wanted = slices * SAMPLES_PER_SLICE
-    keys = df.select(*order)
-    if rows > wanted:
-        keys = keys.sample(fraction=min(1.0, 1.2 * wanted / rows), seed=7)
-    drawn = keys.orderBy(*order).limit(2 * wanted).collect()
-    step = max(1, len(drawn) // slices)
-    return sorted({tuple(row) for row in drawn[step::step]})[: slices - 1]
-
-
-def _slice(order: Sequence[str], points: list, schema) -> Column:
-    """Number of split points up to the row's key, by halving: a dozen comparisons per row."""
-    types = [schema[name].dataType for name in order]
-    key = F.struct(*[F.col(name) for name in order])
-
-    def literal(point) -> Column:
-        return F.struct(*[F.lit(v).cast(t).alias(n) for v, t, n in zip(point, types, order)])
-
-    def halve(low: int, high: int) -> Column:
-        if low == high:
-            return F.lit(low)
-        middle = (low + high) // 2
-        return F.when(key < literal(points[middle]), halve(low, middle)).otherwise(halve(middle + 1, high))
-
-    return halve(0, len(points))
-
-
-def running_sum(
-    df: DataFrame,
-    value: Column,
-    order: Sequence[str],
-    alias: str,
-    within: Sequence[str] = (),
-    rows_per_slice: int = ROWS_PER_SLICE,
-    rows: int | None = None,
-) -> DataFrame:
+def running_sum(df: DataFrame, value: Column, order: Sequence[str], alias: str, within: Sequence[str] = ()) -> DataFrame:
     """Running total of ``value`` over the whole table (or within groups) in ``order``.
 
-    Groups may be of any size: a group is cut into slices like the table is. ``rows`` saves the
-    count where the caller has it. The table is read several times: pass a stored one.
+    The first ordering column is a timestamp; nulls come first. A window over all days sees a row per day and group,
+    one over a day its hours, the last one the rows of an hour.
     """
-    rows = df.count() if rows is None else rows
-    slices = min(MAX_SLICES, -(-rows // rows_per_slice))
-    points = split_points(df, order, slices, rows)
-    sliced = df.withColumn("_value", value)
     keys = [F.col(name) for name in within]
-    if not points:
-        if not within:
-            # One slice: the table has at most rows_per_slice rows.
-            window = Window.orderBy(*order)
-        else:
-            window = Window.partitionBy(*keys).orderBy(*order)
-        window = window.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        return sliced.withColumn(alias, F.sum("_value").over(window)).drop("_value")
-
-    sliced = sliced.withColumn("_slice", _slice(order, points, df.schema))
-    totals = sliced.groupBy(*within, "_slice").agg(F.sum("_value").alias("_total"))
-    before = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(
-        *[F.col(name).alias(f"_g_{name}") for name in within],
-        F.col("_slice").alias("_g_slice"),
-        F.coalesce(F.sum("_total").over(before), F.lit(0)).alias("_before"),
-    )
-    inside = (Window.partitionBy(*keys, "_slice").orderBy(*order)
-              .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    match = F.col("_slice") == F.col("_g_slice")
-    for name in within:
-        match = match & F.col(name).eqNullSafe(F.col(f"_g_{name}"))
-    return (
-        sliced.withColumn("_inside", F.sum("_value").over(inside))
-        .join(offsets, match, "left")
-        .withColumn(alias, F.col("_inside") + F.col("_before"))
-        .select(*df.columns, alias)
-    )
-
-
-def position(df: DataFrame, order: Sequence[str], alias: str = "position", **options) -> DataFrame:
+    cells = df.withColumns({"_value": value, "_day": F.date_trunc("day", order[0]), "_hour": F.date_trunc("hour", order[0])})
+    hours = cells.groupBy(*keys, "_day", "_hour").agg(F.sum("_value").alias("_sum"))
+    days = hours.groupBy(*keys, "_day").agg(F.sum("_sum").alias("_sum"))
+    to_here = (Window.unboundedPreceding, -1)
+    days = days.withColumn("_days", F.sum("_sum").over(Window.partitionBy(*keys).orderBy("_day").rowsBetween(*to_here)))
+    hours = hours.withColumn("_hours", F.sum("_sum").over(Window.partitionBy(*keys, "_day").orderBy("_hour").rowsBetween(*to_here)))
+    names = {name: f"_g_{name}" for name in (*within, "_day", "_hour")}
+    days = days.select(*[F.col(n).alias(f"_d_{n}") for n in (*within, "_day")], "_days")
+    met = reduce(lambda a, b: a & b, [F.col(n).eqNullSafe(F.col(f"_d_{n}")) for n in (*within, "_day")])
+    before = hours.join(days, met).select(
+        *[F.col(n).alias(g) for n, g in names.items()],
+        (F.coalesce("_days", F.lit(0)) + F.coalesce("_hours", F.lit(0))).alias("_before"))
+    inside = Window.partitionBy(*keys, "_day", "_hour").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    match = reduce(lambda a, b: a & b, [F.col(n).eqNullSafe(F.col(g)) for n, g in names.items()])
+    return (cells.withColumn("_inside", F.sum("_value").over(inside)).join(before, match)
+            .withColumn(alias, F.col("_inside") + F.col("_before")).select(*df.columns, alias))
+
+
+def position(df: DataFrame, order: Sequence[str], alias: str = "position") -> DataFrame:
     """1-based position of each row in the whole table."""
-    return running_sum(df, F.lit(1).cast("long"), order, alias, **options)
+    return running_sum(df, F.lit(1).cast("long"), order, alias)
 
 
 def rank_by(df: DataFrame, value: str, alias: str) -> DataFrame:

@@ -286,10 +286,18 @@ def health_alerts(sweep: DataFrame, source: str = "health_sweep") -> DataFrame:
     )
 
 
-def missing_tables(listing: DataFrame, expected: Sequence[str]) -> DataFrame:
-    """Expected tables that are absent or empty, from a table listing."""
+def missing_tables(listing: DataFrame, expected: Sequence[str], any_of: str | None = None) -> DataFrame:
+    """Expected tables that are absent or empty, from a table listing.
+
+    ``any_of`` is a name prefix of which at least one table must exist with rows, as in "at least one Gold table".
+    """
     wanted = listing.sparkSession.createDataFrame([(n,) for n in expected], "name string")
     joined = wanted.join(listing, "name", "left")
     problem = (F.when(~F.coalesce("exists", F.lit(False)), "nao encontrada")
                .when(F.col("rows") == 0, "vazia"))
-    return joined.select("name", problem.alias("problema")).where(F.col("problema").isNotNull())
+    found = joined.select("name", problem.alias("problema")).where(F.col("problema").isNotNull())
+    if any_of is None:
+        return found
+    filled = F.count_if(F.col("name").startswith(any_of) & F.col("exists") & (F.col("rows") > 0))
+    none = listing.agg(filled.alias("n")).where("n = 0").select(F.lit(any_of).alias("name"), F.lit("nenhuma").alias("problema"))
+    return found.unionByName(none)

@@ -39,16 +39,15 @@ def usage_totals(actions: DataFrame) -> DataFrame:
     )
 
 
-def cumulative_cost(actions: DataFrame, within: Sequence[str] = (), **options) -> DataFrame:
+def cumulative_cost(actions: DataFrame, within: Sequence[str] = ()) -> DataFrame:
     """Running cost in time order, over all calls or per group."""
-    return running_sum(actions, F.col("cost"), ("timestamp", "action_id"), "custo_acumulado",
-                       within, **options)
+    return running_sum(actions, F.col("cost"), ("timestamp", "action_id"), "custo_acumulado", within)
 
 
-def budget(actions: DataFrame, limit: float = P.BUDGET_LIMIT, within: Sequence[str] = (), **options) -> DataFrame:
+def budget(actions: DataFrame, limit: float = P.BUDGET_LIMIT, within: Sequence[str] = ()) -> DataFrame:
     """What each call left of the budget, and whether it was used up."""
     spent = F.col("custo_acumulado")
-    return cumulative_cost(actions, within, **options).withColumns({
+    return cumulative_cost(actions, within).withColumns({
         "orcamento_restante": F.greatest(F.lit(0.0), F.lit(float(limit)) - spent),
         "orcamento_excedido": spent >= limit,
     })

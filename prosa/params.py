@@ -69,10 +69,10 @@ PLATE = rf"(?iu){NOT_AFTER_WORD}[A-Z]{{3}}{D}[A-Z0-9]{D}{{2}}{NOT_BEFORE_WORD}"
 PHONE = rf"\(?{D}{{2}}\)?{SPACE}?{D}{{4,5}}-?{D}{{4}}{NOT_BEFORE_WORD}"
 COMPETITOR = rf"(?iu){NOT_AFTER_WORD}(?:{'|'.join(COMPETITORS)}){NOT_BEFORE_WORD}"
 
-# Every CPF, CEP, plate and phone contains the first, every competitor name the second. Rows
-# without them skip the patterns above.
+# Every CPF, CEP, plate and phone contains the first, every competitor name the second, the
+# first four letters of one. Rows without them skip the patterns above.
 SOME_DIGITS = rf"{D}{{2}}"
-SOME_NAME = r"[EeLlAaMmUu](?iu:guro|lianz|pfre|arine|hai)"
+SOME_NAME = rf"(?iu){'|'.join(sorted({name[:4] for name in COMPETITORS}))}"
 
 ANY_EMAIL = rf"{EDGE}[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{{2,}}{EDGE}"
 ANY_PHONE = rf"{EDGE}(?:\+55{SPACE}?)?\(?{D}{{2}}\)?{SPACE}?{D}{{4,5}}-?{D}{{4}}{NOT_BEFORE_WORD}"

@@ -85,13 +85,13 @@ def gold_frames(convs: DataFrame, profile: Profile = CANONICAL) -> dict[str, Dat
     return frames
 
 
-def build_gold(tables: Tables, profile: Profile = CANONICAL) -> dict[str, int]:
+def build_gold(tables: Tables, profile: Profile = CANONICAL, convs: DataFrame | None = None) -> dict[str, int]:
     """Write all Gold tables from Silver conversations; rows per table.
 
     Each table reads only its own columns of the (columnar) Silver table. Column selection keeps
     personal data out: no Gold table has a message text, phone, name, plate or hash.
     """
-    convs = tables.read("silver_conversations")
+    convs = tables.read("silver_conversations") if convs is None else convs
 
     def write(item: tuple[str, DataFrame]) -> tuple[str, int]:
         name, frame = item

@@ -38,11 +38,13 @@ def build_session(app: str = "prosa", master: str | None = None, **conf: str) ->
 def scratch_dir(spark: SparkSession, label: str) -> str:
     """A fresh folder under the cluster's shared ``spark.checkpoint.dir``.
 
-    Only where that setting is absent (local tests) a machine folder is used, and the
-    setting is filled in so that later calls agree.
+    Executors of a cluster can't see each other's disks, so without the setting this fails there. Only a
+    local session, where all is one machine, gets a folder of its own.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         base = tempfile.mkdtemp(prefix="prosa-")
         spark.conf.set("spark.checkpoint.dir", base)
     return os.path.join(base, f"{label}-{uuid.uuid4().hex[:12]}")

@@ -123,18 +123,9 @@ turns AS (
   FROM conversations)
 """
 
-# Tables whose rows get costly text work.
-HEAVY = ("events", "lineitem", "documents", "pages")
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table of the data folder. A heavy one that comes as fewer splits than there are cores (one
-    file with one row group, as in the test data) is spread first; one of many splits is not moved."""
-    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    if name in HEAVY and df.rdd.getNumPartitions() < cores:
-        df = df.repartition(cores)
-    return df
+    """A table of the data folder."""
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def _run(spark: SparkSession, sf_dir: str, ctes: str, result: str, *tables: str) -> DataFrame:

@@ -1,14 +1,17 @@
-"""Named tables under a root folder: reading, appending, replacing, listing.
+"""Named tables under a root folder: reading, appending, replacing safely, listing.
 
 The format is a parameter: ``parquet`` (default) or ``delta`` where its package is installed.
-With Parquet, every write goes to a folder ``_batch_id=N`` of its table. Appends get the next
-number, a replay of the same number replaces only its own folder, and a table can be read as of a
-batch. With Delta these are the format's own versions.
+With Parquet, each writer appends into folders of its own, ``_writer=NAME/_batch_id=N``. Repeating
+a batch replaces that writer's folder N and nothing else, so two jobs, or a job and a stream, never
+touch each other's rows. Replacing a table writes beside it first and swaps the folders after success.
+The schema is kept beside the rows, so a read opens no footers.
 """
 
 from __future__ import annotations
 
+import json
 import os
+import uuid
 from typing import Mapping
 
 from pyspark.errors import PySparkException
@@ -16,7 +19,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-BATCH = "_batch_id"
+from prosa.schemas import NOTEBOOK_RUNS
+
+BATCH, WRITER, SCHEMA = "_batch_id", "_writer", "_schema.json"
 
 # Logical names and where they live below the root.
 LAYOUT = {
@@ -70,29 +75,35 @@ def _folders(spark: SparkSession, path: str) -> list[str]:
     files, hadoop = _file_system(spark, path)
     if not files.exists(hadoop):
         return []
-    return sorted(s.getPath().getName() for s in files.listStatus(hadoop) if s.isDirectory())
-
-
-def _reads_below(df: DataFrame, path: str) -> bool:
-    """Whether a frame scans files at or below a path. Looks at the roots of its scans only, so the
-    number of files does not matter."""
-    spark = df.sparkSession
-    files, target = _file_system(spark, path)
-    own = files.makeQualified(target).toString()
-    leaves = df._jdf.queryExecution().analyzed().collectLeaves()
-    for i in range(leaves.size()):
-        leaf = leaves.apply(i)
-        if leaf.getClass().getSimpleName() != "LogicalRelation":
-            continue
-        relation = leaf.relation()
-        if relation.getClass().getSimpleName() != "HadoopFsRelation":
-            continue
-        roots = relation.location().rootPaths()
-        for j in range(roots.size()):
-            root = roots.apply(j).toString()
-            if root == own or root.startswith(own + "/") or own.startswith(root + "/"):
-                return True
-    return False
+    return sorted(s.getPath().getName() for s in files.listStatus(hadoop)
+                  if s.isDirectory() and not s.getPath().getName().startswith("."))
+
+
+def _stored_schema(spark: SparkSession, path: str) -> T.StructType | None:
+    files, hadoop = _file_system(spark, f"{path}/{SCHEMA}")
+    if not files.exists(hadoop):
+        return None
+    stream = files.open(hadoop)
+    try:
+        return T.StructType.fromJson(json.loads(spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")))
+    finally:
+        stream.close()
+
+
+def _store_schema(spark: SparkSession, path: str, schema: T.StructType) -> None:
+    """Keep the table's schema: fields known before, then new ones, all nullable."""
+    known = _stored_schema(spark, path)
+    fields = {f.name: f for f in (known.fields if known else [])}
+    for f in schema.fields:
+        if f.name in fields and fields[f.name].dataType.simpleString() != f.dataType.simpleString():
+            raise ValueError(f"{path}: column {f.name} is {fields[f.name].dataType.simpleString()}, not {f.dataType.simpleString()}")
+        fields.setdefault(f.name, T.StructField(f.name, f.dataType, True))
+    if known is not None and len(fields) == len(known.fields):
+        return
+    files, hadoop = _file_system(spark, f"{path}/{SCHEMA}")
+    out = files.create(hadoop, True)
+    out.writeBytes(json.dumps(T.StructType(list(fields.values())).jsonValue()))
+    out.close()
 
 
 class Tables:
@@ -106,12 +117,11 @@ class Tables:
         """Path of a logical name; an unknown name is a path already."""
         return os.path.join(self.root, self.layout[name]) if name in self.layout else name
 
-    def read(self, name: str, as_of: int | None = None, merge_schema: bool | None = None) -> DataFrame:
-        """The table, or its state after batch (Delta: version) ``as_of``.
+    def read(self, name: str, as_of: int | None = None, origin: bool = False) -> DataFrame:
+        """The table, or (one writer's appends) its state after batch ``as_of``.
 
-        A table folder, a single file and a folder of plain Parquet files read the same way.
-        Schemas are merged, which reads every footer, only for a table of several batches:
-        one write gives one schema.
+        ``origin`` keeps the columns that tell writer and batch. A table folder, a single file and a
+        folder of plain Parquet files read the same way.
         """
         path = self.path(name)
         if self.fmt == "delta":
@@ -119,15 +129,15 @@ class Tables:
             if as_of is not None:
                 reader = reader.option("versionAsOf", as_of)
             return reader.load(path)
-        if merge_schema is None:
-            merge_schema = sum(f.startswith(f"{BATCH}=") for f in _folders(self.spark, path)) > 1
-        df = self.spark.read.option("mergeSchema", merge_schema).parquet(path)
-        if BATCH not in df.columns:
-            return df
+        schema = _stored_schema(self.spark, path)
+        if schema is None:
+            return self.spark.read.parquet(path)
+        parts = [T.StructField(WRITER, T.StringType()), T.StructField(BATCH, T.LongType())]
+        df = self.spark.read.schema(T.StructType([*schema.fields, *parts])).parquet(path)
         if as_of is not None:
             # A partition column: later batches are not even listed for the scan.
             df = df.where(F.col(BATCH) <= as_of)
-        return df.drop(BATCH)
+        return df if origin else df.drop(WRITER, BATCH)
 
     def exists(self, name: str) -> bool:
         files, hadoop = _file_system(self.spark, self.path(name))
@@ -147,39 +157,55 @@ class Tables:
                 return -1
             history = self.spark.sql(f"DESCRIBE HISTORY delta.`{path}`")
             return history.agg(F.max("version")).first()[0]
-        numbers = [int(f.split("=", 1)[1]) for f in _folders(self.spark, path)
-                   if f.startswith(f"{BATCH}=")]
-        return max(numbers, default=-1)
+        return max((n for w in _folders(self.spark, path) if w.startswith(f"{WRITER}=") for n in self._batches(path, w)), default=-1)
+
+    def _batches(self, path: str, writer_folder: str) -> list[int]:
+        return [int(f.split("=", 1)[1]) for f in _folders(self.spark, f"{path}/{writer_folder}") if f.startswith(f"{BATCH}=")]
 
     def count(self, name: str) -> int:
         """Row count, from Parquet footers."""
         return self.read(name).count()
 
-    def append(self, df: DataFrame, name: str, batch: int | None = None) -> int:
-        """Add rows as a new batch and return its number. New columns are allowed: reads merge the
-        schemas. Writing a given number again replaces that batch, so a retried job adds its rows
-        once."""
+    def append(self, df: DataFrame, name: str, batch: int | None = None, writer: str = "batch") -> int:
+        """Add rows as a new batch of this writer and return its number. New columns are allowed.
+
+        Writing a given number again replaces that batch of the same writer, so a retried job adds
+        its rows once.
+        """
         path = self.path(name)
         if self.fmt == "delta":
             df.write.format("delta").mode("append").option("mergeSchema", "true").save(path)
             return self.version(name)
-        number = self.version(name) + 1 if batch is None else batch
-        df.write.mode("overwrite").parquet(f"{path}/{BATCH}={number}")
+        number = max(self._batches(path, f"{WRITER}={writer}"), default=-1) + 1 if batch is None else batch
+        df.write.mode("overwrite").parquet(f"{path}/{WRITER}={writer}/{BATCH}={number}")
+        _store_schema(self.spark, path, df.schema)
         return number
 
     def overwrite(self, df: DataFrame, name: str) -> int:
-        """Replace table and schema. The rows must not come from the table itself: Spark would
-        delete what it still has to read, so that is refused."""
+        """Replace table and schema. The rows go to a folder beside the table, which takes its place
+        when they are complete: a failed job leaves the table as it was, and rows may come from it."""
         path = self.path(name)
         if self.fmt == "delta":
             df.write.format("delta").mode("overwrite").option("overwriteSchema", "true").save(path)
             return self.version(name)
-        if _reads_below(df, path):
-            raise ValueError(f"{path} is read by the rows that would replace it; write to another path")
-        df.withColumn(BATCH, F.lit(0)).write.mode("overwrite").partitionBy(BATCH).parquet(path)
-        if f"{BATCH}=0" not in _folders(self.spark, path):
-            # No rows, so no folder: keep the schema readable.
-            df.limit(0).write.mode("overwrite").parquet(f"{path}/{BATCH}=0")
+        mark = uuid.uuid4().hex[:12]
+        parent, leaf = os.path.split(path)
+        fresh, old = (f"{parent}/.{leaf}-{what}-{mark}" for what in ("new", "old"))
+        files, there = _file_system(self.spark, path)
+        _, beside = _file_system(self.spark, fresh)
+        try:
+            df.write.parquet(f"{fresh}/{WRITER}=batch/{BATCH}=0")
+            _store_schema(self.spark, fresh, df.schema)
+        except Exception:
+            files.delete(beside, True)
+            raise
+        _, aside = _file_system(self.spark, old)
+        if files.exists(there) and not files.rename(there, aside):
+            raise OSError(f"{path} can't be moved aside")
+        if not files.rename(beside, there):
+            files.rename(aside, there)
+            raise OSError(f"{path} can't be replaced")
+        files.delete(aside, True)
         return 0
 
     def write(self, df: DataFrame, name: str, mode: str = "overwrite") -> int:
@@ -237,6 +263,12 @@ def export_csv(df: DataFrame, path: str) -> None:
     df.select(*flat).write.mode("overwrite").option("header", True).csv(path)
 
 
-def append_record(spark: SparkSession, tables: Tables, name: str, record: Mapping) -> int:
-    """Append one log record; fields it has that the log lacks become new columns."""
-    return tables.append(spark.createDataFrame([dict(record)]), name)
+def append_record(spark: SparkSession, tables: Tables, name: str, record: Mapping,
+                  schema: T.StructType = NOTEBOOK_RUNS) -> int:
+    """Append one log record. ``schema`` names and types its fields; a field without a value is null. Text
+    fields that the schema lacks are added."""
+    more = [T.StructField(k, T.StringType()) for k in record if k not in schema.names]
+    whole = T.StructType([*schema.fields, *more])
+    row = tuple(None if record.get(f.name) is None else float(record[f.name]) if isinstance(f.dataType, T.DoubleType)
+                else str(record[f.name]) if isinstance(f.dataType, T.StringType) else record[f.name] for f in whole.fields)
+    return tables.append(spark.createDataFrame([row], whole).coalesce(1), name)

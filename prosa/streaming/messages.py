@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import time
 from typing import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,76 +15,110 @@ from prosa.operators import bronze as B
 from prosa.operators import conversations as C
 from prosa.operators import silver as S
 from prosa.operators.ordering import latest_per_key
-from prosa.operators.silver import status_rank
 from prosa.params import CANONICAL, Profile
+from prosa.plans.medallion import build_gold
 from prosa.schemas import SOURCE_MESSAGES
-from prosa.sources.tables import Tables
+from prosa.sources.tables import BATCH, WRITER, Tables
+
+ORIGIN = "_arrived_from"
 
 
 def arriving(spark: SparkSession, folder: str, schema: T.StructType = SOURCE_MESSAGES,
              files_per_batch: int = 1000) -> DataFrame:
-    """Message files as they land in a folder. The schema is given: a stream must not change it."""
-    return (spark.readStream.schema(schema)
-            .option("maxFilesPerTrigger", files_per_batch).parquet(folder))
+    """Message files as they land in a folder, with the file each came from. The schema is given: a
+    stream must not change it."""
+    files = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(folder)
+    return files.select("*", F.col("_metadata.file_path").alias(ORIGIN))
 
 
-def _start(stream: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: str,
+def _start(stream: DataFrame, write: Callable[[DataFrame, int, str], None], checkpoint: str,
            every: str | None) -> StreamingQuery:
-    writer = stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(write)
+    """Run ``write`` with each micro-batch, its number and the name this stream writes under. The name is the
+    stream's own id, which its checkpoint keeps: a new checkpoint is another writer."""
+    def named(batch: DataFrame, number: int) -> None:
+        state = batch.sparkSession.read.text(f"{checkpoint}/metadata").first()[0]
+        write(batch, number, f"stream-{json.loads(state)['id']}")
+
+    writer = stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(named)
     if every is None:
         return writer.trigger(availableNow=True).start()
     return writer.trigger(processingTime=every).start()
 
 
+def _others(tables: Tables, name: str, writer: str, number: int) -> DataFrame:
+    """All rows of a table but those of one batch of one writer."""
+    held = tables.read(name, origin=True)
+    return held.where(~((F.col(WRITER) == writer) & (F.col(BATCH) == number))).drop(WRITER, BATCH)
+
+
 def stream_to_bronze(source: DataFrame, tables: Tables, checkpoint: str, every: str | None = None,
                      profile: Profile = CANONICAL) -> StreamingQuery:
     """Append arriving messages that are new to Bronze.
 
-    A micro-batch goes to the Bronze batch of the same number. When Spark repeats it after a
-    failure the same folder is replaced, and the comparison looks only at earlier batches.
+    A micro-batch is compared with everything in Bronze but itself and goes to its own folder: batch jobs and
+    other streams may write the same table, and a micro-batch repeated after a failure adds its rows once.
     ``every=None`` handles what is there and stops.
     """
-    def write(batch: DataFrame, number: int) -> None:
+    def write(batch: DataFrame, number: int, writer: str) -> None:
         typed = batch if profile.name == "notebook" else B.cast_timestamp(batch)
-        if number > 0 and tables.exists("bronze"):
-            held = tables.read("bronze", as_of=number - 1)
+        if tables.exists("bronze"):
+            held = _others(tables, "bronze", writer, number)
             typed = B.unseen_ids(typed, held) if profile.name == "notebook" else B.new_rows(typed, held)
-        tables.append(B.stamp(B.parse_metadata(typed, profile), "stream"), "bronze", batch=number)
+        came = typed.withColumn("_from", F.col(ORIGIN)).drop(ORIGIN) if ORIGIN in typed.columns else typed.withColumn("_from", F.lit("stream"))
+        stamped = B.stamp(B.parse_metadata(came, profile), "").withColumn("_source_file", F.col("_from")).drop("_from")
+        tables.append(stamped, "bronze", batch=number, writer=writer)
 
     return _start(source, write, checkpoint, every)
 
 
-def stream_dedup(messages: DataFrame, delay: str = "1 day", profile: Profile = CANONICAL) -> DataFrame:
-    """One row per logical message of a stream, with its most advanced status.
+def stream_messages(messages: DataFrame, tables: Tables, name: str, checkpoint: str, every: str | None = None) -> StreamingQuery:
+    """Append a stream of typed messages to a table as they come. :func:`resolved` reads its current state."""
+    def write(batch: DataFrame, number: int, writer: str) -> None:
+        tables.append(batch.drop(ORIGIN), name, batch=number, writer=writer)
 
-    The message time is part of the key, so a group is final once the watermark passes it: a
-    better status that arrives up to ``delay`` late still wins. Emit in append mode.
-    """
-    keys = [k for k in profile.dedup_keys if k != "timestamp"]
-    rest = [c for c in messages.columns if c not in (*keys, "timestamp")]
-    best = F.min_by(F.struct(*rest), F.struct(-status_rank(profile), F.col("message_id")))
-    return (messages.withWatermark("timestamp", delay)
-            .groupBy("timestamp", *keys).agg(best.alias("_best"))
-            .select(*keys, "timestamp", "_best.*").select(*messages.columns))
+    return _start(messages, write, checkpoint, every)
+
+
+def resolved(messages: DataFrame, profile: Profile = CANONICAL) -> DataFrame:
+    """One row per logical message, with its most advanced status so far. No row waits for a watermark, and a
+    better status wins however late it comes."""
+    return S.deduplicate(messages, profile)
 
 
 def refresh_touched(bronze_stream: DataFrame, tables: Tables, checkpoint: str, every: str | None = "60 seconds",
-                    profile: Profile = CANONICAL) -> StreamingQuery:
-    """Keep Silver current as Bronze grows.
+                    profile: Profile = CANONICAL, gold: bool = True) -> StreamingQuery:
+    """Keep Silver and Gold current as Bronze grows.
 
-    Each micro-batch names the conversations it touched. Their messages are read again from
-    Bronze and their rows computed anew, so no partial average is ever merged. New versions are
-    appended with the batch number; :func:`latest_versions` reads the current state.
+    Each micro-batch names the conversations it touched. Their messages are read again from Bronze and their
+    Silver rows computed anew, so no partial average is ever merged. New versions are appended;
+    :func:`latest_versions` and :func:`latest_messages` read the current state, in which rows written by a batch
+    job are the oldest. Gold is then written from the current conversations.
     """
-    def write(batch: DataFrame, number: int) -> None:
+    def write(batch: DataFrame, number: int, writer: str) -> None:
         touched = batch.select("conversation_id").distinct()
         held = tables.read("bronze").join(touched, "conversation_id", "left_semi")
-        fresh = C.silver_conversations(S.silver_messages(held, profile), profile)
-        tables.append(fresh.withColumn("_version", F.lit(number)), "silver_conversations", batch=number)
+        version = F.lit(time.time_ns() // 1000).alias("_version")
+        messages = S.silver_messages(held, profile)
+        tables.append(messages.select("*", version), "silver_messages", batch=number, writer=writer)
+        fresh = C.silver_conversations(messages, profile)
+        tables.append(fresh.select("*", version), "silver_conversations", batch=number, writer=writer)
+        if gold:
+            build_gold(tables, profile, latest_versions(tables.read("silver_conversations")))
 
     return _start(bronze_stream, write, checkpoint, every)
 
 
 def latest_versions(conversations: DataFrame) -> DataFrame:
     """The newest version of every conversation."""
-    return latest_per_key(conversations, ["conversation_id"], [F.desc("_version")]).drop("_version")
+    if "_version" not in conversations.columns:
+        return conversations
+    return latest_per_key(conversations, ["conversation_id"], [F.desc_nulls_last("_version")]).drop("_version")
+
+
+def latest_messages(messages: DataFrame) -> DataFrame:
+    """The messages of the newest version of every conversation."""
+    if "_version" not in messages.columns:
+        return messages
+    newest = messages.groupBy(F.col("conversation_id").alias("_c")).agg(F.coalesce(F.max("_version"), F.lit(0)).alias("_v"))
+    same = F.col("conversation_id").eqNullSafe(F.col("_c")) & (F.coalesce("_version", F.lit(0)) == F.col("_v"))
+    return messages.join(newest, same, "left_semi").drop("_version")

@@ -117,16 +117,22 @@ def test_charts(spark, seven):
     fall = charts.waterfall(seven).collect()
     assert [r["rotulo"] for r in fall] == ["Total de Leads", "Proposta Enviada", "Venda Fechada", "Ghosting", "Perdido Concorrente"]
     assert [r["valor"] for r in fall] == [7, -1, 2, -2, -1]
+    stored = leads.funnel(seven)
+    assert [tuple(r) for r in charts.waterfall(stored, "contagem").collect()] == [tuple(r) for r in fall]
+    assert charts.conversion_rate(stored, "contagem").collect() == charts.conversion_rate(seven).collect()
+    other = seven.withColumn("conversation_outcome", F.when(F.col("conversation_id") == "conv_001", None).otherwise("contato_inicial"))
+    assert charts.waterfall(other).first()["valor"] == 7
+    named = competition.outcome_cross(other).agg(F.sum("outros")).first()[0]
+    assert named == seven.where("competitor_mentioned IS NOT NULL").count()
+    cells = charts.cross_counts(segments.with_segments(seven), "seg_regiao", "seg_origem")
+    assert cells.agg(F.sum("quantidade")).first()[0] == 7
+    assert charts.cross_columns(seven.select("conversation_id", "conversation_outcome", "agent_id"), 5) == ["conversation_outcome", "agent_id"]
     counts = charts.category_counts(seven, "conversation_outcome").collect()
     assert counts[0]["rotulo"] == "Ghosting" and counts[0]["pct"] == 28.6
     edge = spark.createDataFrame([(0.0,), (100.0,), (5.0,), (None,)], "lead_score double")
     assert {r["faixa"]: r["quantidade"] for r in charts.histogram(edge, "lead_score").collect()} == {0: 1, 1: 1, 19: 1}
     box = by(charts.box_statistics(leads.with_lead_score(seven), "conversation_outcome", "lead_score"), "conversation_outcome")
     assert (box["ghosting"]["minimo"], box["ghosting"]["mediana"], box["ghosting"]["maximo"]) == (5.0, 15.0, 25.0)
-    assert charts.find_column(seven, "agente", "agent_id") == "agent_id"
-    assert charts.find_column(seven, "CITY") == "lead_city" and charts.find_column(seven, "zzz") is None
-    assert charts.kpi_kind("Funil-de-Conversao") == "funil_conversao" and charts.kpi_kind("outra") is None
-    assert charts.chart_kinds("gold_personas") == ("pie", "box") and charts.chart_kinds("x") == ()
     assert charts.first_groupable(seven.select("conversation_id", "agent_id"), 3) == "agent_id"
     assert charts.fallback_counts(seven.select("total_messages")) is None
     shares = by(charts.sentiment_shares(sentiment.gold_sentiment(seven).drop("sentimento")), "categoria")

@@ -100,16 +100,16 @@ def test_rolling_tokens_against_brute_force(spark):
         assert got[moment] == sum(c[7] + c[8] for c in calls if start <= c[3] <= moment)
 
 
-@pytest.mark.parametrize("slice_rows", [7, 50, 10_000])
-def test_running_sum_against_brute_force(spark, slice_rows):
-    """Half of the rows share one moment and one group."""
-    rng = random.Random(2)
-    rows = [(f"i{i:04d}", "hot" if i % 2 else rng.choice("ab"), 5 if i % 2 else rng.randint(0, 9), rng.randint(1, 5)) for i in range(400)]
-    df = spark.createDataFrame(rows, "id string, g string, t int, v int").repartition(5)
-    total = by(ordering.running_sum(df, F.col("v"), ("t", "id"), "s", rows_per_slice=slice_rows), "id")
-    group = by(ordering.running_sum(df, F.col("v"), ("t", "id"), "s", ["g"], rows_per_slice=slice_rows), "id")
-    place = by(ordering.position(df, ("t", "id"), rows_per_slice=slice_rows), "id")
-    ordered = sorted(rows, key=lambda r: (r[2], r[0]))
+def test_running_sum_against_brute_force(spark):
+    """Half of the rows share one moment and one group; some have no time and come first."""
+    rng, start = random.Random(2), dt.datetime(2026, 2, 1)
+    times = [None if rng.random() < 0.1 else start + dt.timedelta(minutes=rng.randint(0, 9000)) for _ in range(400)]
+    rows = [(f"i{i:04d}", "hot" if i % 2 else rng.choice(["a", None]), start if i % 2 else t, rng.randint(1, 5)) for i, t in enumerate(times)]
+    df = spark.createDataFrame(rows, "id string, g string, t timestamp, v int").repartition(5)
+    total = by(ordering.running_sum(df, F.col("v"), ("t", "id"), "s"), "id")
+    group = by(ordering.running_sum(df, F.col("v"), ("t", "id"), "s", ["g"]), "id")
+    place = by(ordering.position(df, ("t", "id")), "id")
+    ordered = sorted(rows, key=lambda r: (r[2] is not None, r[2] or start, r[0]))
     seen, per = 0, {}
     for n, (rid, g, _, v) in enumerate(ordered, 1):
         seen, per[g] = seen + v, per.get(g, 0) + v

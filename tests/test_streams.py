@@ -1,9 +1,11 @@
 
 from fixtures import by, later_batch, message, source, two_conversations
 from prosa.operators.bronze import cast_timestamp
-from prosa.plans.medallion import one_plan
+from prosa.plans.medallion import build_silver, ingest, one_plan
 from prosa.sources.tables import Tables
-from prosa.streaming.messages import arriving, latest_versions, refresh_touched, stream_dedup, stream_to_bronze
+from prosa.streaming.messages import (
+    arriving, latest_messages, latest_versions, refresh_touched, resolved, stream_messages, stream_to_bronze,
+)
 
 
 def land(df, folder):
@@ -21,39 +23,66 @@ def test_bronze_takes_new_messages_only(spark, tmp_path):
     assert tables.count("bronze") == 4
     land(two_conversations(spark).unionByName(later_batch(spark)), folder)
     run()
-    assert tables.count("bronze") == 6 and tables.version("bronze") == 1
+    assert tables.count("bronze") == 6
     run()
     assert tables.count("bronze") == 6
 
 
-def test_repeated_micro_batch_adds_nothing(spark, tmp_path):
-    """A batch that was written but not committed is written again under its number."""
+def test_new_checkpoint_adds_nothing_twice(spark, tmp_path):
+    """A stream that starts again without its state compares with all that is there."""
     folder, tables = str(tmp_path / "in"), Tables(spark, str(tmp_path / "data"))
     land(two_conversations(spark), folder)
     for state in ("lost", "again"):
         stream_to_bronze(arriving(spark, folder), tables, str(tmp_path / state)).awaitTermination()
-        assert tables.count("bronze") == 4 and tables.version("bronze") == 0
+        assert tables.count("bronze") == 4
+
+
+def test_batch_and_stream_write_one_table(spark, tmp_path):
+    folder, tables = str(tmp_path / "in"), Tables(spark, str(tmp_path / "data"))
+    two_conversations(spark).write.parquet(str(tmp_path / "one"))
+    later_batch(spark).write.parquet(str(tmp_path / "two"))
+    ingest(tables, str(tmp_path / "one"))
+    land(two_conversations(spark).limit(1).unionByName(source(spark, message("s1", "c9", at="2026-03-01 10:00:00"))), folder)
+    stream_to_bronze(arriving(spark, folder), tables, str(tmp_path / "state")).awaitTermination()
+    assert tables.count("bronze") == 5
+    ingest(tables, str(tmp_path / "two"))
+    land(source(spark, message("s2", "c9", at="2026-05-01 10:00:00")), folder)
+    stream_to_bronze(arriving(spark, folder), tables, str(tmp_path / "state")).awaitTermination()
+    held = {r["message_id"]: r["_source_file"] for r in tables.read("bronze").collect()}
+    assert len(held) == tables.count("bronze") == 8 and "/in/" in held["s1"]
 
 
-def test_late_better_status_wins_until_the_watermark(spark, tmp_path):
-    folder = str(tmp_path / "in")
-    out, state = str(tmp_path / "out"), str(tmp_path / "state")
+def test_late_better_status_wins_at_any_time(spark, tmp_path):
+    folder, tables = str(tmp_path / "in"), Tables(spark, str(tmp_path / "data"))
 
     def run():
         typed = cast_timestamp(arriving(spark, folder, files_per_batch=1))
-        (stream_dedup(typed, "1 hour").writeStream.format("parquet").outputMode("append")
-         .option("checkpointLocation", state).trigger(availableNow=True).start(out).awaitTermination())
-        return by(spark.read.schema(typed.schema).parquet(out), "message_id")
+        stream_messages(typed, tables, "bronze", str(tmp_path / "state")).awaitTermination()
+        return by(resolved(tables.read("bronze")), "message_id")
 
     land(source(spark, message("a", status="sent"), message("b", status="sent", body="x")), folder)
-    assert run() == {}
+    assert set(run()) == {"a", "b"}
     land(source(spark, message("a2", status="read"), message("n", at="2026-02-01 09:30:00")), folder)
-    assert run() == {}
-    land(source(spark, message("z", at="2026-02-01 12:00:00")), folder)
-    rows = run()
-    assert set(rows) == {"a2", "b", "n"} and rows["a2"]["status"] == "read"
-    land(source(spark, message("late", status="read", body="x"), message("zz", at="2026-02-02 12:00:00")), folder)
-    assert set(run()) == {"a2", "b", "n", "z"}  # after the watermark a better status comes too late
+    assert set(run()) == {"a2", "b", "n"}
+    land(source(spark, message("z", at="2026-02-09 12:00:00")), folder)
+    assert set(run()) == {"a2", "b", "n", "z"}
+    land(source(spark, message("late", status="read", body="x")), folder)
+    assert set(run()) == {"a2", "late", "n", "z"}
+
+
+def test_refresh_after_batch_keeps_all(spark, tmp_path):
+    folder, tables = str(tmp_path / "in"), Tables(spark, str(tmp_path / "data"))
+    two_conversations(spark).write.parquet(str(tmp_path / "one"))
+    ingest(tables, str(tmp_path / "one"))
+    build_silver(tables)
+    before = tables.count("silver_conversations")
+    land(source(spark, message("s1", "c9", at="2026-03-01 10:00:00")), folder)
+    stream_to_bronze(arriving(spark, folder), tables, str(tmp_path / "s1")).awaitTermination()
+    changes = spark.readStream.schema(tables.read("bronze").schema).parquet(tables.path("bronze") + "/_writer=stream-*/*")
+    refresh_touched(changes, tables, str(tmp_path / "s2"), every=None).awaitTermination()
+    assert latest_versions(tables.read("silver_conversations")).count() == before + 1
+    assert latest_messages(tables.read("silver_messages")).count() == tables.count("bronze")
+    assert tables.count("gold_sentiment") == before + 1
 
 
 def test_refresh_equals_batch(spark, tmp_path):
@@ -64,7 +93,7 @@ def test_refresh_equals_batch(spark, tmp_path):
         land(wave, folder)
         stream_to_bronze(arriving(spark, folder), tables, str(tmp_path / "s1")).awaitTermination()
         schema = tables.read("bronze").schema
-        changes = spark.readStream.schema(schema).parquet(tables.path("bronze") + "/*")
+        changes = spark.readStream.schema(schema).parquet(tables.path("bronze") + "/*/*")
         refresh_touched(changes, tables, str(tmp_path / "s2"), every=None).awaitTermination()
     everything = waves[0].unionByName(waves[1]).unionByName(waves[2])
     names = ["conversation_id", "total_messages", "duration_minutes", "conversation_outcome"]

@@ -25,15 +25,31 @@ def test_append_overwrite_versions(spark, tables):
     assert tables.read("bronze").columns == ["id"] and tables.count("bronze") == 2 and tables.version("bronze") == 0
 
 
-def test_own_rows_are_not_overwritten(tables, spark):
+def test_own_rows_may_replace_a_table(tables, spark):
     tables.overwrite(spark.range(2), "bronze")
-    with pytest.raises(ValueError):
-        tables.overwrite(tables.read("bronze").where("id > 0"), "bronze")
-    assert tables.count("bronze") == 2
+    tables.overwrite(tables.read("bronze").where("id > 0"), "bronze")
+    assert tables.count("bronze") == 1
     with pytest.raises(ValueError):
         tables.write(spark.range(1), "bronze", "replace")
 
 
+def test_failed_overwrite_keeps_the_table(tables, spark):
+    tables.overwrite(spark.range(4), "bronze")
+    with pytest.raises(Exception):
+        tables.overwrite(spark.range(3).select(F.raise_error(F.lit("stop")).cast("long").alias("id")), "bronze")
+    assert tables.exists("bronze") and tables.count("bronze") == 4
+
+
+def test_writers_keep_apart(tables, spark):
+    tables.append(spark.range(4), "bronze")
+    tables.append(spark.range(4, 6), "bronze", batch=0, writer="stream-a")
+    tables.append(spark.range(6, 7), "bronze", batch=0, writer="stream-b")
+    tables.append(spark.range(4, 5), "bronze", batch=0, writer="stream-a")
+    assert sorted(r[0] for r in tables.read("bronze").collect()) == [0, 1, 2, 3, 4, 6]
+    with pytest.raises(ValueError):
+        tables.append(spark.range(1).select(F.col("id").cast("string")), "bronze")
+
+
 def test_empty_table_keeps_its_schema(tables, spark):
     tables.overwrite(spark.range(0).withColumn("a", F.lit("x")), "bronze")
     assert tables.exists("bronze") and tables.count("bronze") == 0 and set(tables.read("bronze").columns) == {"id", "a"}
@@ -48,8 +64,8 @@ def test_listing_and_views(tables, spark):
     assert tables.register(extra=spark.range(2)) == ["bronze", "extra"]
     assert spark.sql("SELECT count(*) FROM bronze JOIN extra USING (id)").first()[0] == 2
     assert tables.sql("SELECT max(id) AS m FROM {b}", b=tables.read("bronze")).first()["m"] == 3
-    missing = by(missing_tables(tables.listing(), ["bronze", "gold_vendor"]), "name")
-    assert set(missing) == {"gold_vendor"}
+    missing = by(missing_tables(tables.listing(), ["bronze", "gold_vendor"], any_of="gold"), "name")
+    assert set(missing) == {"gold_vendor", "gold"}
 
 
 def test_gold_discovery(tables, spark):
@@ -73,6 +89,8 @@ def test_plain_files(tables, spark, tmp_path):
 
 def test_records_may_grow(tables, spark):
     path = f"{tables.root}/runs"
-    append_record(spark, tables, path, {"notebook": "01", "rows": 1})
-    append_record(spark, tables, path, {"notebook": "02", "rows": 2, "error": "x"})
-    assert by(tables.read(path), "notebook")["01"]["error"] is None
+    append_record(spark, tables, path, {"notebook": "01", "rows_written": 1, "duration_sec": 2, "error": None})
+    append_record(spark, tables, path, {"notebook": "02", "rows_written": None, "duration_sec": 2.5, "error": "x", "versao": "v2"})
+    rows = by(tables.read(path), "notebook")
+    assert rows["01"]["error"] is None and rows["01"]["versao"] is None and rows["01"]["duration_sec"] == 2.0
+    assert (rows["02"]["rows_written"], rows["02"]["versao"]) == (None, "v2")
