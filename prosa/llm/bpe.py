@@ -17,14 +17,15 @@ import json
 from collections.abc import Iterable, Iterator
 
 import ahocorasick
+import numpy as np
 import pandas as pd
 import regex
 from pyspark.sql import DataFrame
 
-from prosa.llm.common import shipped
+from prosa.llm.common import shipped, small_batches
 
-REMEMBER = 500_000
-BLOCK = 4_000_000
+REMEMBER = 250_000
+BLOCK = 3_000_000
 #: White space as Unicode defines it, and the words of byte-level BPE: fixed values.
 SPACE = "".join(map(chr, (*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 WORDS = (r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^" + SPACE + r"\p{L}\p{N}]+|[" + SPACE + r"]+(?![^" + SPACE + r"])|[" + SPACE + "]+")
@@ -43,7 +44,7 @@ class Coder:
     def __init__(self, definition: str):
         data = json.loads(definition)
         names = byte_names()
-        model = data["model"]
+        model = data.pop("model")
 
         def as_bytes(name: str) -> bytes:
             return bytes(names[c] for c in name)
@@ -155,6 +156,8 @@ class Coder:
             if u not in self.known:
                 if u[0] == "\0" and u[1:] in self.special:
                     self.known[u] = (self.special[u[1:]],)
+                elif u[1:].isalpha() and (u[0] == " " or u[0].isalpha()):
+                    new[u] = [u.encode()]
                 else:
                     new[u] = [w.encode() for w in self.words.findall(u)]
         ids = self.encode_words(w for ws in new.values() for w in ws)
@@ -166,7 +169,8 @@ class Coder:
         every = set().union(*cut)
         if len(self.known) + len(every - self.known.keys()) > REMEMBER:
             self.known.clear()
-            self.pairs.clear()
+            if len(self.pairs) > REMEMBER:
+                self.pairs.clear()
         self.learn(every)
         known = self.known
         return [[i for u in units for i in known[u]] for units in cut]
@@ -201,7 +205,7 @@ def blocks(texts: list[str]) -> Iterator[tuple[int, int]]:
 
 def encode(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, ids: the tokens of every document."""
-    rows = docs.select("doc_id", "text")
+    rows = small_batches(docs.select("doc_id", "text"))
     shared = shared_file(docs.sparkSession, path)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -228,4 +232,20 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     return encoded.mapInPandas(run, schema + ", decoded string")
 
 
+def encode_decode(docs: DataFrame, path: str) -> DataFrame:
+    """doc_id, ids, decoded: tokens of every document and the text they give back, in one pass."""
+    rows = small_batches(docs.select("doc_id", "text"))
+    shared = shared_file(docs.sparkSession, path)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        coder = coder_in(shared.value)
+        for batch in batches:
+            texts = [t or "" for t in batch["text"]]
+            for a, b in blocks(texts):
+                ids = coder.encode(texts[a:b])
+                yield pd.DataFrame({"doc_id": batch["doc_id"].iloc[a:b], "ids": [np.array(i, np.int32) for i in ids], "decoded": [coder.decode(i) for i in ids]})
+
+    return rows.mapInPandas(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, ids array<int>, decoded string")
+
+
 shipped(__name__)
