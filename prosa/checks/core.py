@@ -395,6 +395,28 @@ def _(spark, d):
     return C.conversation_extras(messages_of(spark, d))
 
 
+# A body that names a brand, a year, both or neither, by the number in the message id.
+VEHICLES = """
+cars AS (
+  SELECT conversation_id, ts AS timestamp, message_id, CASE k % 5
+      WHEN 0 THEN concat('tenho um Fiat ', CAST(1980 + k % 60 AS STRING)) WHEN 1 THEN concat('ONIX (', CAST(1995 + k % 30 AS STRING), ')')
+      WHEN 2 THEN concat('carro ano ', CAST(1950 + k % 100 AS STRING)) WHEN 3 THEN 'onixx x1999' END AS message_body_masked
+  FROM (SELECT *, CAST(regexp_extract(message_id, '([0-9]+)', 1) AS INT) AS k FROM messages))
+"""
+
+
+@query("vehicle_mentions", rf"""
+    WITH {D.MESSAGES}, {VEHICLES}, f AS (
+      SELECT *, nullif(lower(regexp_extract(message_body_masked, '(?i)\b(fiat|onix)\b')), '') AS brand,
+             nullif(regexp_extract(message_body_masked, '\b(?:19|20)[0-9]{{2}}\b'), '') AS year FROM cars)
+    SELECT conversation_id, first(brand ORDER BY timestamp, message_id) FILTER (brand IS NOT NULL) AS veiculo_marca,
+           first(year ORDER BY timestamp, message_id) FILTER (year IS NOT NULL) AS veiculo_ano
+    FROM f GROUP BY conversation_id""")
+def _(spark, d):
+    cars = D.derived(spark, d, f"{D.MESSAGES}, {VEHICLES}", "cars", "events")
+    return C.vehicle_mentions(cars, ("fiat", "onix")).select("conversation_id", "veiculo_marca", "veiculo_ano")
+
+
 @query("conversations_first_known", f"""
     WITH {D.MESSAGES}
     SELECT conversation_id, count(*) AS total_messages,

@@ -7,6 +7,7 @@ import os
 from pyspark.sql import functions as F
 
 from prosa.checks.base import (
+    ORACLE,
     bronze_of, conversations_of, messages_of, over_cleaned, over_conversations,
     over_silver, query,
 )
@@ -200,8 +201,12 @@ steps AS (
 """
 
 
+def _newest():
+    return [F.desc("started_at"), F.desc("written")]
+
+
 def _steps(spark, d):
-    return runlog.current(D.step_log(spark, d), "step_id", [F.desc("started_at"), F.desc("written")])
+    return runlog.current(D.step_log(spark, d), "step_id", _newest())
 
 
 def over_logs(select: str) -> str:
@@ -221,7 +226,8 @@ def _(spark, d):
            date_diff('microsecond', s.started_at, s.completed_at)::DOUBLE / 1000000 AS step_duration_sec, error_message
     FROM newest n LEFT JOIN steps s ON n.run_id = s.run_id"""))
 def _(spark, d):
-    return runlog.runs_with_steps(D.run_log(spark, d), _steps(spark, d), 25)
+    runs = runlog.latest_runs(D.run_log(spark, d), 25)
+    return runlog.runs_with_steps(runs, runlog.steps_of(runs, D.step_log(spark, d), _newest()), 25)
 
 
 @query("runs_steps_from_json", over_logs(
@@ -243,8 +249,14 @@ def _(spark, d):
     FROM runs r LEFT JOIN per_run p ON r.run_id = p.run_id WHERE status IN ('completed', 'failed')
       AND trigger IN ('manual', 'schedule')"""))
 def _(spark, d):
-    return runlog.run_summary(D.run_log(spark, d), _steps(spark, d), status=["completed", "failed"],
-                              trigger=["manual", "schedule"])
+    runs = D.run_log(spark, d).where("status IN ('completed', 'failed') AND trigger IN ('manual', 'schedule')")
+    return runlog.run_summary(runs, runlog.steps_of(runs, D.step_log(spark, d), _newest()))
+
+
+@query("runs_summary_all", ORACLE["runs_summary"].replace("""WHERE status IN ('completed', 'failed')
+      AND trigger IN ('manual', 'schedule')""", ""))
+def _(spark, d):
+    return runlog.run_summary(D.run_log(spark, d), _steps(spark, d))
 
 
 @query("runs_by_status", f"WITH {D.RUNS} SELECT status, trigger, count(*) AS runs FROM runs GROUP BY status, trigger")

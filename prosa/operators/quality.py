@@ -155,9 +155,11 @@ def column_values(df: DataFrame, exact: bool = True) -> DataFrame:
                 "exemplo": F.coalesce(F.col(f"_e{i}"), F.lit(""))}))
         return _entries(df.agg(*aggregates), columns)
 
+    # A digest and the head of a value stand for it: long texts don't move.
     cells = df.select(F.inline(F.array(*[
-        F.struct(F.lit(i).alias("_i"), _as_text(field).alias("_v")) for i, field in enumerate(fields)])))
-    values = cells.groupBy("_i", "_v").agg(F.count(F.lit(1)).alias("_n"))
+        F.struct(F.lit(i).alias("_i"), _as_text(field).alias("_t")) for i, field in enumerate(fields)])))
+    cells = cells.select("_i", F.md5("_t").alias("_k"), F.substring("_t", 1, 100).alias("_v"))
+    values = cells.groupBy("_i", "_k", "_v").agg(F.count(F.lit(1)).alias("_n")).drop("_k")
     # A row without cells per column keeps the columns of an empty table.
     none = df.sparkSession.createDataFrame([(i, None, 0) for i in range(len(fields))], "_i int, _v string, _n long")
     name = F.element_at(F.array(*[F.lit(f.name) for f in fields]), F.col("_i") + 1)
@@ -165,7 +167,7 @@ def column_values(df: DataFrame, exact: bool = True) -> DataFrame:
         F.sum("_n").alias("linhas"),
         F.sum(F.when(F.col("_v").isNull(), F.col("_n")).otherwise(0)).alias("nulos"),
         F.count_if(F.col("_n") > 0).alias("valores_unicos"),
-        F.coalesce(F.min(F.substring("_v", 1, 100)), F.lit("")).alias("exemplo"),
+        F.coalesce(F.min("_v"), F.lit("")).alias("exemplo"),
     ).select(name.alias("coluna"), "linhas", "nulos", "valores_unicos", "exemplo")
 
 
@@ -245,15 +247,17 @@ def sample_rows(df: DataFrame, rows: int, key: Sequence[str], seed: int = 42) ->
 
 
 def pending_keys(bronze: DataFrame, silver: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Logical messages that Bronze holds and Silver does not. Nulls count as equal. Distinct keys
-    are joined, so copies of one message meet once. Comparing row counts instead would report new
-    data for ever once duplicates were removed."""
-    have = silver.select(*[F.col(k).alias(f"_s_{k}") for k in keys]).distinct()
-    match = None
-    for k in keys:
-        same = F.col(k).eqNullSafe(F.col(f"_s_{k}"))
-        match = same if match is None else match & same
-    return bronze.select(*keys).distinct().join(have, match, "left_anti")
+    """Logical messages that Bronze holds and Silver does not. Nulls count as equal.
+
+    Two 64-bit digests of the keys are compared, so message bodies stay where they are; only those of pending
+    messages move. Comparing row counts instead would report new data for ever once duplicates were removed.
+    """
+    parts = [c for k in keys for c in (F.col(k).isNull(), F.col(k))]
+    digests = {"_h1": F.xxhash64(*parts), "_h2": F.xxhash64(F.lit(1), *parts)}
+    named = ["_h1", "_h2"]
+    missing = (bronze.select(*keys).withColumns(digests).select(named).distinct()
+               .join(silver.select(*keys).withColumns(digests).select(named).distinct(), named, "left_anti"))
+    return bronze.select(*keys).withColumns(digests).join(missing, named, "left_semi").select(*keys).distinct()
 
 
 def has_pending(bronze: DataFrame, silver: DataFrame | None, keys: Sequence[str]) -> bool:

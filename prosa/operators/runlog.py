@@ -22,6 +22,12 @@ def current(log: DataFrame, key: str, newest_first: Sequence[Column]) -> DataFra
     return latest_per_key(log, [key], newest_first)
 
 
+def steps_of(runs: DataFrame, versions: DataFrame, newest_first: Sequence[Column]) -> DataFrame:
+    """Current steps of these runs. A step never changes its run, so only the runs' versions are compared."""
+    wanted = versions.join(runs.select("run_id").distinct(), "run_id", "left_semi")
+    return current(wanted.select(*versions.columns), "step_id", newest_first)
+
+
 def latest_runs(runs: DataFrame, limit: int = 10) -> DataFrame:
     return runs.orderBy(F.desc("started_at"), "run_id").limit(limit)
 

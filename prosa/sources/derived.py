@@ -128,7 +128,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _run(spark: SparkSession, sf_dir: str, ctes: str, result: str, *tables: str) -> DataFrame:
+def derived(spark: SparkSession, sf_dir: str, ctes: str, result: str, *tables: str) -> DataFrame:
     for name in tables:
         table(spark, sf_dir, name).createOrReplaceTempView(name)
     return spark.sql(f"WITH {ctes} SELECT * FROM {result}")
@@ -136,13 +136,13 @@ def _run(spark: SparkSession, sf_dir: str, ctes: str, result: str, *tables: str)
 
 def source_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Messages in the layout of the source files: all text, timestamps formatted."""
-    df = _run(spark, sf_dir, MESSAGES, "messages", "events")
+    df = derived(spark, sf_dir, MESSAGES, "messages", "events")
     return _as_source(df)
 
 
 def first_arrivals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same without the later status repeats."""
-    return _as_source(_run(spark, sf_dir, MESSAGES, "one", "events"))
+    return _as_source(derived(spark, sf_dir, MESSAGES, "one", "events"))
 
 
 def _as_source(df: DataFrame) -> DataFrame:
@@ -153,20 +153,20 @@ def _as_source(df: DataFrame) -> DataFrame:
 
 
 def run_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _run(spark, sf_dir, RUNS, "runs", "orders")
+    return derived(spark, sf_dir, RUNS, "runs", "orders")
 
 
 def step_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _run(spark, sf_dir, STEPS, "step_versions", "lineitem")
+    return derived(spark, sf_dir, STEPS, "step_versions", "lineitem")
 
 
 def action_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _run(spark, sf_dir, ACTIONS, "calls", "events")
+    return derived(spark, sf_dir, ACTIONS, "calls", "events")
 
 
 def alert_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _run(spark, sf_dir, ALERTS, "alerts", "events")
+    return derived(spark, sf_dir, ALERTS, "alerts", "events")
 
 
 def turn_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _run(spark, sf_dir, TURNS, "turns", "conversations")
+    return derived(spark, sf_dir, TURNS, "turns", "conversations")
