@@ -132,3 +132,47 @@ def quality_rules(docs: DataFrame, max_char: float = MAX_CHAR, max_word: float =
     judged = judged.withColumn("word_distance", F.when(F.col("n_words") >= MIN_COMMON, divergence(F.col("p_word"), F.col("r.w"), nw)))
     fits = F.coalesce(F.col("char_distance") <= max_char, F.lit(True)) & F.coalesce(F.col("word_distance") <= max_word, F.lit(True))
     return judged.select("doc_id", *BASE, failed.alias("base_failed"), (~failed & fits).alias("kept"), "char_distance", "word_distance")
+
+
+def sql() -> str:
+    """The same in SQL, for the engine the query is checked with."""
+    def text(s: str) -> str:
+        return "'" + s.replace("'", "''") + "'"
+
+    nc, nw = len(CLASSES) + 1, N_WORDS + 1
+    left, stages = "text", ["length(text)"]
+    for c in CLASSES:
+        left = f"regexp_replace({left}, {text(c)}, '', 'g')"
+        stages.append(f"length({left})")
+    common = []
+    for i in range(N_WORDS):
+        word = "CASE lang " + " ".join(f"WHEN '{k}' THEN '{v[i]}'" for k, v in COMMON.items()) + " ELSE chr(10) END"
+        common.append(f"len(list_filter(words, lambda x: x = {word}))")
+    chars = [f"(l[{i + 1}] - l[{i + 2}])::DOUBLE / greatest(l[1], 1)" for i in range(nc - 1)] + [f"l[{nc}]::DOUBLE / greatest(l[1], 1)"]
+    shares_ = [f"c[{i + 1}]::DOUBLE / greatest(n_words, 1)" for i in range(N_WORDS)] + ["(n_words - list_sum(c))::DOUBLE / greatest(n_words, 1)"]
+
+    def distance(p: str, q: str, n: int) -> str:
+        def part(a, b):
+            return f"CASE WHEN {a} > 0 THEN {a} * log2({a} * 2.0 / ({a} + {b})) ELSE 0.0 END"
+        return "sqrt(greatest(0.0, (" + " + ".join(
+            f"{part(f'{p}[{i}]', f'{q}{i}')} + {part(f'{q}{i}', f'{p}[{i}]')}" for i in range(1, n + 1)) + ") / 2.0))"
+
+    means = ", ".join([f"avg(pc[{i}]) AS c{i}" for i in range(1, nc + 1)] + [f"avg(pw[{i}]) AS w{i}" for i in range(1, nw + 1)])
+    return rf"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text, CASE WHEN lang IN ({', '.join(map(text, COMMON))}) THEN lang ELSE '' END AS lang,
+    regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+g AS (SELECT rid, i, words[i] || ' ' || words[i + 1] || ' ' || words[i + 2] AS g FROM (SELECT rid, words, unnest(range(1, len(words) - 1)) AS i FROM d)),
+p AS (SELECT rid, count(DISTINCT i + o)::BIGINT AS n FROM (SELECT g.rid, i, unnest([0, 1, 2]) AS o FROM g
+    JOIN (SELECT rid, g FROM g GROUP BY rid, g HAVING count(*) > 1) r ON g.rid = r.rid AND g.g = r.g) GROUP BY rid),
+m AS (SELECT d.rid, doc_id, lang, len(words)::BIGINT AS n_words, length(regexp_replace(text, '[\x20\x09-\x0D]+', '', 'g'))::BIGINT AS word_chars,
+    (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
+    (len(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')))
+      - len(list_distinct(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')))))::BIGINT AS n_dup_lines,
+    coalesce(p.n, 0)::BIGINT AS n_repeat_words, [{', '.join(stages)}] AS l, [{', '.join(common)}] AS c FROM d LEFT JOIN p ON d.rid = p.rid),
+s AS (SELECT *, [{', '.join(chars)}] AS pc, [{', '.join(shares_)}] AS pw FROM m),
+r AS (SELECT lang, {means} FROM s WHERE n_words >= {MIN_WORDS} GROUP BY lang),
+j AS (SELECT s.*, n_words < {MIN_WORDS} OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+    CASE WHEN n_words >= {MIN_WORDS} THEN {distance('pc', 'c_', nc)} END AS dc, CASE WHEN n_words >= {MIN_COMMON} THEN {distance('pw', 'w_', nw)} END AS dw
+  FROM s LEFT JOIN (SELECT lang AS rl, {', '.join([f'c{i} AS c_{i}' for i in range(1, nc + 1)] + [f'w{i} AS w_{i}' for i in range(1, nw + 1)])} FROM r) ON lang = rl)
+SELECT doc_id, {', '.join(BASE)}, base_failed, NOT base_failed AND coalesce(dc <= {MAX_CHAR}, true) AND coalesce(dw <= {MAX_WORD}, true) AS kept FROM j
+"""

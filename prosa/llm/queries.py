@@ -37,7 +37,7 @@ def op5(spark, d):
     return jaccard.jaccard_join(table(spark, d, "documents"))
 
 
-@query("op6_quality_rules")
+@query("op6_quality_rules", quality_rules.sql())
 def op6(spark, d):
     return quality_rules.quality_rules(table(spark, d, "documents")).drop("char_distance", "word_distance")
 
