@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from prosa.checks.base import (
     SEGMENTS, bronze_of, conversations_of, entity_columns, masked, messages_of, notebook_conversations,
     notebook_messages, notebook_source, over_cleaned, over_conversations, over_messages,
-    over_silver, query,
+    over_silver, query, stored,
 )
 from prosa.operators import bronze as B
 from prosa.operators import conversations as C
@@ -350,6 +350,19 @@ def _(spark, d):
     return silver.leaks(gold_segmentation(conversations_of(spark, d)))
 
 
+_GOLD = ("gold_sentiment", "gold_personas", "gold_segmentation", "gold_analytics", "gold_vendor", "gold/lead_scoring",
+         "gold/funil_conversao", "gold/performance_campanha", "gold/analise_temporal", "gold/analise_concorrencia")
+
+
+@query("gold_pii_leaks_all", over_conversations(
+    "SELECT tabela, tipo, count(*) FILTER (total_messages < 0) AS linhas FROM convs, (VALUES "
+    + ", ".join(f"('{g}')" for g in _GOLD) + ") t(tabela), (VALUES ('cpf'), ('email'), ('telefone'), ('cep'), ('placa')) k(tipo) GROUP BY 1, 2"))
+def _(spark, d):
+    """All Gold tables, all kinds: no row may hold personal data."""
+    from prosa.plans.medallion import gold_frames
+    return silver.leak_table(gold_frames(stored(spark, conversations_of(spark, d))))
+
+
 # --- conversations -----------------------------------------------------------------------------------
 
 @query("conversations", over_conversations(f"SELECT {', '.join(C.COLUMNS)} FROM convs"))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from typing import Mapping
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -160,6 +163,18 @@ def leaks(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     return counts.unpivot([], names, "column", "leaks")
 
 
+def leak_table(tables: Mapping[str, DataFrame]) -> DataFrame:
+    """Rows per table and kind of personal data in any of its text columns. Gold must give zeros."""
+    kinds = {"cpf": P.CPF, "email": P.EMAIL, "telefone": P.PHONE, "cep": P.CEP, "placa": P.PLATE}
+    parts = []
+    for table, df in tables.items():
+        texts = [F.coalesce(F.col(f"`{name}`"), F.lit("")) for name, kind in df.dtypes if kind == "string"]
+        whole = F.concat_ws("\n", *texts) if texts else F.lit("")
+        counts = df.agg(*[F.count_if(whole.rlike(pattern)).alias(kind) for kind, pattern in kinds.items()])
+        parts.append(counts.unpivot([], list(kinds), "tipo", "linhas").withColumn("tabela", F.lit(table)))
+    return reduce(DataFrame.unionByName, parts).select("tabela", "tipo", "linhas")
+
+
 # --- all entities per message -----------------------------------------------------------------
 
 def extract_all(df: DataFrame, body: str = "message_body_normalized") -> DataFrame:

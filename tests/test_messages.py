@@ -206,3 +206,11 @@ def test_notebook_layers(spark, tmp_path):
     assert rows == {"gold_sentiment": 2, "gold_personas": 2, "gold_segmentation": 2, "gold_analytics": 2, "gold_vendor": 1}
     seg = tables.read("gold_segmentation").first()
     assert seg["seg_origem"] == "indicacao" and seg["seg_duracao"] == "instantanea" or seg["seg_duracao"] in ("flash", "curta")
+
+
+def test_leaks_are_found_in_any_table(spark):
+    clean = spark.createDataFrame([("a", 1), (None, 2)], "t string, n int")
+    dirty = spark.createDataFrame([("fone (11) 98123-4012", "x"), ("a@b.com", "placa abc1d23"), ("383.182.856-01", None)], "a string, b string")
+    got = {(r["tabela"], r["tipo"]): r["linhas"] for r in S.leak_table({"clean": clean, "dirty": dirty, "numbers": clean.select("n")}).collect()}
+    assert all(n == 0 for (table, _), n in got.items() if table != "dirty")
+    assert got["dirty", "cpf"] == got["dirty", "email"] == got["dirty", "placa"] == 1 and got["dirty", "telefone"] >= 1
