@@ -1,9 +1,11 @@
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
 from fixtures import by
 from prosa.operators.quality import missing_tables
-from prosa.sources.tables import Tables, append_record, export_csv, read_source
+from prosa.sources.tables import Tables, append_record, export_csv, nanos_to_timestamp, read_source
 
 
 @pytest.fixture
@@ -94,3 +96,16 @@ def test_records_may_grow(tables, spark):
     rows = by(tables.read(path), "notebook")
     assert rows["01"]["error"] is None and rows["01"]["versao"] is None and rows["01"]["duration_sec"] == 2.0
     assert (rows["02"]["rows_written"], rows["02"]["versao"]) == (None, "v2")
+
+
+def test_nanosecond_file(spark, tmp_path):
+    """A file that really holds nanoseconds, also before 1970."""
+    moments = [1_700_000_000_123_456_789, -1_001, 0, None]
+    path = str(tmp_path / "nanos.parquet")
+    pq.write_table(pa.table({"id": [1, 2, 3, 4], "ts": pa.array(moments, pa.timestamp("ns"))}), path, version="2.6")
+    spark.conf.set("spark.sql.legacy.parquet.nanosAsLong", "true")
+    try:
+        got = by(nanos_to_timestamp(read_source(spark, path), "ts").select("id", F.unix_micros("ts").alias("us")), "id")
+    finally:
+        spark.conf.unset("spark.sql.legacy.parquet.nanosAsLong")
+    assert [got[i]["us"] for i in (1, 2, 3, 4)] == [1_700_000_000_123_456, -2, 0, None]
