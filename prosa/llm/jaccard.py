@@ -35,6 +35,8 @@ from prosa.llm.common import components, settle, shipped, small_batches
 WORDS, PART, WHOLE = 4, 85, 100
 #: Relative costs of writing a signature and of checking a pair.
 SIGNATURE, PAIR = 1.0, 40.0
+#: Assumed chance that a shingle of one set is in another set of its band.
+COMMON = 0.02
 BLOCK = 256
 #: Bits of the prefilter for the sets that are fetched for verification.
 FILTER = 1 << 22
@@ -85,8 +87,22 @@ def bands(part: int, whole: int, largest: int) -> list[int]:
     return [*edges, edges[-1] * whole // part + 1]
 
 
+def rarely(mean: float, share: float) -> int:
+    """The smallest k so that a Poisson count with this mean is above k with a probability of at most ``share``."""
+    k, term = 0, exp(-mean)
+    tail = 1 - term
+    while tail > share and k < 10 * mean + 60:
+        k += 1
+        term *= mean / k
+        tail -= term
+    return k
+
+
 def allot(smaller: int, classes: int, part: int, whole: int) -> tuple[int, int, int]:
-    """(H, segments of budget 2, segments of budget 1) for pairs whose smaller set has up to ``smaller`` shingles."""
+    """(H, segments of budget 2, segments of budget 1) for pairs whose smaller set has up to ``smaller`` shingles.
+
+    Spare segments are added so that about one set in all lacks the budget without its empty segments.
+    """
     most = smaller + smaller * whole // part
     h = most * (whole - part) // (whole + part)
     if h == 0:
@@ -95,13 +111,13 @@ def allot(smaller: int, classes: int, part: int, whole: int) -> tuple[int, int,
 
     def cost(two: int) -> float:
         one = h + 1 - 2 * two
-        chance = one * exp(-2 * mean) + two * exp(-4 * mean) * (1 + 4 * mean)
+        chance = one * COMMON ** mean + two * COMMON ** (2 * mean) * (1 + 2 * mean / COMMON)
         return SIGNATURE * classes * (one + two * (1 + 2 * mean)) + PAIR * classes ** 2 / 2 * chance
 
     two = min((0, (h + 1) // 2), key=cost)
     one = h + 1 - 2 * two
-    spare = 2 + int(3 * (one * exp(-mean) + 2 * two * exp(-2 * mean) * (1 + 2 * mean)))
-    return h, two, one + spare
+    empty = one * exp(-mean) + 2 * two * exp(-2 * mean) * (1 + 2 * mean)
+    return h, two, one + rarely(empty, 1 / max(classes, 2))
 
 
 def signatures(s: np.ndarray, band: int, plan: tuple[int, int, int]) -> np.ndarray:
