@@ -1,7 +1,7 @@
 """Quality classifier: histogram gradient-boosted trees over document statistics, numpy only.
 
 Statistics come from whole texts, one pass in Arrow batches. Trees are fitted on the driver on at most
-``SAMPLE`` labelled rows, those with the smallest hashes of their id, so the fit does not grow with the
+``SAMPLE`` labelled rows, chosen by hashes of their id, so the fit does not grow with the
 corpus; every document is scored. Fitted trees are flattened into three arrays, which all rows of a
 batch walk down at once, one level per step.
 
@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from prosa.llm.common import settle, shipped, small_batches
+from prosa.llm.common import settle, shipped, small_batches, thinned
 
 SAMPLE = 20_000
 TREES, DEPTH, BINS, RATE, L2, LEAST = 40, 4, 64, 0.2, 1.0, 20
@@ -134,7 +134,7 @@ def train(rows: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Trees:
     known = labels.where("doc_id is not null and quality is not null and not isnan(quality)").where(~held_out(F.col("doc_id")))
     known = known.groupBy("doc_id").agg((F.avg("quality") >= 0.5).cast("int").alias("y"))
     order = F.xxhash64(F.col("doc_id"), F.lit("sample"))
-    some = rows.join(known, "doc_id").orderBy(order, "doc_id", "x").limit(sample).toPandas()
+    some = thinned(settle(rows.join(known, "doc_id")), F.col("doc_id"), sample).orderBy(order, "doc_id", "x").limit(sample).toPandas()
     x = np.array(some["x"].tolist(), float) if len(some) else np.zeros((0, 1))
     return fit(x, some["y"].to_numpy(float))
 

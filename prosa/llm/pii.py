@@ -1,7 +1,7 @@
 """Personal data: patterns with checks, and a character-level bidirectional LSTM with a CRF on top.
 
 The network is trained in numpy on the driver from windows whose characters carry the labels of spans; the number
-of windows is a bounded sample (``SAMPLE``, those with the smallest hashes). It decodes overlapping windows
+of windows is a bounded sample (``SAMPLE``, chosen by hashes). It decodes overlapping windows
 of ``WIDTH`` characters, ``WIDTH / 2`` apart, over whole texts. A character takes its label from the window
 in whose middle half it lies (the first and last window also give the text's ends), and spans
 are read off the labels of the whole text, so a span may cross windows.
@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from prosa.llm.common import shipped, small_batches
+from prosa.llm.common import shipped, small_batches, thinned
 
 KINDS = ("email", "ip", "card", "phone")
 PATTERNS = {
@@ -293,7 +293,7 @@ def training_windows(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
                         rows["tags"].append(g)
             yield pd.DataFrame(rows)
 
-    some = docs.select("text").where(F.col("text").rlike("[0-9@]"))
+    some = thinned(docs.select("text").where(F.col("text").rlike("[0-9@]")), F.col("text"), sample)
     return some.mapInPandas(run, "order long, codes binary, tags binary").dropDuplicates(["order"]).orderBy("order").limit(sample)
 
 
