@@ -1,7 +1,7 @@
 """Embedding near-dedup on a robust-pruned flat graph.
 
-Equal vectors of a label are one node with a count. A codebook fitted on a bounded sample (``SAMPLE`` nodes with the
-smallest hashes) cuts the space into cells; a node belongs to the shards of its two nearest cells, so shards
+Equal vectors of a label are one node with a count. A codebook fitted on a bounded sample (``SAMPLE`` nodes, chosen
+by hash) cuts the space into cells; a node belongs to the shards of its two nearest cells, so shards
 overlap. More nodes add codewords up to ``CELLS`` and then further levels of codewords for what the level before leaves,
 so the codebook has a fixed size and shards stay small. A shard above ``MOST`` nodes, such as one dense spot, is dealt
 into blocks, and every pair of its blocks is a task of its own; a task never gets more than two blocks.
@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from prosa.llm.common import components, settle, shipped
+from prosa.llm.common import components, settle, shipped, thinned
 
 THRESHOLD = 0.98
 SAMPLE, CELLS, LEVELS = 4_000, 64, 4
@@ -66,7 +66,7 @@ def codebooks(sample: list, count: int) -> dict[int, list[np.ndarray]]:
             centres = k_means(rest, k)
             books[size].append(centres)
             near = (rest @ centres.T - (centres ** 2).sum(1) / 2).argmax(1)
-            rest, left = rest - centres[near], left * 2 / k
+            rest, left = rest - centres[near], left * 2 / k if k < left else 0
     return books
 
 
@@ -240,7 +240,7 @@ def near_duplicates(rows: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     rows = rows.withColumn("node", F.when(F.col("ok"), F.xxhash64("label", "v")))
     nodes = settle(rows.where("ok").groupBy("node").agg(
         F.any_value("label").alias("label"), F.any_value("v").alias("v"), F.count("*").alias("n"), F.min("vec_id").alias("least")))
-    sample = nodes.orderBy(F.xxhash64("node", F.lit("sample"))).limit(SAMPLE).toPandas()["v"].tolist()
+    sample = thinned(nodes, F.col("node"), SAMPLE).orderBy(F.xxhash64("node", F.lit("sample"))).limit(SAMPLE).toPandas()["v"].tolist()
     largest = nodes.groupBy("label", F.size("v")).count().agg(F.max("count")).first()[0] or 0
     placed = settle(tasks_of(members(nodes, codebooks(sample, largest))))
 
