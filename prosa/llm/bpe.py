@@ -14,7 +14,9 @@ handled whole; repeated rows get a row each; extra columns are ignored; empty ta
 from __future__ import annotations
 
 import json
+from collections import defaultdict
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import ahocorasick
 import numpy as np
@@ -24,7 +26,7 @@ from pyspark.sql import DataFrame
 
 from prosa.llm.common import shipped, small_batches
 
-REMEMBER = 250_000
+REMEMBER = 500_000
 BLOCK = 3_000_000
 #: White space as Unicode defines it, and the words of byte-level BPE: fixed values.
 SPACE = "".join(map(chr, (*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
@@ -59,7 +61,8 @@ class Coder:
         for rank, pair in enumerate(model["merges"]):
             left, right = map(as_bytes, pair.split(" ") if isinstance(pair, str) else pair)
             self.merges[self.ids[left], self.ids[right]] = (rank, self.ids[left + right])
-        self.known, self.pairs, self.spines = {}, {}, {}
+        self.known, self.pairs, self.spines = {}, defaultdict(dict), {}
+        self.sizes = {i: len(b) for i, b in self.bytes.items()}
         self.endings = None
         self.words = regex.compile(WORDS)
         self.across = regex.compile(f" [{SPACE}]|[{SPACE}] ")
@@ -101,36 +104,42 @@ class Coder:
                     return False
         return True
 
-    def encode_words(self, words: Iterable[bytes]) -> dict[bytes, tuple[int, ...]]:
-        """Token ids of each distinct word, from one walk over the trie of the words."""
+    def encode_words(self, words: Iterable[str]) -> dict[str, tuple[int, ...]]:
+        """Token ids of each distinct word, from one walk over the trie of the words.
+
+        A word is given as its UTF-8 bytes, one character each, which for ASCII is the word itself.
+        """
         if self.endings is None:
             self.endings = ahocorasick.Automaton()
             for token, i in self.ids.items():
                 self.endings.add_word(token.decode("latin-1"), (i, len(token)))
             self.endings.make_automaton()
-        out, path, states = {}, b"", [-1]
-        pairs, endings = self.pairs, self.endings
+        out, path, states, after = {}, "", [-1], [self.pairs[-1]]
+        pairs, endings, sizes = self.pairs, self.endings, self.sizes
         for word in sorted(set(words)):
             same, most = 0, min(len(path), len(word))
             while same < most and path[same] == word[same]:
                 same += 1
-            del states[same + 1:]
+            del states[same + 1:], after[same + 1:]
             reached = same
-            for last, (token, size) in endings.iter(word.decode("latin-1")):
+            for last, (token, size) in endings.iter(word):
                 if last < reached:
                     continue
-                key = (states[last + 1 - size], token)
-                fits = pairs.get(key)
+                start = last + 1 - size
+                fits = after[start].get(token)
                 if fits is None:
-                    fits = pairs[key] = self.follows(*key)
+                    fits = after[start][token] = self.follows(states[start], token)
                 if fits:
                     states.append(token)
+                    after.append(pairs[token])
                     reached = last + 1
             path, end, tokens = word, len(word), []
             while end > 0:
-                tokens.append(states[end])
-                end -= len(self.bytes[states[end]])
-            out[word] = tuple(reversed(tokens))
+                token = states[end]
+                tokens.append(token)
+                end -= sizes[token]
+            tokens.reverse()
+            out[word] = tuple(tokens)
         return out
 
     def units(self, text: str) -> list[str]:
@@ -157,23 +166,23 @@ class Coder:
                 if u[0] == "\0" and u[1:] in self.special:
                     self.known[u] = (self.special[u[1:]],)
                 elif u[1:].isalpha() and (u[0] == " " or u[0].isalpha()):
-                    new[u] = [u.encode()]
+                    new[u] = [u if u.isascii() else u.encode().decode("latin-1")]
                 else:
-                    new[u] = [w.encode() for w in self.words.findall(u)]
+                    new[u] = [w if w.isascii() else w.encode().decode("latin-1") for w in self.words.findall(u)]
         ids = self.encode_words(w for ws in new.values() for w in ws)
         for u, ws in new.items():
-            self.known[u] = tuple(t for w in ws for t in ids[w])
+            self.known[u] = ids[ws[0]] if len(ws) == 1 else tuple(chain.from_iterable(map(ids.__getitem__, ws)))
 
     def encode(self, texts: list[str]) -> list[list[int]]:
         cut = [self.units(t) for t in texts]
         every = set().union(*cut)
         if len(self.known) + len(every - self.known.keys()) > REMEMBER:
             self.known.clear()
-            if len(self.pairs) > REMEMBER:
+            if sum(map(len, self.pairs.values())) > REMEMBER:
                 self.pairs.clear()
         self.learn(every)
-        known = self.known
-        return [[i for u in units for i in known[u]] for units in cut]
+        known = self.known.__getitem__
+        return [list(chain.from_iterable(map(known, units))) for units in cut]
 
     def decode(self, ids: Iterable[int]) -> str:
         return b"".join(map(self.bytes.__getitem__, ids)).decode("utf-8", "replace")
