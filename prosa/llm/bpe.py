@@ -26,8 +26,8 @@ from pyspark.sql import DataFrame
 
 from prosa.llm.common import shipped, small_batches
 
-REMEMBER = 500_000
-BLOCK = 3_000_000
+REMEMBER = 200_000
+BLOCK = 1_500_000
 #: White space as Unicode defines it, and the words of byte-level BPE: fixed values.
 SPACE = "".join(map(chr, (*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 WORDS = (r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^" + SPACE + r"\p{L}\p{N}]+|[" + SPACE + r"]+(?![^" + SPACE + r"])|[" + SPACE + "]+")
