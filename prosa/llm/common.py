@@ -50,7 +50,7 @@ shipped(__name__)
 def small_batches(df: DataFrame, most: int = 2000) -> DataFrame:
     """``df``, with Arrow batches of at most ``most`` rows in its session: texts can be long."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(df.sparkSession.conf.get(key)) > most:
+    if not 0 < int(df.sparkSession.conf.get(key)) <= most:  # 0 and less: no limit
         df.sparkSession.conf.set(key, most)
     return df
 
