@@ -5,8 +5,8 @@ as the next one's ``docs``. All but the last return the columns of ``documents``
 
 ``classify`` drops the documents the quality classifier rejects. ``dedup_lines`` deletes later copies of
 repeated runs of lines and drops documents of which nothing is left by that; ``n_chars`` follows the text. ``near_duplicates``
-keeps one document of each group of the Jaccard join, that with the smallest id. ``mix`` repeats and
-leaves out documents as the source weights ask, in training order. ``encode`` gives the tokens.
+keeps one document of each group of near copies, that with the smallest id: sets of five-word shingles with a
+similarity of 0.8 or more link (the query ``op5_jaccard`` has four words and 0.85). ``mix`` repeats and leaves out documents as the source weights ask, in training order. ``encode`` gives the tokens.
 
 Nulls, empty texts, repeated rows and empty tables are handled as the operators say. Rows that repeat an id
 are one document to ``near_duplicates``: the row with the smallest text hash stays.
@@ -22,6 +22,8 @@ from prosa.llm.common import scratch, table
 from prosa.llm.queries import tokenizer_file
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+#: What the stage calls a near copy: ``WHOLE * common >= PART * union`` over shingles of ``WORDS`` words.
+WORDS, PART, WHOLE = 5, 80, 100
 
 
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,7 +39,7 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return jaccard.representatives(docs.select(*COLUMNS))
+    return jaccard.representatives(docs.select(*COLUMNS), WORDS, PART, WHOLE)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

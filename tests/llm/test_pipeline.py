@@ -1,5 +1,8 @@
 """The stages one after another, each against what it must do to its own input."""
 
+import itertools
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -46,3 +49,21 @@ def test_run_on_small_tables(spark, rows):
     for name in ("documents", "labels"):
         spark.read.parquet(f"{DATA}/{name}.parquet").limit(rows).coalesce(1).write.parquet(f"{folder}/{name}.parquet")
     assert corpus_pipeline.run(spark, folder).count() <= 2 * rows
+
+
+def test_near_duplicates_by_the_five_word_rule(spark):
+    rng, docs = random.Random(8), []
+    for _ in range(12):
+        base = [f"v{rng.randint(0, 10 ** 6)}" for _ in range(80)]
+        for change in ((), (40,), (20, 60), (10, 30, 50)):
+            docs.append((len(docs), " ".join("n" if k in change else w for k, w in enumerate(base))))
+        docs.append((len(docs), " ".join(base[:66])))
+    sets = {i: {tuple(t.split()[k:k + 5]) for k in range(len(t.split()) - 4)} for i, t in docs}
+    group = {i: i for i in sets}
+    for a, b in itertools.combinations(sets, 2):
+        if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+            old, new = max(group[a], group[b]), min(group[a], group[b])
+            group = {i: new if g == old else g for i, g in group.items()}
+    frame = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in docs], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = {r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, frame, DATA).collect()}
+    assert kept == set(group.values()) and kept != {r["doc_id"] for r in jaccard.representatives(frame).collect()}
