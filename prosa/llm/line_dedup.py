@@ -1,160 +1,271 @@
-"""Line dedup: a suffix array over line-id sequences by prefix doubling; later copies of repeated runs go.
-
-A run of lines with ``MIN_WORDS`` words or more that stands, line for line, at an earlier place (smaller document
-id, then earlier line) is a later copy, and its lines are deleted. So a line goes exactly if it lies in such a
-run, and the earliest copy of every line stays.
-
-Suffixes of a document's line-id sequence are ranked by their first 1, 2, 4, ... lines: a round sorts by the rank of the
-first half and the rank of the second half, and equal suffixes, an interval of the suffix array with that
-longest common prefix, share the rank of the interval's start. Suffixes that are alone in their interval can't
-begin a repeat and drop out. Rounds go on until an interval's prefix covers half of the longest window in
-question; the order beyond that decides nothing. A window is the shortest run from a line on, or up to a line, with
-``MIN_WORDS`` words. Two ranks, of its first and of its last 2^k lines, identify it, and every repeated run that
-is long enough is the union of its windows, so windows with an earlier copy give all lines of all maximal runs.
-
-Ranks are prefix sums in two levels, so no task gets a whole interval: one very common line is spread by the rank of
-what follows it. Lines are carried as 128-bit hashes with their place; texts move once, in the last join.
-
-Nulls and edges: lines without words are no part of a sequence and stay; a null text stays null; a null id is later
-than all others. Rows that repeat both id and text count as one document and get the same result. Extra
-columns are ignored; empty tables give no rows.
+"""Line dedup: later copies of repeated passages go, found word by word by windows with common anchors.
+
+A passage is a run of ``MIN_WORDS`` words or more, wherever it begins and ends: lines are not what is compared. A word
+goes if it lies in a run of so many words that stands, word for word, at an earlier place (smaller document id, then
+earlier word); the earliest copy stays. Lines that lose all words go whole, others lose the piece.
+
+Every run of ``MIN_WORDS`` words is a window with a rolling hash. A window's anchor is the smallest hash of the half as long
+runs in it, so equal windows have equal anchors, and neighbouring windows mostly share theirs; the words of the windows
+around one anchor are its block. A first pass writes a row for each anchor, about one in thirteen words, with a hash of
+its block. Anchors that stand once can't be in a copy. Where all blocks of an anchor are equal, their windows have the same
+copies, so the second pass writes the block as one; where blocks differ, at the edges of passages, it writes each window.
+Bitmaps of a fixed size tell which anchor is which; a false hit costs rows and changes nothing. What has an earlier copy
+gives all words of all maximal runs. Blocks and windows are known by 96-bit hashes; texts move once, in the last join.
+
+Two exceptions: a single word at the edge of a passage stays if its line has other words left, as chance gives that much;
+and a run that overlaps its earlier place, both beginning in one line, is no copy (a word or phrase said over and over).
+
+Nulls and edges: words are what stands between ASCII white space; lines without words stay; a null text stays
+null; a null id is later than all others. Rows that repeat both id and text count as one document and get the same
+result. ``n_deleted`` counts lines that lost words. Extra columns are ignored; empty tables give no rows.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import re
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from prosa.llm.common import settle, shipped, small_batches
+from prosa.llm.common import scratch, shipped, small_batches
 
 MIN_WORDS = 50
-CELL_BITS = 12
+#: Bits of each map of anchors that stand more than once.
+FILTER = 1 << 26
+KEEP_WORDS = 400_000
+BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
-def signed(x: int) -> int:
-    return x - (1 << 64) if x >> 63 else x
+class Hashes(dict):
+    """Word to hash; forgets everything when it holds many words."""
 
+    def __missing__(self, word: bytes) -> int:
+        if len(self) > KEEP_WORDS:
+            self.clear()
+        self[word] = value = xxhash.xxh3_64_intdigest(word)
+        return value
 
-def lines_of(text: str) -> tuple[list[str], np.ndarray]:
-    """The lines with words, and how many words each has."""
-    counted = [(line, len(line.encode("utf-8", "replace").split())) for line in text.split("\n")]
-    kept = [(line, n) for line, n in counted if n]
-    return [line for line, _ in kept], np.array([n for _, n in kept], np.int64)
 
+class Powers:
+    """The powers of a base and of its inverse modulo 2^64, as many as were asked for."""
 
-def windows_of(words: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each line, the lines of the shortest run from it, and up to it, with ``least`` words; 0 for none."""
-    total = np.concatenate([[0], np.cumsum(words)])
-    n = len(words)
-    end = np.searchsorted(total, total[:-1] + least)
-    ahead = np.where(end <= n, end - np.arange(n), 0)
-    start = np.searchsorted(total, total[1:] - least, side="right") - 1
-    behind = np.where(start >= 0, np.arange(n) + 1 - start, 0)
-    return ahead, behind
+    def __init__(self, base: int):
+        self.steps = [np.uint64(base), np.uint64(pow(base, -1, 1 << 64))]
+        self.held = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
+    def up_to(self, n: int) -> list[np.ndarray]:
+        if len(self.held[0]) < n:
+            exponents = np.arange(2 * n, dtype=np.uint64)
+            self.held = [np.power(x, exponents) for x in self.steps]
+        return self.held
 
-def line_rows(docs: DataFrame, least: int) -> DataFrame:
-    """doc_id, th, pos, h1, h2, ahead, behind: a row for each line with words."""
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return x ^ (x >> np.uint64(29))
+
+
+def sums(h: np.ndarray, powers: Powers) -> np.ndarray:
+    """Prefix sums of a polynomial in the base; ``h``: hashes of the words."""
+    return np.concatenate([np.zeros(1, np.uint64), np.cumsum(h * powers.up_to(len(h) + 1)[0][:len(h)], dtype=np.uint64)])
+
+
+def hash_of(total: np.ndarray, powers: Powers, start: np.ndarray, size: np.ndarray | int) -> np.ndarray:
+    """Hashes of the runs of ``size`` words from ``start`` on."""
+    return mixed((total[start + size] - total[start]) * powers.up_to(len(total))[1][start] + np.asarray(size, np.uint64))
+
+
+def sliding(f: Callable, x: np.ndarray, width: int) -> np.ndarray:
+    """``f`` (minimum or maximum) over each ``width`` values in a row."""
+    n = 1
+    while 2 * n <= width:
+        x, n = f(x[:-n], x[n:]), 2 * n
+    return f(x[:n - width], x[width - n:]) if n < width else x
+
+
+def anchors_of(total: np.ndarray, least: int, powers: Powers) -> tuple[np.ndarray, np.ndarray, np.ndarray, bool]:
+    """The anchors along a document, first and last window of each, and whether one of them stands for several places."""
+    half = (least + 1) // 2
+    width = least - half + 1
+    short = hash_of(total, powers, np.arange(len(total) - half), half)
+    anchor = sliding(np.minimum, short, width)
+    first = np.flatnonzero(np.concatenate([[True], anchor[1:] != anchor[:-1]]))
+    last = np.append(first[1:], len(anchor)) - 1
+    edge = np.zeros(width - 1, np.uint64)
+    places = np.count_nonzero(short == sliding(np.maximum, np.concatenate([edge, anchor, edge]), width))
+    return anchor[first], first, last, places != len(first)
+
+
+def word_hashes(text: str | None, hashes: Hashes) -> np.ndarray:
+    words = (text or "").encode("utf-8", "replace").split()
+    return np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
+
+
+def repeated_anchors(docs: DataFrame, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Bitmaps of the anchors that stand more than once: in equal blocks, one a document; and others."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        hashes, powers = Hashes(), Powers(BASES[0])
+        for batch in batches:
+            anchors, blocks = [], []
+            for text in batch["text"]:
+                h = word_hashes(text, hashes)
+                if len(h) < least:
+                    continue
+                total = sums(h, powers)
+                anchor, first, last, several = anchors_of(total, least, powers)
+                block = hash_of(total, powers, first, last - first + least)
+                order = np.argsort(anchor)
+                same = np.diff(anchor[order]) == 0
+                if several:  # as if each had two blocks
+                    anchor, block = np.concatenate([anchor, anchor]), np.concatenate([block, block ^ np.uint64(1)])
+                elif same.any():  # as if all blocks of one anchor differed
+                    again = np.unique(np.concatenate([order[1:][same], order[:-1][same]]))
+                    block[again] ^= mixed(first[again].astype(np.uint64) + np.uint64(BASES[1]))
+                anchors.append(anchor)
+                blocks.append(block)
+            if anchors:
+                yield pd.DataFrame({"anchor": np.concatenate(anchors).view(np.int64), "block": np.concatenate(blocks).view(np.int64)})
+
+    rows = small_batches(docs.select("text")).mapInPandas(run, "anchor long, block long")
+    known = rows.groupBy("anchor").agg(F.count("*").alias("n"), F.min("block").alias("x"), F.max("block").alias("y")).where("n > 1")
+    bit = F.col("anchor").bitwiseAND(F.lit(FILTER - 1))
+    one = F.call_function("shiftleft", F.lit(1).cast("long"), bit.bitwiseAND(F.lit(63)).cast("int"))
+    zero = F.lit(0).cast("long")
+    cells = known.groupBy(F.shiftright(bit, 6).alias("cell")).agg(
+        F.bit_or(F.when(F.col("x") == F.col("y"), one).otherwise(zero)).alias("equal"),
+        F.bit_or(F.when(F.col("x") != F.col("y"), one).otherwise(zero)).alias("other")).toPandas()
+    maps = np.zeros((2, FILTER // 64), np.uint64)
+    for k, name in enumerate(("equal", "other")):
+        maps[k, cells["cell"].to_numpy(np.int64)] = cells[name].to_numpy(np.int64).view(np.uint64)
+    return maps[0], maps[1]
+
+
+def in_map(bits: np.ndarray, anchor: np.ndarray) -> np.ndarray:
+    place = anchor & np.uint64(FILTER - 1)
+    return (bits[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63)) & np.uint64(1)).astype(bool)
+
+
+def close_repeats(h: np.ndarray, at: np.ndarray, least: int) -> np.ndarray:
+    """Which windows overlap an equal one of the same document."""
+    order = np.lexsort((at, h))
+    near = (np.diff(h[order]) == 0) & (np.diff(at[order]) < least)
+    out = np.zeros(len(h), bool)
+    out[order[1:]] |= near
+    out[order[:-1]] |= near
+    return out
+
+
+def window_rows(docs: DataFrame, least: int) -> DataFrame:
+    """doc_id, th, pos, size, line, loops, h1, h2: the blocks and windows that may stand more than once."""
+    shared = docs.sparkSession.sparkContext.broadcast(repeated_anchors(docs, least))
     rows = small_batches(docs.select("doc_id", "text", F.xxhash64("text").alias("th")))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        hashes, powers, others = Hashes(), Powers(BASES[0]), Powers(BASES[1])
+        equal, other = shared.value
+
+        def of_document(text: str | None) -> tuple[np.ndarray, ...] | None:
+            h = word_hashes(text, hashes)
+            if len(h) < least:
+                return None
+            total = sums(h, powers)
+            anchor, first, last, _ = anchors_of(total, least, powers)
+            single = in_map(other, anchor)
+            whole = in_map(equal, anchor) & ~single
+            if not (single.any() or whole.any()):
+                return None
+            windows = np.flatnonzero(np.repeat(single, last - first + 1))
+            at = np.concatenate([first[whole], windows])
+            size = np.concatenate([(last - first)[whole] + least, np.full(len(windows), least)])
+            one = hash_of(total, powers, at, size)
+            two = hash_of(sums(mixed(h ^ np.uint64(BASES[1])), others), others, at, size) >> np.uint64(33)
+            ends = np.cumsum([len(x.split()) for x in text.encode("utf-8", "replace").split(b"\n")])
+            loops = np.zeros(len(at), bool)
+            loops[len(at) - len(windows):] = close_repeats(one[len(at) - len(windows):], windows, least)
+            return at, size, np.searchsorted(ends, at, side="right"), loops, one.view(np.int64), two.astype(np.int64)
+
+        def table(batch: pd.DataFrame, found: list[tuple[int, tuple[np.ndarray, ...]]]) -> pd.DataFrame:
+            rows = np.repeat([i for i, _ in found], [len(f[0]) for _, f in found])
+            values = [np.concatenate(x) for x in zip(*(f for _, f in found), strict=True)]
+            places = {c: batch[c].iloc[rows].to_numpy() for c in ("doc_id", "th")}
+            return pd.DataFrame(places | dict(zip(("pos", "size", "line", "loops", "h1", "h2"), values, strict=True)))
+
         for batch in batches:
-            frames = []
-            for i, (text, th) in enumerate(zip(batch["text"], batch["th"], strict=True)):
-                lines, words = lines_of(text or "")
-                if lines:
-                    ahead, behind = windows_of(words, least)
-                    both = [xxhash.xxh3_128_intdigest(x.encode("utf-8", "replace")) for x in lines]
-                    frames.append(pd.DataFrame({
-                        "doc_id": batch["doc_id"].iloc[np.full(len(lines), i)].to_numpy(), "th": th, "pos": np.arange(len(lines)),
-                        "h1": [signed(x >> 64) for x in both], "h2": [signed(x & (1 << 64) - 1) for x in both], "ahead": ahead, "behind": behind}))
-            if frames:
-                yield pd.concat(frames)
-
-    return rows.mapInPandas(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, th long, pos int, h1 long, h2 long, ahead int, behind int")
-
-
-def sums_before(groups: DataFrame, within: list[str], cell: Column, order: list[str]) -> DataFrame:
-    """Add ``before``: the sum of ``n`` over the groups that come earlier in ``order``, apart for each ``within``."""
-    groups = groups.withColumn("cell", cell)
-    cells = groups.groupBy(*within, "cell").agg(F.sum("n").alias("cell_n"))
-    earlier = Window.partitionBy(*within).orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
-    cells = cells.select(*within, "cell", F.coalesce(F.sum("cell_n").over(earlier), F.lit(0)).alias("base"))
-    inside = Window.partitionBy(*within, "cell").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    groups = groups.withColumn("inner", F.coalesce(F.sum("n").over(inside), F.lit(0)))
-    return groups.join(cells, [*within, "cell"]).withColumn("before", F.col("base") + F.col("inner")).drop("cell", "base", "inner")
-
-
-def first_ranks(lines: DataFrame) -> DataFrame:
-    """h1, h2, r: ranks of the lines that stand more than once."""
-    groups = lines.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1")
-    cell = F.shiftright("h1", 64 - CELL_BITS)
-    return sums_before(groups, [], cell, ["h1", "h2"]).select("h1", "h2", F.col("before").alias("r"))
-
-
-def doubled(level: DataFrame, length: int) -> DataFrame:
-    """Ranks by twice as many lines; ``level``: ord, pos, r by ``length`` lines."""
-    after = Window.partitionBy("ord").orderBy("pos").rangeBetween(length, length)
-    pairs = level.withColumn("r2", F.max("r").over(after)).where("r2 is not null")
-    groups = pairs.groupBy("r", "r2").agg(F.count("*").alias("n")).where("n > 1")
-    ranks = sums_before(groups, ["r"], F.shiftright("r2", CELL_BITS), ["r2"])
-    return settle(pairs.join(ranks, ["r", "r2"]).select("ord", "pos", (F.col("r") + F.col("before")).alias("r")))
+            found, held = [], 0
+            for i, text in enumerate(batch["text"]):
+                if (f := of_document(text)) is not None:
+                    found.append((i, f))
+                    held += len(f[0])
+                    if held > 200_000:
+                        yield table(batch, found)
+                        found, held = [], 0
+            if found:
+                yield table(batch, found)
+
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    return rows.mapInPandas(run, f"doc_id {kind}, th long, pos int, size int, line int, loops boolean, h1 long, h2 int")
 
 
 def later_copies(docs: DataFrame, least: int = MIN_WORDS) -> DataFrame:
-    """doc_id, th, cuts: of each document with later copies, the windows (start, lines) to delete."""
-    lines = settle(line_rows(docs, least))
-    names = lines.where("pos = 0").select("doc_id", "th").distinct().orderBy(F.col("doc_id").asc_nulls_last(), "th")
-    names = settle(names.withColumn("ord", F.monotonically_increasing_id()))
-    found = lines.join(first_ranks(lines), ["h1", "h2"]).alias("l").join(
-        names.alias("n"), F.col("l.doc_id").eqNullSafe(F.col("n.doc_id")) & (F.col("l.th") == F.col("n.th")))
-    repeated = settle(found.select("ord", "pos", "r", "ahead", "behind").dropDuplicates(["ord", "pos"]))
-    longest = repeated.agg(F.max(F.greatest("ahead", "behind"))).first()[0] or 1
-    levels, k = [repeated.select("ord", "pos", "r")], 0
-    while 2 << k <= longest:
-        levels.append(doubled(levels[-1], 1 << k))
-        k += 1
-    windows = repeated.where("ahead > 0").select("ord", F.col("pos").alias("start"), F.col("ahead").alias("size")).union(
-        repeated.where("behind > 0").select("ord", F.expr("pos - behind + 1"), "behind")).distinct()
-    named = None
-    for k, level in enumerate(levels):
-        a = level.select("ord", F.col("pos").alias("start"), F.col("r").alias("ra"))
-        b = level.select("ord", F.col("pos").alias("last"), F.col("r").alias("rb"))
-        some = windows.where(F.col("size").between(1 << k, (2 << k) - 1)).withColumn("last", F.expr(f"start + size - {1 << k}"))
-        some = some.join(a, ["ord", "start"]).join(b, ["ord", "last"]).select("size", "ra", "rb", F.struct("ord", "start").alias("place"))
-        named = some if named is None else named.unionByName(some)
-    named = settle(named)
-    first = named.groupBy("size", "ra", "rb").agg(F.min("place").alias("first"), F.count("*").alias("n")).where("n > 1")
-    copies = named.join(first, ["size", "ra", "rb"]).where("place > first")
-    cuts = copies.groupBy(F.col("place.ord").alias("ord")).agg(F.collect_list(F.struct(F.col("place.start").alias("start"), "size")).alias("cuts"))
-    return cuts.join(names, "ord").select("doc_id", "th", "cuts")
+    """doc_id, th, cuts: of each document with later copies, the runs (pos, size) of words to delete."""
+    folder = scratch(docs.sparkSession, "windows")
+    window_rows(docs, least).write.parquet(folder)
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th", "pos", "line")
+    windows = docs.sparkSession.read.parquet(folder).select("h1", "h2", "size", "loops", place.alias("place"))
+    first = windows.groupBy("h1", "h2").agg(F.min("place").alias("first"), F.max("place").alias("last")).where("first < last").drop("last")
+    apart = "not loops or not (place.doc_id <=> first.doc_id) or place.th <> first.th or place.line <> first.line"
+    copies = windows.join(first, ["h1", "h2"]).where("place > first").where(apart)
+    return copies.groupBy("place.doc_id", "place.th").agg(F.collect_set(F.struct("place.pos", "size")).alias("cuts"))
+
+
+def without_words(line: str, gone: np.ndarray) -> str:
+    """The line without the words in ``gone`` and the white space that set them apart."""
+    spans = [m.span() for m in WORD.finditer(line)]
+    kept = np.flatnonzero(~gone)
+    out, at = [], 0
+    for k in np.flatnonzero(gone[:-1] & ~gone[1:]):  # the last of a piece that words follow
+        before = kept[kept < k]
+        out.append(line[at:spans[before[-1] + 1 if len(before) else 0][0]])
+        at = spans[k + 1][0]
+    if gone[-1]:
+        return "".join([*out, line[at:spans[kept[-1]][1]], line[spans[-1][1]:]])
+    return "".join([*out, line[at:]])
 
 
 def without(texts: pd.Series, cuts: pd.Series) -> pd.DataFrame:
-    """The text without the windows, and what was there before and after."""
+    """The text without the runs of words, and what was there before and after."""
     out = []
-    for text, windows in zip(texts, cuts, strict=True):
+    for text, runs in zip(texts, cuts, strict=True):
         rows = (text or "").split("\n")
         counts = [len(x.encode("utf-8", "replace").split()) for x in rows]
-        n = sum(c > 0 for c in counts)
-        gone = np.zeros(n, bool)
-        for w in windows if windows is not None else ():
-            gone[w["start"]:w["start"] + w["size"]] = True
-        if not gone.any():
-            out.append((text, n, 0, sum(counts), sum(counts)))
+        n, total = sum(c > 0 for c in counts), sum(counts)
+        if runs is None or not len(runs):
+            out.append((text, n, 0, total, total))
             continue
-        kept, left, at = [], 0, 0
+        starts, sizes = (np.array([r[x] for r in runs], np.int64) for x in ("pos", "size"))
+        steps = np.zeros(total + 1, np.int64)
+        np.add.at(steps, starts, 1)
+        np.add.at(steps, starts + sizes, -1)
+        gone = np.cumsum(steps)[:total] > 0
+        kept, left, hit, at = [], 0, 0, 0
         for row, c in zip(rows, counts, strict=True):
-            if c == 0 or not gone[at]:
+            mine = gone[at:at + c].copy()
+            at += c
+            if c > 1 and not mine.all():
+                mine[:1] &= mine[1:2]  # a single word at an edge stays
+                mine[-1:] &= mine[-2:-1]
+            hit += bool(mine.any())
+            left += int((~mine).sum())
+            if not mine.any():
                 kept.append(row)
-                left += c
-            at += c > 0
-        out.append(("\n".join(kept), n, int(gone.sum()), sum(counts), left))
+            elif not mine.all():
+                kept.append(without_words(row, mine))
+        out.append(("\n".join(kept), n, hit, total, left) if hit else (text, n, 0, total, total))
     return pd.DataFrame(out, columns=["text", "n_lines", "n_deleted", "n_words", "n_words_left"])
 
 

@@ -187,6 +187,50 @@ def test_line_dedup_deletes_a_common_passage(spark):
     assert all(out[i]["text"] == f"own {i}\nend {i}" and out[i]["n_deleted"] == 3 for i in range(1, 6))
 
 
+def test_line_dedup_deletes_a_passage_inside_lines(spark):
+    passage = [f"p{k}" for k in range(53)]
+    own = [[f"d{i}x{k}" for k in range(9)] for i in range(5)]
+    one_line = [" ".join([*own[i][:4], *passage, *own[i][4:]]) for i in range(3)]
+    wrapped = "\n".join([" ".join([*own[3][:4], *passage[:12]]), " ".join(passage[12:30]), "", " ".join([*passage[30:], *own[3][4:]])])
+    short = " ".join([*own[4][:4], *passage[:49], *own[4][4:]])
+    twice = " ".join(["u", *(f"q{k}" for k in range(51)), "v", *(f"q{k}" for k in range(51)), "w"])
+    docs = [*enumerate(one_line), (3, wrapped), (4, short), (5, twice), (6, "z " * 200)]
+    out = {r["doc_id"]: r for r in line_dedup.line_dedup(frame(spark, [(i, t, "en", "a") for i, t in docs])).collect()}
+    assert all(out[i]["text"] == docs[i][1] and out[i]["n_deleted"] == 0 for i in (0, 4, 6))
+    assert all(out[i]["text"] == " ".join(own[i]) and out[i]["n_deleted"] == 1 and out[i]["n_words_left"] == 9 for i in (1, 2))
+    assert out[3]["text"] == "\n".join([" ".join(own[3][:4]), "", " ".join(own[3][4:])]) and out[3]["n_deleted"] == 3
+    assert out[5]["text"] == " ".join(["u", *(f"q{k}" for k in range(51)), "v", "w"])
+
+
+def test_line_dedup_against_all_windows(spark):
+    """Words of every later window of 50 that stands earlier go, by plain comparison; real documents."""
+    docs = [(r["doc_id"], r["text"] or "") for r in spark.read.parquet(DATA + "/documents.parquet").select("doc_id", "text").collect()]
+    seen, want = {}, {}
+    for i, text in sorted(docs):
+        words = text.encode().split()
+        line = [k for k, x in enumerate(text.split("\n")) for _ in x.encode().split()]
+        places, gone = collections.defaultdict(list), set()
+        for p in range(len(words) - 49):
+            places[tuple(words[p:p + 50])].append(p)
+        for window, ps in places.items():
+            first = seen.setdefault(window, (i, line[ps[0]], ps[0]))
+            for p in ps:
+                overlaps = any(0 < abs(p - q) < 50 for q in ps)  # a phrase said over and over in one line is no copy
+                if (i, p) != (first[0], first[2]) and not (overlaps and (i, line[p]) == first[:2]):
+                    gone |= set(range(p, p + 50))
+        want[i], at = len(words), 0
+        for n in (len(x.encode().split()) for x in text.split("\n")):
+            mine = [p in gone for p in range(at, at + n)]
+            at += n
+            want[i] -= sum(mine)
+            if n > 1 and not all(mine):  # a single word at an edge of a line stays
+                want[i] += (mine[0] and not mine[1]) + (mine[-1] and not mine[-2])
+    out = line_dedup.line_dedup(frame(spark, [(i, t, "en", "a") for i, t in docs])).collect()
+    assert {r["doc_id"]: r["n_words_left"] for r in out} == want
+    assert sum(r["n_words_left"] < r["n_words"] for r in out) > 0
+    assert all(len((r["text"] or "").encode().split()) == r["n_words_left"] for r in out)
+
+
 def test_mixing_targets(spark, odd):
     rows = mixing.mix(odd).collect()
     sizes = {r["doc_id"]: len(GAP.findall(r["text"] or "")) for r in odd.collect()}
