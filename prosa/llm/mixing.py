@@ -108,12 +108,15 @@ def stream(docs: DataFrame) -> DataFrame:
     """The documents as training reads them: one row per copy, range-sorted by position.
 
     The columns are those of ``docs``. A document has ``taken / size`` copies, halves rounded up; copies
-    are whole, so the one document of a source that the mix takes in part counts or doesn't.
+    are whole, so the one document of a source that the mix takes in part counts or doesn't, and a source misses its target
+    by at most half of its longest document. A source with a target above 0 keeps at least one copy, that of its first
+    document; only then it can be above its target by more, up to that document.
     """
     columns = docs.columns
     keep = docs.withColumn("_row", F.struct(*columns))
     rows = supply(keep, ("_row",)).where("taken > 0")
     copies = F.floor(F.col("taken") / F.col("size") + F.lit(0.5)).cast("int")
+    copies = F.greatest(copies, (F.col("start") == 0).cast("int"))
     numbers = F.when(copies > 0, F.sequence(F.lit(1), copies)).otherwise(F.array().cast("array<int>"))
     rows = rows.withColumn("_copy", F.explode(numbers))
     before = F.col("start") + (F.col("_copy") - 1) * F.col("source_size") + F.col("size") / F.lit(2.0)

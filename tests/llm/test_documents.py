@@ -263,6 +263,17 @@ def test_stream_follows_the_curriculum(spark):
     assert abs(len(order) - 450) <= 3
 
 
+def test_stream_keeps_every_source(spark):
+    rows = [(100 * k + i, "w " * 10, "en", name) for k, (name, n) in enumerate({"a": 50, "b": 20, "d": 50, "e": 20, "f": 10}.items()) for i in range(n)]
+    docs = frame(spark, [*rows, (900, "w " * 640, "en", "c"), (901, None, "en", "c")])
+    part = {r["doc_id"]: r for r in mixing.mix(docs).collect()}[900]
+    assert 0 < part["taken"] < part["size"] / 2
+    copies = collections.Counter(r["doc_id"] for r in mixing.stream(docs).collect())
+    assert copies[900] == 1 and 901 not in copies
+    taken = {r["doc_id"]: r["taken"] for r in mixing.mix(docs).collect()}
+    assert all(copies[i] == (taken[i] + 5) // 10 for i, *_ in rows)
+
+
 def groups_by_rule(docs, words=4):
     sets = {}
     for i, text in docs:
