@@ -6,6 +6,7 @@ import sys
 import tempfile
 import uuid
 
+import numpy as np
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -81,6 +82,45 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 
 
+#: Which bytes stand between words, a random number for each byte, and how many bytes are hashed at a time.
+IS_GAP = np.isin(np.arange(256), [32, *range(9, 14)])
+BYTE_VALUES = np.random.default_rng(20).integers(1, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
+BASE, PIECE = 0x9E3779B97F4A7C15, 1 << 20
+_POWERS: list[np.ndarray] = []
+
+
+def powers(n: int) -> list[np.ndarray]:
+    """The powers of the base and of its inverse modulo 2^64, up to ``n`` at least."""
+    if not _POWERS or len(_POWERS[0]) <= n:
+        steps = np.full((2, max(2 * n, 1 << 16)), 1, np.uint64)
+        steps[:, 1:] = [[BASE], [pow(BASE, -1, 1 << 64)]]
+        _POWERS[:] = np.cumprod(steps, axis=1)
+    return _POWERS
+
+
+def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """A 64-bit hash of each word of UTF-8 text, and where it starts. No word is looked up: hashes are differences of
+    a running polynomial over the bytes, taken in pieces that end between words."""
+    hashes, starts, at = [], [], 0
+    while at < len(data):
+        end = at + PIECE
+        while end < len(data) and data[end] not in b" \t\n\v\f\r":
+            end += 1
+        b = np.frombuffer(b"\n%b\n" % data[at:end], np.uint8)
+        gap = IS_GAP[b]
+        start, stop = np.flatnonzero(gap[:-1] & ~gap[1:]) + 1, np.flatnonzero(~gap[:-1] & gap[1:]) + 1
+        up, down = powers(len(b))
+        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(BYTE_VALUES[b] * up[:len(b)], dtype=np.uint64)])
+        x = (total[stop] - total[start]) * down[start] + (stop - start).astype(np.uint64)
+        x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+        hashes.append((x ^ (x >> np.uint64(29))) * np.uint64(0xC2B2AE3D27D4EB4F))
+        starts.append(start + (at - 1))
+        at = end
+    if not hashes:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    return np.concatenate(hashes), np.concatenate(starts)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, component): the smallest node that a node of ``edges`` (a, b) reaches.
 

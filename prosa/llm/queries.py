@@ -7,7 +7,7 @@ import os
 
 from pyspark.sql import functions as F
 
-from prosa.llm import bpe, classifier, jaccard, line_dedup, mixing, pii, quality_rules, secrets, url_filter, vectors
+from prosa.llm import bpe, classifier, jaccard, line_dedup, mixing, pii, quality_rules, secrets, substring_dedup, url_filter, vectors
 from prosa.llm.common import table
 
 QUERIES, ORACLE = {}, {}
@@ -83,3 +83,9 @@ def token_digests(coded):
 @query("op10_vectors")
 def op10(spark, d):
     return vectors.near_duplicates(table(spark, d, "embeddings"))
+
+
+@query("op13_substring_dedup")
+def op13(spark, d):
+    out = substring_dedup.substring_dedup(table(spark, d, "documents"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
