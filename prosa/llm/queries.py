@@ -7,7 +7,7 @@ import os
 
 from pyspark.sql import functions as F
 
-from prosa.llm import bpe, classifier, jaccard, line_dedup, mixing, pii, quality_rules, secrets, substring_dedup, url_filter, vectors
+from prosa.llm import bpe, classifier, divergence, jaccard, line_dedup, mixing, pii, quality_rules, secrets, substring_dedup, url_filter, vectors
 from prosa.llm.common import table
 
 QUERIES, ORACLE = {}, {}
@@ -89,3 +89,8 @@ def op10(spark, d):
 def op13(spark, d):
     out = substring_dedup.substring_dedup(table(spark, d, "documents"))
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query("op12_source_divergence", divergence.SQL)
+def op12(spark, d):
+    return divergence.divergence(table(spark, d, "documents"))
