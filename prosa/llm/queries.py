@@ -7,7 +7,7 @@ import os
 
 from pyspark.sql import functions as F
 
-from prosa.llm import bpe, classifier, divergence, jaccard, line_dedup, mixing, pii, quality_rules, secrets, substring_dedup, url_filter, vectors
+from prosa.llm import bpe, classifier, divergence, jaccard, line_dedup, mixing, pii, quality_rules, secrets, substring_dedup, url_filter, vectors, whitening
 from prosa.llm.common import table
 
 QUERIES, ORACLE = {}, {}
@@ -94,3 +94,8 @@ def op13(spark, d):
 @query("op12_source_divergence", divergence.SQL)
 def op12(spark, d):
     return divergence.divergence(table(spark, d, "documents"))
+
+
+@query("op11_whitening")
+def op11(spark, d):
+    return whitening.whiten(table(spark, d, "embeddings"))
