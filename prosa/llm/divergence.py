@@ -88,8 +88,9 @@ def counts(docs: DataFrame) -> DataFrame:
 
         def sent() -> Iterator[pd.DataFrame]:
             for (lang, source), (n, d) in held.items():
-                yield pd.DataFrame({"lang": lang, "source": source, "term": [t.decode("utf-8", "replace") for t in n],
-                                    "n": list(n.values()), "docs": [d[t] for t in n]})
+                if n:
+                    yield pd.DataFrame({"lang": [lang] * len(n), "source": [source] * len(n), "term": [t.decode("utf-8", "replace") for t in n],
+                                        "n": list(n.values()), "docs": [d[t] for t in n]})
             held.clear()
 
         for batch in batches:
@@ -192,7 +193,7 @@ def strip_pairs(pdf: pd.DataFrame) -> pd.DataFrame:
     total = distances(at, flat[:, 0], flat[:, 1], pdf["zero"].to_numpy(np.int64), int(first["width"]))
     block, gid = pdf["block"].to_numpy(), pdf["gid"].to_numpy()
     i, j = np.nonzero((block[:, None] == first["low"]) & (block[None, :] == first["high"]) & (gid[:, None] < gid[None, :]))
-    return pd.DataFrame({"lang": first["lang"], "x": gid[i], "y": gid[j], "value": total[i, j]})
+    return pd.DataFrame({"lang": np.full(len(i), first["lang"], object), "x": gid[i], "y": gid[j], "value": total[i, j]})
 
 
 def divergence(docs: DataFrame, least_docs: int = LEAST_DOCS, top: int = TOP, scale: int = SCALE, smooth: int = SMOOTH) -> DataFrame:
