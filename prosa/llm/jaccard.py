@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from prosa.llm.common import components, settle, shipped, small_batches
+from prosa.llm.common import components, settle, shipped, small_batches, word_hashes
 
 WORDS, PART, WHOLE = 4, 85, 100
 #: Relative costs of writing a signature and of checking a pair.
@@ -41,17 +41,6 @@ BLOCK = 256
 #: Bits of the prefilter for the sets that are fetched for verification.
 FILTER = 1 << 22
 ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0xD6E8FEB86659FD93], np.uint64)
-KEEP_WORDS = 400_000
-
-
-class Hashes(dict):
-    """Word to hash; forgets everything when it holds many words."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > KEEP_WORDS:
-            self.clear()
-        self[word] = value = xxhash.xxh3_64_intdigest(word)
-        return value
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -60,15 +49,15 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def shingles(text: str | None, hashes: dict, words: int = WORDS) -> np.ndarray:
+def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
     """Sorted distinct hashes of the shingles."""
-    tokens = (text or "").encode("utf-8", "replace").lower().split()
-    if not tokens:
+    data = (text or "").encode("utf-8", "replace").lower()
+    h, _ = word_hashes(data)
+    if not len(h):
         return np.zeros(0, np.uint64)
-    if len(tokens) < words:
-        return np.array([xxhash.xxh3_64_intdigest(b" ".join(tokens), seed=len(tokens))], np.uint64)
-    h = np.fromiter(map(hashes.__getitem__, tokens), np.uint64, len(tokens))
-    n = len(tokens) - words + 1
+    if len(h) < words:
+        return np.array([xxhash.xxh3_64_intdigest(b" ".join(data.split()), seed=len(h))], np.uint64)
+    n = len(h) - words + 1
     out = h[:n] * ODD[0]
     for k in range(1, words):
         out = mixed(out) + h[k:n + k] * ODD[1 + (k - 1) % 3]
@@ -148,9 +137,8 @@ def classes_of(docs: DataFrame, words: int = WORDS) -> DataFrame:
     rows = small_batches(docs.select("doc_id", "text", F.xxhash64("text").alias("th")))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashes = Hashes()
         for batch in batches:
-            sets = [shingles(t, hashes, words) for t in batch["text"]]
+            sets = [shingles(t, words) for t in batch["text"]]
             yield pd.DataFrame({"doc_id": batch["doc_id"], "th": batch["th"], "n_shingles": [len(s) for s in sets],
                                 "cls": pd.array([class_of(s) if len(s) else None for s in sets], "Int64")})
 
@@ -160,11 +148,11 @@ def classes_of(docs: DataFrame, words: int = WORDS) -> DataFrame:
 def signature_rows(docs: DataFrame, plans: dict[int, tuple[int, int, int]], edges: list[int], words: int) -> DataFrame:
     """key, cls: a class that a task has met before is not written again by it."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashes, met = Hashes(), set()
+        met = set()
         for batch in batches:
             keys, owners, held = [], [], 0
             for text in batch["text"]:
-                s = shingles(text, hashes, words)
+                s = shingles(text, words)
                 if not len(s) or (c := class_of(s)) in met:
                     continue
                 met.add(c)
@@ -196,11 +184,11 @@ def sets_of(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(bitmap)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashes, met, bits = Hashes(), set(), shared.value
+        met, bits = set(), shared.value
         for batch in batches:
             out, held = {"cls": [], "items": []}, 0
             for text in batch["text"]:
-                s = shingles(text, hashes, words)
+                s = shingles(text, words)
                 if not len(s) or (c := class_of(s)) in met:
                     continue
                 b = c & (FILTER - 1)
