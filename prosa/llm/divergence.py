@@ -36,7 +36,7 @@ LEAST_DOCS, TOP, SCALE, SMOOTH = 30, 50, 1_000_000_000, 5
 #: Terms in a strip (about), groups in a block, rows and columns of a leaf, pairs of leaves compared at a time.
 STRIP, BLOCK, LEAF, LEAVES = 1024, 256, 8, 4096
 #: Different terms that a task adds up before it sends them on.
-HELD = 200_000
+HELD = 500_000
 _LETTERS = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
 SQL = f"""
