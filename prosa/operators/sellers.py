@@ -34,7 +34,12 @@ def _canonical(conversations: DataFrame, profile: Profile) -> DataFrame:
         mean_to("inbound_messages", 1).alias("media_msgs_lead"),
         F.count("competitor_mentioned").alias("conversas_com_concorrente"),
     )
-    rated = grouped.withColumns({
+    return rated(grouped, profile)
+
+
+def rated(grouped: DataFrame, profile: Profile = CANONICAL) -> DataFrame:
+    """Rates and score from the sums of each seller."""
+    rates = grouped.withColumns({
         "taxa_conversao_pct": percent("vendas_fechadas", "total_conversas"),
         "taxa_ghosting_pct": percent("ghosting", "total_conversas"),
     })
@@ -43,7 +48,7 @@ def _canonical(conversations: DataFrame, profile: Profile) -> DataFrame:
                   profile.seller_speed_null)
     score = (F.col("taxa_conversao_pct") * 0.5
              + (100 - clip(F.col("taxa_ghosting_pct"), 0.0, 100.0)) * 0.2 + speed * 0.3)
-    return (rated.withColumn("score_vendedor", round_to(score, 1))
+    return (rates.withColumn("score_vendedor", round_to(score, 1))
             .orderBy(F.desc("total_conversas"), "agent_id"))
 
 
@@ -56,14 +61,18 @@ def _notebook(conversations: DataFrame, profile: Profile) -> DataFrame:
         F.avg("avg_response_time_sec").alias("media_tempo_resposta_sec"),
         F.avg("duration_minutes").alias("media_duracao_min"),
     )
-    rated = grouped.withColumns({
+    return rated_notebook(grouped, profile)
+
+
+def rated_notebook(grouped: DataFrame, profile: Profile) -> DataFrame:
+    rates = grouped.withColumns({
         "taxa_conversao": percent("vendas_fechadas", "total_conversas"),
         "taxa_ghosting": percent("ghosting_count", "total_conversas"),
     })
     speed = below("media_tempo_resposta_sec", profile.seller_speed, profile.seller_speed_last,
                   profile.seller_speed_null)
     score = F.col("taxa_conversao") * 0.50 + (100.0 - F.col("taxa_ghosting")) * 0.20 + speed * 0.30
-    return rated.withColumn("score_vendedor", round_to(score, 1))
+    return rates.withColumn("score_vendedor", round_to(score, 1))
 
 
 def seller_stats(sellers: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from prosa.operators import bronze as B
 from prosa.operators import competition, conversations, leads, personas, segments, sellers, sentiment, silver, timing
+from prosa.operators import gold as G
 from prosa.params import CANONICAL, Profile
 from prosa.sources.tables import Tables, read_source
 
@@ -52,8 +53,9 @@ def ingest(tables: Tables, source_path: str, mode: str = "auto", profile: Profil
 
 def build_silver(tables: Tables, profile: Profile = CANONICAL) -> dict[str, Any]:
     """Bronze to both Silver tables. Messages are written once; conversations aggregate what was
-    written, so the text patterns run once."""
+    written, so the text patterns run once. Gold no longer follows from Silver then: a refresh builds it anew."""
     source = tables.read("bronze")
+    tables.drop(gold_state(tables))
     tables.overwrite(silver.silver_messages(source, profile), "silver_messages")
     messages = tables.read("silver_messages")
     tables.overwrite(conversations.silver_conversations(messages, profile), "silver_conversations")
@@ -85,22 +87,38 @@ def gold_frames(convs: DataFrame, profile: Profile = CANONICAL) -> dict[str, Dat
     return frames
 
 
+def gold_state(tables: Tables) -> str:
+    """Where the sums behind the grouped Gold tables are."""
+    return f"{tables.root}/gold_state"
+
+
+def write_grouped(tables: Tables, profile: Profile = CANONICAL) -> dict[str, int]:
+    """The grouped Gold tables anew from their sums: a row for each seller, campaign, day and so on."""
+    sums = tables.read(gold_state(tables))
+    sums = G.summed(sums) if len(tables.batches(gold_state(tables))) > 1 else sums
+
+    def write(name: str) -> int:
+        tables.overwrite(G.cut(sums, name, profile), tables.place(name))
+        return tables.count(tables.place(name))
+
+    return {name: write(name) for name in G.grouped_tables(profile)}
+
+
 def build_gold(tables: Tables, profile: Profile = CANONICAL, convs: DataFrame | None = None) -> dict[str, int]:
-    """Write all Gold tables from Silver conversations; rows per table.
+    """Write all Gold tables from Silver conversations, which are read twice; rows per table.
 
-    Each table reads only its own columns of the (columnar) Silver table. Column selection keeps
-    personal data out: no Gold table has a message text, phone, name, plate or hash.
+    The tables with a row for each conversation are written in one job. The grouped ones are cut from one table of sums, which
+    is written last: where it is, Gold is complete. Column selection keeps personal data out: no Gold table has a message
+    text, phone, name, plate or hash.
     """
     convs = tables.read("silver_conversations") if convs is None else convs
-
-    def write(item: tuple[str, DataFrame]) -> tuple[str, int]:
-        name, frame = item
-        seen = Observation(name.replace("/", "_"))
-        target = name if name in tables.layout else f"{tables.root}/{name}"
-        tables.overwrite(frame.observe(seen, F.count(F.lit(1)).alias("rows")), target)
-        return name, seen.get["rows"]
-
-    return dict(write(item) for item in gold_frames(convs, profile).items())
+    state = gold_state(tables)
+    tables.drop(state)
+    columns = G.row_columns(profile)
+    tables.write_many(G.row_tables(convs, profile), G.TABLE, columns)
+    rows = dict.fromkeys(columns, tables.count(tables.place("gold_sentiment")))  # one for each conversation
+    tables.overwrite(G.summed(G.contributions(convs, profile)), state)
+    return rows | write_grouped(tables, profile)
 
 
 def one_plan(source: DataFrame, profile: Profile = CANONICAL) -> DataFrame:

@@ -1,10 +1,16 @@
 """Named tables under a root folder: reading, appending, replacing safely, listing.
 
 The format is a parameter: ``parquet`` (default) or ``delta`` where its package is installed.
-With Parquet, each writer appends into folders of its own, ``_writer=NAME/_batch_id=N``. Repeating
-a batch replaces that writer's folder N and nothing else, so two jobs, or a job and a stream, never
-touch each other's rows. Replacing a table writes beside it first and swaps the folders after success.
-The schema is kept beside the rows, so a read opens no footers.
+With Parquet, each writer appends into folders of its own, ``_writer=NAME/_batch_id=N``. A ``Tables`` object
+is a writer with a name of its own, a stream is another, so two jobs, or a job and a stream, never touch each other's
+rows. Repeating a batch replaces that writer's folder N and nothing else. Replacing a table writes beside it first and
+swaps the folders after success. The schema is kept beside the rows, by each writer what it added, so a read opens no
+footers and no writer undoes another's columns.
+
+Tables of conversations can be clustered (``buckets``): rows lie in folders by a hash of the conversation, so those of some
+conversations are found without reading the rest. How many buckets a table has is kept with its schema.
+
+Rows may carry a version (``_version``): then only those of the newest version of each conversation are the table.
 """
 
 from __future__ import annotations
@@ -12,16 +18,18 @@ from __future__ import annotations
 import json
 import os
 import uuid
-from typing import Mapping
+from typing import Mapping, Sequence
 
 from pyspark.errors import PySparkException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from prosa.schemas import NOTEBOOK_RUNS
 
-BATCH, WRITER, SCHEMA = "_batch_id", "_writer", "_schema.json"
+BATCH, WRITER, BUCKET, VERSION, SCHEMA = "_batch_id", "_writer", "_bucket", "_version", "_schema"
+#: What tables are clustered and versioned by.
+KEY = "conversation_id"
 
 # Logical names and where they live below the root.
 LAYOUT = {
@@ -80,48 +88,86 @@ def _folders(spark: SparkSession, path: str) -> list[str]:
 
 
 def _stored_schema(spark: SparkSession, path: str) -> T.StructType | None:
-    files, hadoop = _file_system(spark, f"{path}/{SCHEMA}")
+    """The fields that any writer has stored, in the order in which writers are named."""
+    files, hadoop = _file_system(spark, path)
     if not files.exists(hadoop):
         return None
-    stream = files.open(hadoop)
-    try:
-        return T.StructType.fromJson(json.loads(spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")))
-    finally:
-        stream.close()
-
-
-def _store_schema(spark: SparkSession, path: str, schema: T.StructType) -> None:
-    """Keep the table's schema: fields known before, then new ones, all nullable."""
-    known = _stored_schema(spark, path)
-    fields = {f.name: f for f in (known.fields if known else [])}
+    fields: dict[str, T.StructField] = {}
+    for status in sorted(files.listStatus(hadoop), key=lambda x: x.getPath().getName()):
+        name = status.getPath().getName()
+        if not (name.startswith(SCHEMA) and name.endswith(".json")):
+            continue
+        stream = files.open(status.getPath())
+        try:
+            stored = T.StructType.fromJson(json.loads(spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")))
+        finally:
+            stream.close()
+        for f in stored.fields:
+            fields.setdefault(f.name, f)
+    return T.StructType(list(fields.values())) if fields else None
+
+
+def _store_schema(spark: SparkSession, path: str, schema: T.StructType, writer: str, buckets: int | None = None) -> None:
+    """Keep what this writer adds to the table's schema, all nullable, in a file of its own."""
+    stored = _stored_schema(spark, path)
+    known = {f.name: f for f in (stored.fields if stored else [])}
     for f in schema.fields:
-        if f.name in fields and fields[f.name].dataType.simpleString() != f.dataType.simpleString():
-            raise ValueError(f"{path}: column {f.name} is {fields[f.name].dataType.simpleString()}, not {f.dataType.simpleString()}")
-        fields.setdefault(f.name, T.StructField(f.name, f.dataType, True))
-    if known is not None and len(fields) == len(known.fields):
+        if f.name in known and known[f.name].dataType.simpleString() != f.dataType.simpleString():
+            raise ValueError(f"{path}: column {f.name} is {known[f.name].dataType.simpleString()}, not {f.dataType.simpleString()}")
+    fresh = [T.StructField(f.name, f.dataType, True) for f in schema.fields if f.name not in known]
+    if buckets and BUCKET not in known:
+        fresh.append(T.StructField(BUCKET, T.IntegerType(), True, {"buckets": buckets}))
+    if not fresh:
         return
-    files, hadoop = _file_system(spark, f"{path}/{SCHEMA}")
+    files, hadoop = _file_system(spark, f"{path}/{SCHEMA}-{writer}.json")
     out = files.create(hadoop, True)
-    out.writeBytes(json.dumps(T.StructType(list(fields.values())).jsonValue()))
+    out.writeBytes(json.dumps(T.StructType([*known.values(), *fresh]).jsonValue()))
     out.close()
 
 
+def bucket_of(key: Column | str, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
+
+
+def current(df: DataFrame, single: bool = True) -> DataFrame:
+    """The rows of the newest version of each conversation, without the version. Rows that have none are the oldest.
+
+    ``single``: a version is one row. Then the row number is limited before the shuffle as well; otherwise the newest
+    versions are joined back, which Spark can split where one conversation has very many rows.
+    """
+    if VERSION not in df.columns:
+        return df
+    if single:
+        window = Window.partitionBy(KEY).orderBy(F.desc_nulls_last(VERSION))
+        return df.withColumn("_nth", F.row_number().over(window)).where(F.col("_nth") == 1).drop("_nth", VERSION)
+    newest = df.groupBy(F.col(KEY).alias("_c")).agg(F.coalesce(F.max(VERSION), F.lit(0)).alias("_v"))
+    same = F.col(KEY).eqNullSafe(F.col("_c")) & (F.coalesce(VERSION, F.lit(0)) == F.col("_v"))
+    return df.join(newest, same, "left_semi").drop(VERSION)
+
+
 class Tables:
     """The tables of one data root."""
 
     def __init__(self, spark: SparkSession, root: str, fmt: str = "parquet",
-                 layout: Mapping[str, str] = LAYOUT):
-        self.spark, self.root, self.fmt, self.layout = spark, root.rstrip("/"), fmt, dict(layout)
+                 layout: Mapping[str, str] = LAYOUT, buckets: int | None = None):
+        self.spark, self.root, self.fmt, self.layout, self.buckets = spark, root.rstrip("/"), fmt, dict(layout), buckets
+        self.writer = f"job-{uuid.uuid4().hex[:12]}"
 
     def path(self, name: str) -> str:
         """Path of a logical name; an unknown name is a path already."""
         return os.path.join(self.root, self.layout[name]) if name in self.layout else name
 
-    def read(self, name: str, as_of: int | None = None, origin: bool = False) -> DataFrame:
-        """The table, or (one writer's appends) its state after batch ``as_of``.
+    def place(self, name: str) -> str:
+        """Path of a logical name, or of a name below the root."""
+        return os.path.join(self.root, self.layout.get(name, name))
 
-        ``origin`` keeps the columns that tell writer and batch. A table folder, a single file and a
-        folder of plain Parquet files read the same way.
+    def read(self, name: str, as_of: int | None = None, origin: bool = False, versions: bool = False,
+             buckets: Sequence[int] | None = None) -> DataFrame:
+        """The table as it is now, or (one writer's appends) its state after batch ``as_of``.
+
+        ``versions`` gives all versions of rows instead of the current one, ``origin`` those with the columns that tell
+        writer and batch. ``buckets`` limits a clustered table to these; no other folder is listed for the scan. A table
+        folder, a single file and a folder of plain Parquet files read the same way.
         """
         path = self.path(name)
         if self.fmt == "delta":
@@ -133,11 +179,32 @@ class Tables:
         if schema is None:
             return self.spark.read.parquet(path)
         parts = [T.StructField(WRITER, T.StringType()), T.StructField(BATCH, T.LongType())]
-        df = self.spark.read.schema(T.StructType([*schema.fields, *parts])).parquet(path)
+        fields = [f for f in schema.fields if f.name != BUCKET]
+        clustered = [T.StructField(BUCKET, T.IntegerType())] if len(fields) < len(schema.fields) else []
+        df = self.spark.read.schema(T.StructType([*fields, *parts, *clustered])).parquet(path)
         if as_of is not None:
             # A partition column: later batches are not even listed for the scan.
             df = df.where(F.col(BATCH) <= as_of)
-        return df if origin else df.drop(WRITER, BATCH)
+        if buckets is not None and clustered:
+            df = df.where(F.col(BUCKET).isin(*buckets))
+        if origin:
+            return df.drop(BUCKET)
+        df = df.drop(WRITER, BATCH, BUCKET)
+        return df if versions else current(df, single=path != self.place("silver_messages"))
+
+    def bucket_count(self, name: str) -> int | None:
+        """How many buckets a table is clustered into; of a table that isn't there, how many it will have."""
+        schema = _stored_schema(self.spark, self.path(name))
+        if schema is None:
+            return self.buckets
+        return schema[BUCKET].metadata["buckets"] if BUCKET in schema.names else None
+
+    def buckets_of(self, name: str, keys: DataFrame) -> list[int] | None:
+        """The buckets that these conversations are in: a short list, whatever the number of conversations."""
+        count = self.bucket_count(name)
+        if count is None:
+            return None
+        return [r[0] for r in keys.select(bucket_of(KEY, count)).distinct().collect()]
 
     def exists(self, name: str) -> bool:
         files, hadoop = _file_system(self.spark, self.path(name))
@@ -166,19 +233,27 @@ class Tables:
         """Row count, from Parquet footers."""
         return self.read(name).count()
 
-    def append(self, df: DataFrame, name: str, batch: int | None = None, writer: str = "batch") -> int:
+    def _write(self, df: DataFrame, folder: str, buckets: int | None, *partitions: str) -> None:
+        if buckets and KEY in df.columns:
+            # Some files for each bucket: Spark splits the large ones and puts small ones together.
+            df = df.withColumn(BUCKET, bucket_of(KEY, buckets)).hint("rebalance", F.col(BUCKET))
+            partitions = (*partitions, BUCKET)
+        df.write.mode("overwrite").partitionBy(*partitions).parquet(folder)
+
+    def append(self, df: DataFrame, name: str, batch: int | None = None, writer: str | None = None) -> int:
         """Add rows as a new batch of this writer and return its number. New columns are allowed.
 
         Writing a given number again replaces that batch of the same writer, so a retried job adds
         its rows once.
         """
-        path = self.path(name)
+        path, writer = self.path(name), writer or self.writer
         if self.fmt == "delta":
             df.write.format("delta").mode("append").option("mergeSchema", "true").save(path)
             return self.version(name)
-        number = max(self._batches(path, f"{WRITER}={writer}"), default=-1) + 1 if batch is None else batch
-        df.write.mode("overwrite").parquet(f"{path}/{WRITER}={writer}/{BATCH}={number}")
-        _store_schema(self.spark, path, df.schema)
+        number = self.version(name) + 1 if batch is None else batch
+        buckets = self.bucket_count(name) if KEY in df.columns else None
+        self._write(df, f"{path}/{WRITER}={writer}/{BATCH}={number}", buckets)
+        _store_schema(self.spark, path, df.schema, writer, buckets)
         return number
 
     def overwrite(self, df: DataFrame, name: str) -> int:
@@ -188,25 +263,76 @@ class Tables:
         if self.fmt == "delta":
             df.write.format("delta").mode("overwrite").option("overwriteSchema", "true").save(path)
             return self.version(name)
-        mark = uuid.uuid4().hex[:12]
-        parent, leaf = os.path.split(path)
-        fresh, old = (f"{parent}/.{leaf}-{what}-{mark}" for what in ("new", "old"))
-        files, there = _file_system(self.spark, path)
-        _, beside = _file_system(self.spark, fresh)
+        fresh = self._beside(path, "new")
+        buckets = self.buckets if KEY in df.columns else None
         try:
-            df.write.parquet(f"{fresh}/{WRITER}=batch/{BATCH}=0")
-            _store_schema(self.spark, fresh, df.schema)
+            self._write(df, f"{fresh}/{WRITER}=batch/{BATCH}=0", buckets)
+            _store_schema(self.spark, fresh, df.schema, "batch", buckets)
         except Exception:
-            files.delete(beside, True)
+            files, hadoop = _file_system(self.spark, fresh)
+            files.delete(hadoop, True)
             raise
-        _, aside = _file_system(self.spark, old)
+        self._swap(fresh, path)
+        return 0
+
+    def write_many(self, df: DataFrame, tag: str, columns: Mapping[str, Sequence[str]], batch: int | None = None,
+                   writer: str | None = None) -> None:
+        """Several tables in one job: the rows whose ``tag`` is a table's name are that table's, with its columns. The
+        tables are replaced, or, with ``batch`` and ``writer``, get one more batch each."""
+        if self.fmt == "delta":
+            for name, chosen in columns.items():
+                rows = df.where(F.col(tag) == name).select(*chosen)
+                self.overwrite(rows, self.place(name)) if batch is None else self.append(rows, self.place(name))
+            return
+        staged = self._beside(f"{self.root}/tables", "new")
+        names = {name.replace("/", "."): name for name in columns}
+        sizes = {self.buckets if batch is None else self.bucket_count(self.place(n)) for n in columns}
+        if len(sizes) > 1:
+            raise ValueError("tables written together have the same number of buckets")
+        buckets = sizes.pop()
+        files, hadoop = _file_system(self.spark, staged)
+        try:
+            self._write(df.withColumn(tag, F.replace(F.col(tag), F.lit("/"), F.lit("."))), staged, buckets, tag)
+            for leaf, name in names.items():
+                path, schema = self.place(name), df.select(*columns[name]).schema
+                rows = f"{staged}/{tag}={leaf}"
+                files.mkdirs(_file_system(self.spark, rows)[1])  # where there are no rows
+                target = self._beside(path, "new") if batch is None else path
+                home = f"{target}/{WRITER}={'batch' if batch is None else writer}"
+                place = _file_system(self.spark, f"{home}/{BATCH}={0 if batch is None else batch}")[1]
+                files.mkdirs(_file_system(self.spark, home)[1])
+                files.delete(place, True)
+                if not files.rename(_file_system(self.spark, rows)[1], place):
+                    raise OSError(f"{place} can't be written")
+                _store_schema(self.spark, target, schema, "batch" if batch is None else writer, buckets)
+                if batch is None:
+                    self._swap(target, path)
+        finally:
+            files.delete(hadoop, True)
+
+    def _beside(self, path: str, what: str) -> str:
+        parent, leaf = os.path.split(path)
+        return f"{parent}/.{leaf}-{what}-{uuid.uuid4().hex[:12]}"
+
+    def _swap(self, fresh: str, path: str) -> None:
+        """Put a complete folder in the place of a table."""
+        files, there = _file_system(self.spark, path)
+        beside, aside = (_file_system(self.spark, p)[1] for p in (fresh, self._beside(path, "old")))
         if files.exists(there) and not files.rename(there, aside):
             raise OSError(f"{path} can't be moved aside")
         if not files.rename(beside, there):
             files.rename(aside, there)
             raise OSError(f"{path} can't be replaced")
         files.delete(aside, True)
-        return 0
+
+    def batches(self, name: str) -> list[tuple[str, int]]:
+        """Writer and number of each batch."""
+        path = self.path(name)
+        return [(w.split("=", 1)[1], n) for w in _folders(self.spark, path) if w.startswith(f"{WRITER}=") for n in self._batches(path, w)]
+
+    def drop(self, name: str) -> None:
+        files, hadoop = _file_system(self.spark, self.path(name))
+        files.delete(hadoop, True)
 
     def write(self, df: DataFrame, name: str, mode: str = "overwrite") -> int:
         if mode not in ("overwrite", "append"):

@@ -14,11 +14,11 @@ from pyspark.sql import types as T
 from prosa.operators import bronze as B
 from prosa.operators import conversations as C
 from prosa.operators import silver as S
-from prosa.operators.ordering import latest_per_key
+from prosa.operators import gold as G
 from prosa.params import CANONICAL, Profile
-from prosa.plans.medallion import build_gold
+from prosa.plans.medallion import build_gold, gold_state, write_grouped
 from prosa.schemas import SOURCE_MESSAGES
-from prosa.sources.tables import BATCH, WRITER, Tables
+from prosa.sources.tables import BATCH, KEY, VERSION, WRITER, Tables, current
 
 ORIGIN = "_arrived_from"
 
@@ -85,40 +85,80 @@ def resolved(messages: DataFrame, profile: Profile = CANONICAL) -> DataFrame:
     return S.deduplicate(messages, profile)
 
 
+def changes(tables: Tables, name: str = "bronze", files_per_batch: int = 1000) -> DataFrame:
+    """A table's rows as writers add them."""
+    schema = tables.read(name, versions=True).schema
+    return (tables.spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch)
+            .option("recursiveFileLookup", "true").parquet(tables.path(name)))
+
+
+def rows_of(tables: Tables, name: str, keys: DataFrame) -> DataFrame:
+    """The rows of some conversations. Of a clustered table only their buckets are read."""
+    held = tables.read(name, versions=True, buckets=tables.buckets_of(name, keys))
+    return held.join(keys, KEY, "left_semi")
+
+
+def _batch(tables: Tables, name: str, writer: str, number: int, own: bool) -> DataFrame:
+    """The rows of one batch of one writer, or all others, of a versioned table."""
+    rows = tables.read(name, origin=True)
+    mine = (F.col(WRITER) == writer) & (F.col(BATCH) == number)
+    return rows.where(mine if own else ~mine).drop(WRITER, BATCH)
+
+
 def refresh_touched(bronze_stream: DataFrame, tables: Tables, checkpoint: str, every: str | None = "60 seconds",
                     profile: Profile = CANONICAL, gold: bool = True) -> StreamingQuery:
     """Keep Silver and Gold current as Bronze grows.
 
-    Each micro-batch names the conversations it touched. Their messages are read again from Bronze and their
-    Silver rows computed anew, so no partial average is ever merged. New versions are appended;
-    :func:`latest_versions` and :func:`latest_messages` read the current state, in which rows written by a batch
-    job are the oldest. Gold is then written from the current conversations.
+    Each micro-batch names the conversations it touched. Their messages are read again from their buckets of Bronze and
+    their Silver rows computed anew, so no partial average is ever merged. New versions are appended to Silver and to
+    the Gold tables with a row for each conversation; reading a table gives the newest. What the touched
+    conversations counted for before is taken out of the sums behind the grouped Gold tables, what they count for now
+    is added, and those small tables are written from the sums. Where Gold is not there yet, or Silver was built
+    anew, all of it is built first. One stream refreshes a folder of tables.
+
+    A micro-batch repeated after a failure replaces its own versions and sums and compares with all others.
     """
     def write(batch: DataFrame, number: int, writer: str) -> None:
-        touched = batch.select("conversation_id").distinct()
-        held = tables.read("bronze").join(touched, "conversation_id", "left_semi")
-        version = F.lit(time.time_ns() // 1000).alias("_version")
-        messages = S.silver_messages(held, profile)
+        touched = batch.select(KEY).where(F.col(KEY).isNotNull()).distinct()
+        version = F.lit(time.time_ns() // 1000).alias(VERSION)
+        messages = S.silver_messages(rows_of(tables, "bronze", touched), profile)
         tables.append(messages.select("*", version), "silver_messages", batch=number, writer=writer)
-        fresh = C.silver_conversations(messages, profile)
-        tables.append(fresh.select("*", version), "silver_conversations", batch=number, writer=writer)
+        written = _batch(tables, "silver_messages", writer, number, own=True).drop(VERSION)
+        tables.append(C.silver_conversations(written, profile).select("*", version), "silver_conversations", batch=number, writer=writer)
         if gold:
-            build_gold(tables, profile, latest_versions(tables.read("silver_conversations")))
+            refresh_gold(tables, writer, number, profile)
+        else:
+            tables.drop(gold_state(tables))
 
     return _start(bronze_stream, write, checkpoint, every)
 
 
+def refresh_gold(tables: Tables, writer: str, number: int, profile: Profile = CANONICAL, fold: int = 32) -> None:
+    """Bring Gold from the state before one batch of Silver conversations to that after it. After ``fold`` batches the
+    sums are added up into one."""
+    state = gold_state(tables)
+    if not tables.exists(state):
+        build_gold(tables, profile, current(_batch(tables, "silver_conversations", writer, number, own=False)))
+    elif len(tables.batches(state)) > fold:
+        tables.overwrite(G.summed(_batch(tables, state, writer, number, own=False)), state)
+    fresh = _batch(tables, "silver_conversations", writer, number, own=True)
+    touched = fresh.select(KEY)
+    buckets = tables.buckets_of("silver_conversations", touched)
+    before = tables.read("silver_conversations", origin=True, buckets=buckets)
+    before = before.where(~((F.col(WRITER) == writer) & (F.col(BATCH) == number))).join(touched, KEY, "left_semi")
+    before = current(before.drop(WRITER, BATCH))
+    columns = {name: (*chosen, VERSION) for name, chosen in G.row_columns(profile).items()}
+    tables.write_many(G.row_tables(fresh, profile, VERSION), G.TABLE, columns, batch=number, writer=writer)
+    delta = G.summed(G.contributions(fresh, profile), G.contributions(before, profile, sign=-1))
+    tables.append(delta, state, batch=number, writer=writer)
+    write_grouped(tables, profile)
+
+
 def latest_versions(conversations: DataFrame) -> DataFrame:
-    """The newest version of every conversation."""
-    if "_version" not in conversations.columns:
-        return conversations
-    return latest_per_key(conversations, ["conversation_id"], [F.desc_nulls_last("_version")]).drop("_version")
+    """The newest version of every conversation, of rows read with all versions."""
+    return current(conversations)
 
 
 def latest_messages(messages: DataFrame) -> DataFrame:
-    """The messages of the newest version of every conversation."""
-    if "_version" not in messages.columns:
-        return messages
-    newest = messages.groupBy(F.col("conversation_id").alias("_c")).agg(F.coalesce(F.max("_version"), F.lit(0)).alias("_v"))
-    same = F.col("conversation_id").eqNullSafe(F.col("_c")) & (F.coalesce("_version", F.lit(0)) == F.col("_v"))
-    return messages.join(newest, same, "left_semi").drop("_version")
+    """The messages of the newest version of every conversation, of rows read with all versions."""
+    return current(messages, single=False)
