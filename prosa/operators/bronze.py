@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from prosa.operators.ordering import position
@@ -85,15 +85,17 @@ def unseen_ids(incoming: DataFrame, existing: DataFrame, key: str = "message_id"
     return incoming.join(held.distinct(), key, "left_anti")
 
 
-def new_rows(incoming: DataFrame, existing: DataFrame) -> DataFrame:
+def new_rows(incoming: DataFrame, existing: DataFrame, latest: Column | None = None) -> DataFrame:
     """Rows later than everything held, or with an id not held yet.
 
-    An old id with a later time passes on purpose. With an empty table everything passes.
+    An old id with a later time passes on purpose. With an empty table everything passes. Where the ``latest`` time
+    held is known, ``existing`` need hold only the rows that may have an id of the earlier incoming rows.
     """
     ids = incoming.select("message_id").distinct()
     held = (existing.select("message_id").join(ids, "message_id", "left_semi").distinct()
             .withColumn("_held", F.lit(True)))
-    latest = existing.agg(F.max("timestamp").alias("latest")).scalar()
+    if latest is None:
+        latest = existing.agg(F.max("timestamp").alias("latest")).scalar()
     return (
         incoming.join(held, "message_id", "left")
         .where((F.col("timestamp") > latest) | F.col("_held").isNull())

@@ -11,6 +11,7 @@ from prosa.operators import bronze as B
 from prosa.operators import competition, conversations, leads, personas, segments, sellers, sentiment, silver, timing
 from prosa.operators import gold as G
 from prosa.params import CANONICAL, Profile
+from prosa.sources import skipping
 from prosa.sources.tables import Tables, read_source
 
 
@@ -26,11 +27,7 @@ def ingest(tables: Tables, source_path: str, mode: str = "auto", profile: Profil
     mode_used = mode if mode != "auto" else "incremental" if exists else "full"
 
     if mode_used == "incremental" and exists:
-        held = tables.read("bronze")
-        if profile.name == "notebook":
-            fresh = B.unseen_ids(raw, held)
-        else:
-            fresh = B.new_rows(B.cast_timestamp(raw), held)
+        fresh = unheld(tables, raw if profile.name == "notebook" else B.cast_timestamp(raw), profile)
     else:
         fresh = raw if profile.name == "notebook" else B.cast_timestamp(raw)
     incremental = mode_used == "incremental"
@@ -51,6 +48,22 @@ def ingest(tables: Tables, source_path: str, mode: str = "auto", profile: Profil
     }
 
 
+def unheld(tables: Tables, incoming: DataFrame, profile: Profile = CANONICAL, leave: tuple[str, int] | None = None) -> DataFrame:
+    """Incoming messages that Bronze doesn't hold; ``leave`` is a batch of Bronze to leave out of the comparison.
+
+    Only batches that may hold one of the ids are compared. In the canonical profile these are the ids of messages not
+    later than all of Bronze: a load of later messages only reads none of it.
+    """
+    if profile.name == "notebook":
+        return B.unseen_ids(incoming, tables.possible("bronze", incoming.select("message_id"), leave))
+    if tables.fmt == "delta" or not tables.batches("bronze"):
+        return B.new_rows(incoming, tables.read("bronze"))
+    newest = skipping.newest(tables, "bronze", "timestamp", leave)
+    latest = F.timestamp_micros(F.lit(newest).cast("long"))
+    late = incoming.where((F.col("timestamp") <= latest) | F.col("timestamp").isNull() | latest.isNull())
+    return B.new_rows(incoming, tables.possible("bronze", late.select("message_id"), leave), latest)
+
+
 def build_silver(tables: Tables, profile: Profile = CANONICAL) -> dict[str, Any]:
     """Bronze to both Silver tables. Messages are written once; conversations aggregate what was
     written, so the text patterns run once. Gold no longer follows from Silver then: a refresh builds it anew."""

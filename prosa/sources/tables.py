@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from prosa.schemas import NOTEBOOK_RUNS
+from prosa.sources import skipping
 
 BATCH, WRITER, BUCKET, VERSION, SCHEMA = "_batch_id", "_writer", "_bucket", "_version", "_schema"
 #: What tables are clustered and versioned by.
@@ -43,6 +44,9 @@ LAYOUT = {
     "gold_vendor": "gold/vendor_analysis",
 }
 
+#: Tables of which each batch is described for data skipping, with the columns of id and time.
+SKIPPING = {"bronze": ("message_id", "timestamp")}
+
 LISTING = T.StructType([
     T.StructField("name", T.StringType()), T.StructField("path", T.StringType()),
     T.StructField("exists", T.BooleanType()), T.StructField("rows", T.LongType()),
@@ -206,6 +210,13 @@ class Tables:
             return None
         return [r[0] for r in keys.select(bucket_of(KEY, count)).distinct().collect()]
 
+    def possible(self, name: str, ids: DataFrame, leave: tuple[str, int] | None = None) -> DataFrame:
+        """The rows of the batches that may hold one of the ids; ``leave`` is a batch to leave out."""
+        if self.fmt == "delta" or name not in SKIPPING or not self.batches(name):
+            return self.read(name)
+        found = [b for b in skipping.possible(self, name, ids, SKIPPING[name][0]) if b != leave]
+        return skipping.of_batches(self.read(name, origin=True), found).drop(WRITER, BATCH)
+
     def exists(self, name: str) -> bool:
         files, hadoop = _file_system(self.spark, self.path(name))
         if not files.exists(hadoop):
@@ -252,10 +263,20 @@ class Tables:
             return self.version(name)
         number = self.version(name) + 1 if batch is None else batch
         buckets = self.bucket_count(name) if KEY in df.columns else None
+        if name in SKIPPING:
+            skipping.forget(self.spark, path, writer, number)
         self._write(df, f"{path}/{WRITER}={writer}/{BATCH}={number}", buckets)
         _store_schema(self.spark, path, df.schema, writer, buckets)
+        self._describe(name, writer, number)
         return number
 
+    def _describe(self, name: str, writer: str, number: int) -> None:
+        if name in SKIPPING:
+            rows = self.read(name, origin=True)
+            if set(SKIPPING[name]) <= set(rows.columns):
+                mine = skipping.of_batches(rows, [(writer, number)]).select(*SKIPPING[name])
+                skipping.describe(mine, self.path(name), writer, number, *SKIPPING[name])
+
     def overwrite(self, df: DataFrame, name: str) -> int:
         """Replace table and schema. The rows go to a folder beside the table, which takes its place
         when they are complete: a failed job leaves the table as it was, and rows may come from it."""
@@ -272,7 +293,10 @@ class Tables:
             files, hadoop = _file_system(self.spark, fresh)
             files.delete(hadoop, True)
             raise
+        if name in SKIPPING:
+            skipping.forget(self.spark, path)
         self._swap(fresh, path)
+        self._describe(name, "batch", 0)
         return 0
 
     def write_many(self, df: DataFrame, tag: str, columns: Mapping[str, Sequence[str]], batch: int | None = None,

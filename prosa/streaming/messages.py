@@ -16,7 +16,7 @@ from prosa.operators import conversations as C
 from prosa.operators import silver as S
 from prosa.operators import gold as G
 from prosa.params import CANONICAL, Profile
-from prosa.plans.medallion import build_gold, gold_state, write_grouped
+from prosa.plans.medallion import build_gold, gold_state, unheld, write_grouped
 from prosa.schemas import SOURCE_MESSAGES
 from prosa.sources.tables import BATCH, KEY, VERSION, WRITER, Tables, current
 
@@ -45,25 +45,18 @@ def _start(stream: DataFrame, write: Callable[[DataFrame, int, str], None], chec
     return writer.trigger(processingTime=every).start()
 
 
-def _others(tables: Tables, name: str, writer: str, number: int) -> DataFrame:
-    """All rows of a table but those of one batch of one writer."""
-    held = tables.read(name, origin=True)
-    return held.where(~((F.col(WRITER) == writer) & (F.col(BATCH) == number))).drop(WRITER, BATCH)
-
-
 def stream_to_bronze(source: DataFrame, tables: Tables, checkpoint: str, every: str | None = None,
                      profile: Profile = CANONICAL) -> StreamingQuery:
     """Append arriving messages that are new to Bronze.
 
-    A micro-batch is compared with everything in Bronze but itself and goes to its own folder: batch jobs and
-    other streams may write the same table, and a micro-batch repeated after a failure adds its rows once.
+    A micro-batch is compared with the batches in Bronze that may hold one of its ids, but not itself, and goes to its own
+    folder: batch jobs and other streams may write the same table, and a micro-batch repeated after a failure adds its rows once.
     ``every=None`` handles what is there and stops.
     """
     def write(batch: DataFrame, number: int, writer: str) -> None:
         typed = batch if profile.name == "notebook" else B.cast_timestamp(batch)
         if tables.exists("bronze"):
-            held = _others(tables, "bronze", writer, number)
-            typed = B.unseen_ids(typed, held) if profile.name == "notebook" else B.new_rows(typed, held)
+            typed = unheld(tables, typed, profile, leave=(writer, number))
         came = typed.withColumn("_from", F.col(ORIGIN)).drop(ORIGIN) if ORIGIN in typed.columns else typed.withColumn("_from", F.lit("stream"))
         stamped = B.stamp(B.parse_metadata(came, profile), "").withColumn("_source_file", F.col("_from")).drop("_from")
         tables.append(stamped, "bronze", batch=number, writer=writer)
