@@ -378,12 +378,12 @@ def _(spark, d):
 
 # --- streams ----------------------------------------------------------------------------------------------
 
-def _landed(spark, d, root: str) -> str:
-    """Two waves of message files: first arrivals, then everything again with status repeats."""
-    folder = os.path.join(root, "in")
-    D.first_arrivals(spark, d).coalesce(1).write.mode("append").parquet(folder)
-    D.source_messages(spark, d).coalesce(1).write.mode("append").parquet(folder)
-    return folder
+def _waves(spark, d, root: str):
+    """Two waves of message files: first arrivals, then everything again with status repeats. Each is written by all tasks,
+    and the next one only when the caller has dealt with it. Gives the folder of both."""
+    for i, wave in enumerate((D.first_arrivals(spark, d), D.source_messages(spark, d))):
+        wave.write.parquet(os.path.join(root, "in", str(i)))
+        yield os.path.join(root, "in", "*")
 
 
 @query("stream_bronze", f"WITH {D.MESSAGES} SELECT message_id, status FROM messages")
@@ -391,8 +391,8 @@ def _(spark, d):
     from prosa.streaming.messages import arriving, stream_to_bronze
     root = scratch_dir(spark, "stream")
     tables = Tables(spark, root)
-    source = arriving(spark, _landed(spark, d, root), files_per_batch=1)
-    stream_to_bronze(source, tables, os.path.join(root, "state")).awaitTermination()
+    for folder in _waves(spark, d, root):
+        stream_to_bronze(arriving(spark, folder), tables, os.path.join(root, "state")).awaitTermination()
     return tables.read("bronze").select("message_id", "status")
 
 
@@ -405,9 +405,9 @@ def _(spark, d):
     tables = Tables(spark, root)
     D.first_arrivals(spark, d).write.parquet(os.path.join(root, "first"))
     ingest(tables, os.path.join(root, "first"))
-    folder = _landed(spark, d, root)
-    for state in ("state", "another"):
-        stream_to_bronze(arriving(spark, folder, files_per_batch=1), tables, os.path.join(root, state)).awaitTermination()
+    for folder in _waves(spark, d, root):
+        stream_to_bronze(arriving(spark, folder), tables, os.path.join(root, "state")).awaitTermination()
+    stream_to_bronze(arriving(spark, folder), tables, os.path.join(root, "another")).awaitTermination()
     return tables.read("bronze").select("message_id", "status")
 
 
@@ -417,22 +417,20 @@ def _(spark, d):
     from prosa.streaming.messages import arriving, resolved, stream_messages
     root = scratch_dir(spark, "dedup")
     tables = Tables(spark, root)
-    typed = cast_timestamp(arriving(spark, _landed(spark, d, root), files_per_batch=1))
-    stream_messages(typed, tables, os.path.join(root, "candidates"), os.path.join(root, "state")).awaitTermination()
+    for folder in _waves(spark, d, root):
+        typed = cast_timestamp(arriving(spark, folder))
+        stream_messages(typed, tables, os.path.join(root, "candidates"), os.path.join(root, "state")).awaitTermination()
     return resolved(tables.read(os.path.join(root, "candidates"))).select("message_id", "status")
 
 
 @query("stream_refresh", over_conversations("""
     SELECT conversation_id, total_messages, inbound_messages, avg_response_time_sec, conversation_outcome FROM convs"""))
 def _(spark, d):
-    from prosa.streaming.messages import arriving, latest_versions, refresh_touched, stream_to_bronze
+    from prosa.streaming.messages import arriving, changes, refresh_touched, stream_to_bronze
     root = scratch_dir(spark, "refresh")
     tables = Tables(spark, root)
-    source = arriving(spark, _landed(spark, d, root), files_per_batch=1)
-    stream_to_bronze(source, tables, os.path.join(root, "state")).awaitTermination()
-    held = tables.read("bronze")
-    changes = spark.readStream.schema(held.schema).option("maxFilesPerTrigger", 4).parquet(
-        tables.path("bronze") + "/*/*")
-    refresh_touched(changes, tables, os.path.join(root, "state2"), every=None).awaitTermination()
-    return latest_versions(tables.read("silver_conversations")).select(
+    for folder in _waves(spark, d, root):
+        stream_to_bronze(arriving(spark, folder), tables, os.path.join(root, "state")).awaitTermination()
+        refresh_touched(changes(tables), tables, os.path.join(root, "state2"), every=None, gold=False).awaitTermination()
+    return tables.read("silver_conversations").select(
         "conversation_id", "total_messages", "inbound_messages", "avg_response_time_sec", "conversation_outcome")

@@ -117,7 +117,7 @@ def write_grouped(tables: Tables, profile: Profile = CANONICAL) -> dict[str, int
     return {name: write(name) for name in G.grouped_tables(profile)}
 
 
-def build_gold(tables: Tables, profile: Profile = CANONICAL, convs: DataFrame | None = None) -> dict[str, int]:
+def build_gold(tables: Tables, profile: Profile = CANONICAL, convs: DataFrame | None = None, grouped: bool = True) -> dict[str, int]:
     """Write all Gold tables from Silver conversations, which are read twice; rows per table.
 
     The tables with a row for each conversation are written in one job. The grouped ones are cut from one table of sums, which
@@ -131,7 +131,7 @@ def build_gold(tables: Tables, profile: Profile = CANONICAL, convs: DataFrame |
     tables.write_many(G.row_tables(convs, profile), G.TABLE, columns)
     rows = dict.fromkeys(columns, tables.count(tables.place("gold_sentiment")))  # one for each conversation
     tables.overwrite(G.summed(G.contributions(convs, profile)), state)
-    return rows | write_grouped(tables, profile)
+    return rows | (write_grouped(tables, profile) if grouped else {})
 
 
 def one_plan(source: DataFrame, profile: Profile = CANONICAL) -> DataFrame:

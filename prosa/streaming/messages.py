@@ -131,7 +131,7 @@ def refresh_gold(tables: Tables, writer: str, number: int, profile: Profile = CA
     sums are added up into one."""
     state = gold_state(tables)
     if not tables.exists(state):
-        build_gold(tables, profile, current(_batch(tables, "silver_conversations", writer, number, own=False)))
+        build_gold(tables, profile, current(_batch(tables, "silver_conversations", writer, number, own=False)), grouped=False)
     elif len(tables.batches(state)) > fold:
         tables.overwrite(G.summed(_batch(tables, state, writer, number, own=False)), state)
     fresh = _batch(tables, "silver_conversations", writer, number, own=True)
