@@ -209,7 +209,8 @@ def divergence(docs: DataFrame, least_docs: int = LEAST_DOCS, top: int = TOP, sc
     strips = F.greatest(F.ceil(F.col("v") / F.lit(STRIP)), F.lit(1)).cast("int")
     strip = F.pmod(F.xxhash64("term"), strips).cast("int")
     col = F.row_number().over(Window.partitionBy("lang", "strip").orderBy("term")) - 1
-    kept = totals.drop("docs").join(sizes, "lang").withColumn("strip", strip).withColumn("col", col)
+    # Dealt out by strip: the terms of a language, found together by the join, are not numbered together.
+    kept = totals.drop("docs").join(sizes, "lang").withColumn("strip", strip).repartition("lang", "strip").withColumn("col", col)
     folder = scratch(spark, "cells")
     found.drop("docs").join(kept, ["lang", "term"]).write.parquet(folder)
     cells = spark.read.parquet(folder)
