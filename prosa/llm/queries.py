@@ -82,7 +82,7 @@ def token_digests(coded):
 
 @query("op10_vectors")
 def op10(spark, d):
-    return vectors.near_duplicates(table(spark, d, "embeddings"))
+    return vectors.audited(table(spark, d, "embeddings"))
 
 
 @query("op13_substring_dedup")

@@ -11,7 +11,8 @@ is nearer to it by ``ALPHA``), except that near duplicates keep several of their
 tasks are united by node. Then every node is searched for from the medoids of its task over the united lists,
 greedily with a beam, and from each hit the search goes on to its neighbours while they are within range. Hits are
 verified by cosine in double precision. A pair that meets in several tasks counts in the first one only, so nothing
-but counts and a spanning forest leaves a task. ``recall`` measures against brute force.
+but counts and a spanning forest leaves a task. ``recall`` measures the ids divisible
+by 100 against all rows; ``audited``, which the query calls, returns that figure and raises if it is below 0.9.
 
 Nulls and edges: vectors that are null or zero or hold null or non-finite numbers, and those without a label, link
 with nothing and stand for themselves; vectors of different lengths are not compared. Repeated rows count each
@@ -33,6 +34,8 @@ from prosa.llm.common import components, settle, shipped, thinned
 THRESHOLD = 0.98
 SAMPLE, CELLS, LEVELS = 4_000, 64, 4
 TARGET, MOST = 1_000, 2_000
+#: How many queries of an audit are compared at a time.
+BLOCK = 1_000
 NEAR, FAR, DEGREE, ALIKE, ALPHA, BEAM, MEDOIDS = 40, 12, 16, 10, 1.2, 24, 12
 
 
@@ -231,12 +234,17 @@ def tasks_of(rows: DataFrame) -> DataFrame:
     return placed.select(F.struct("label", "size", "shard", "x", "y").alias("task"), "node", "v", "n", "shards", "block")
 
 
-def near_duplicates(rows: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """vec_id, n_links, component_id, kept of every row of ``rows`` (vec_id, embedding, label)."""
+def with_vectors(rows: DataFrame) -> DataFrame:
+    """vec_id, label, v and whether the row can link (ok)."""
     vec = F.col("embedding").cast("array<double>")
     bad = F.exists(vec, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     usable = F.col("label").isNotNull() & vec.isNotNull() & ~bad & F.exists(vec, lambda x: x != 0)
-    rows = rows.select("vec_id", "label", vec.alias("v"), F.coalesce(usable, F.lit(False)).alias("ok"))
+    return rows.select("vec_id", "label", vec.alias("v"), F.coalesce(usable, F.lit(False)).alias("ok"))
+
+
+def near_duplicates(rows: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """vec_id, n_links, component_id, kept of every row of ``rows`` (vec_id, embedding, label)."""
+    rows = with_vectors(rows)
     rows = rows.withColumn("node", F.when(F.col("ok"), F.xxhash64("label", "v")))
     nodes = settle(rows.where("ok").groupBy("node").agg(
         F.any_value("label").alias("label"), F.any_value("v").alias("v"), F.count("*").alias("n"), F.min("vec_id").alias("least")))
@@ -289,30 +297,43 @@ def near_duplicates(rows: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     return linked.unionByName(alone).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
 
 
-def recall(rows: DataFrame, found: DataFrame, threshold: float = THRESHOLD, every: int = 100) -> float:
-    """Share of the links of the ids divisible by ``every`` that ``found`` has, against all rows, in blocks.
+def recall(rows: DataFrame, found: DataFrame, threshold: float = THRESHOLD, every: int = 100) -> float | None:
+    """Share of the links of the ids divisible by ``every`` that ``found`` has, against all rows; None if they have none.
 
-    The queries are broadcast in blocks of 1,000; each task compares its rows with a block by one product of matrices.
+    The queries are dealt into blocks of about ``BLOCK``, which alone pass the driver; each task multiplies its rows with a block.
     """
     spark = rows.sparkSession
-    plain = rows.select("vec_id", "label", F.col("embedding").cast("array<double>").alias("v")).where("label is not null and v is not null")
-    asked = plain.where(F.col("vec_id") % every == 0).toPandas()
-    true = 0
-    for a in range(0, len(asked), 1000):
-        shared = spark.sparkContext.broadcast(asked.iloc[a:a + 1000])
+    plain = with_vectors(rows).where("ok").select("vec_id", "label", "v")
+    deal = F.xxhash64(F.monotonically_increasing_id())
+    asked = settle(plain.where(F.col("vec_id") % every == 0).withColumn("deal", deal))
+    n = asked.count()
+    blocks, hits = -(-n // BLOCK), 0
+    for k in range(blocks):
+        mine = asked.where(F.pmod("deal", F.lit(blocks)) == k).toPandas()
+        queries = {key: unit(np.stack(part["v"].to_list())) for key, part in mine.groupby(["label", mine["v"].map(len)])}
+        shared = spark.sparkContext.broadcast(queries)
 
         def count(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            q = shared.value
-            qv = unit(np.stack(q["v"].to_list()))
             for batch in batches:
-                sims = unit(np.stack(batch["v"].to_list())) @ qv.T >= threshold
-                sims &= batch["label"].to_numpy()[:, None] == q["label"].to_numpy()[None, :]
-                sims &= batch["vec_id"].to_numpy()[:, None] != q["vec_id"].to_numpy()[None, :]
-                yield pd.DataFrame({"n": [int(sims.sum())]})
-
-        true += plain.mapInPandas(count, "n long").agg(F.sum("n")).first()[0] or 0
+                for key, part in batch.groupby(["label", batch["v"].map(len)]):
+                    if key in shared.value:
+                        near = unit(np.stack(part["v"].to_list())) @ shared.value[key].T >= threshold
+                        yield pd.DataFrame({"n": [int(near.sum())]})
+
+        hits += plain.mapInPandas(count, "n long").agg(F.sum("n")).first()[0] or 0
+        shared.unpersist()
+    true = hits - n  # each query meets itself
     got = found.where(F.col("vec_id") % every == 0).agg(F.sum("n_links")).first()[0] or 0
-    return got / true if true else 1.0
+    return got / true if true else None
+
+
+def audited(rows: DataFrame, threshold: float = THRESHOLD, least: float = 0.9) -> DataFrame:
+    """``near_duplicates`` with the recall of the ids divisible by 100, null without links; raises if it is below ``least``."""
+    found = settle(near_duplicates(rows, threshold))
+    share = recall(rows, found, threshold)
+    if share is not None and share < least:
+        raise ValueError(f"recall {share:.3f} is below {least}")
+    return found.withColumn("recall", F.lit(share).cast("double"))
 
 
 shipped(__name__)

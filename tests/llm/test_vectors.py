@@ -65,6 +65,26 @@ def test_odd_rows(spark):
         (1, 4, 1, True), (2, 4, 1, False), (2, 4, 1, False), (3, 4, 1, False), (None, 4, 1, False), (4, 0, 4, True), (5, 0, 5, True),
         (6, 0, 6, True), (7, 0, 7, True), (8, 0, 8, True), (9, 0, 9, True), (10, 0, 10, True), (11, 0, 11, True), (12, 0, 12, True)], key=str)
     assert vectors.near_duplicates(df.limit(0)).count() == 0
+    assert vectors.recall(df, vectors.near_duplicates(df), every=1) == 1.0
+    assert vectors.audited(df.limit(0)).columns == ["vec_id", "n_links", "component_id", "kept", "recall"]
+
+
+def test_audit(spark, monkeypatch):
+    """The share of true links, in several blocks of queries; too few raise; without true links there is no share."""
+    monkeypatch.setattr(vectors, "BLOCK", 7)
+    rows = [(10 * i, *x[1:]) for i, x in enumerate(rows_of(2))]
+    df, want = spark.createDataFrame(rows, SCHEMA), by_rule(rows)
+    asked = {i: n for i, (n, _) in want.items() if i % 100 == 0}
+    out = vectors.audited(df).collect()
+    assert {r["recall"] for r in out} == {sum(r["n_links"] for r in out if r["vec_id"] in asked) / sum(asked.values())}
+    half = spark.createDataFrame([(i, n // 2) for i, (n, _) in want.items()], "vec_id long, n_links long")
+    assert vectors.recall(df, half) == sum(n // 2 for n in asked.values()) / sum(asked.values())
+    alone = df.where("vec_id < 30").selectExpr("vec_id", "embedding", "cast(vec_id as int) as label")
+    assert {r["recall"] for r in vectors.audited(alone).collect()} == {None}
+    monkeypatch.setattr(vectors, "near_duplicates", lambda rows, threshold: rows.selectExpr(
+        "vec_id", "0L as n_links", "vec_id as component_id", "true as kept"))
+    with pytest.raises(ValueError, match="recall"):
+        vectors.audited(df)
 
 
 def test_dense_spot_is_found_whole():
