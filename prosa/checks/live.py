@@ -17,6 +17,7 @@ from prosa.params import NOTEBOOK
 from prosa.plans.medallion import unheld
 from prosa.session import scratch_dir
 from prosa.sources import derived as D
+from prosa.sources.guard import BrokenRules
 from prosa.sources.tables import Tables
 from prosa.streaming.messages import arriving, changes, refresh_touched, stream_to_bronze
 
@@ -157,3 +158,26 @@ def _(spark, d):
     """The leak check on texts that do leak, before and after masking."""
     messages = messages_of(spark, d)
     return silver.leak_table({"corpo": messages.select("message_body_normalized"), "mascarado": messages.select("message_body_masked")})
+
+
+@query("gold_write_guard", over_silver(" UNION ALL ".join(
+    f"SELECT '{table}' AS tabela, '{kind}' AS tipo, count(*) FILTER (regexp_matches({column}, '{pattern}')) AS linhas, count(*) AS linhas_na_tabela FROM silver"
+    for table, column in (("corpo", "message_body_normalized"), ("mascarado", "message_body_masked"))
+    for kind, pattern in _KINDS.items() if kind in ("cpf", "email"))))
+def _(spark, d):
+    """A table of masked texts is written under the leak rules; one of the texts as they came is refused, with what the write
+    itself counted, and the table stays."""
+    tables, messages = Tables(spark, scratch_dir(spark, "guard")), messages_of(spark, d)
+    seen = {}
+    for label, column in (("mascarado", "message_body_masked"), ("corpo", "message_body_normalized")):
+        rows = messages.select("message_id", F.col(column).alias("texto"))
+        try:
+            tables.overwrite(rows, "guarded", rules=silver.leak_rules(rows, ("cpf", "email"), leave=("message_id",)))
+            seen[label] = {"cpf": 0, "email": 0}
+        except BrokenRules as refused:
+            seen[label] = refused.counts
+    held = tables.read("guarded")
+    if held.where(F.col("texto").contains("@")).count():
+        raise AssertionError("refused rows are in the table")
+    counts = [(table, kind, n, held.count()) for table, kinds in seen.items() for kind, n in kinds.items()]
+    return spark.createDataFrame(counts, "tabela string, tipo string, linhas long, linhas_na_tabela long")

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from functools import reduce
-from typing import Mapping
+from typing import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -163,15 +163,23 @@ def leaks(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     return counts.unpivot([], names, "column", "leaks")
 
 
+#: Kinds of personal data that the leak check looks for.
+LEAKS = {"cpf": P.CPF, "email": P.EMAIL, "telefone": P.PHONE, "cep": P.CEP, "placa": P.PLATE}
+
+
+def leak_rules(df: DataFrame, kinds: Sequence[str] = tuple(LEAKS), leave: Sequence[str] = ()) -> dict[str, Column]:
+    """For each kind, whether any text column but those in ``leave`` has it."""
+    texts = [F.coalesce(F.col(f"`{name}`"), F.lit("")) for name, kind in df.dtypes if kind == "string" and name not in leave]
+    whole = F.concat_ws("\n", *texts) if texts else F.lit("")
+    return {kind: whole.rlike(LEAKS[kind]) for kind in kinds}
+
+
 def leak_table(tables: Mapping[str, DataFrame]) -> DataFrame:
     """Rows per table and kind of personal data in any of its text columns. Gold must give zeros."""
-    kinds = {"cpf": P.CPF, "email": P.EMAIL, "telefone": P.PHONE, "cep": P.CEP, "placa": P.PLATE}
     parts = []
     for table, df in tables.items():
-        texts = [F.coalesce(F.col(f"`{name}`"), F.lit("")) for name, kind in df.dtypes if kind == "string"]
-        whole = F.concat_ws("\n", *texts) if texts else F.lit("")
-        counts = df.agg(*[F.count_if(whole.rlike(pattern)).alias(kind) for kind, pattern in kinds.items()])
-        parts.append(counts.unpivot([], list(kinds), "tipo", "linhas").withColumn("tabela", F.lit(table)))
+        counts = df.agg(*[F.count_if(rule).alias(kind) for kind, rule in leak_rules(df).items()])
+        parts.append(counts.unpivot([], list(LEAKS), "tipo", "linhas").withColumn("tabela", F.lit(table)))
     return reduce(DataFrame.unionByName, parts).select("tabela", "tipo", "linhas")
 
 

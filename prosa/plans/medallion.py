@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from typing import Any
 
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from prosa.operators import bronze as B
@@ -12,7 +12,7 @@ from prosa.operators import competition, conversations, leads, personas, segment
 from prosa.operators import gold as G
 from prosa.params import CANONICAL, Profile
 from prosa.sources import skipping
-from prosa.sources.tables import Tables, read_source
+from prosa.sources.tables import KEY, Tables, read_source
 
 
 def ingest(tables: Tables, source_path: str, mode: str = "auto", profile: Profile = CANONICAL,
@@ -117,20 +117,34 @@ def write_grouped(tables: Tables, profile: Profile = CANONICAL) -> dict[str, int
     return {name: write(name) for name in G.grouped_tables(profile)}
 
 
-def build_gold(tables: Tables, profile: Profile = CANONICAL, convs: DataFrame | None = None, grouped: bool = True) -> dict[str, int]:
+def gold_rules(rows: DataFrame) -> dict[str, Column]:
+    """What no row for Gold may have in a text: a CPF or an e-mail address. The conversation's own id is not looked at."""
+    return silver.leak_rules(rows, ("cpf", "email"), leave=(KEY,))
+
+
+def sum_rules(sums: DataFrame) -> dict[str, Column]:
+    """The same for the groups' keys. Sums that take something back may have it: it goes."""
+    return {kind: rule & (F.col("n") >= 0) for kind, rule in gold_rules(sums).items()}
+
+
+def build_gold(tables: Tables, profile: Profile = CANONICAL, convs: DataFrame | None = None, grouped: bool = True,
+               guard: bool = True) -> dict[str, int]:
     """Write all Gold tables from Silver conversations, which are read twice; rows per table.
 
     The tables with a row for each conversation are written in one job. The grouped ones are cut from one table of sums, which
     is written last: where it is, Gold is complete. Column selection keeps personal data out: no Gold table has a message
-    text, phone, name, plate or hash.
+    text, phone, name, plate or hash. What remains is counted during the write, and ``BrokenRules`` is raised before any table
+    is replaced if a text has a CPF or an address; ``guard=False`` leaves that out.
     """
     convs = tables.read("silver_conversations") if convs is None else convs
     state = gold_state(tables)
     tables.drop(state)
     columns = G.row_columns(profile)
-    tables.write_many(G.row_tables(convs, profile), G.TABLE, columns)
+    tagged = G.row_tables(convs, profile)
+    tables.write_many(tagged, G.TABLE, columns, rules=gold_rules(tagged) if guard else None)
     rows = dict.fromkeys(columns, tables.count(tables.place("gold_sentiment")))  # one for each conversation
-    tables.overwrite(G.summed(G.contributions(convs, profile)), state)
+    sums = G.summed(G.contributions(convs, profile))
+    tables.overwrite(sums, state, rules=sum_rules(sums) if guard else None)
     return rows | (write_grouped(tables, profile) if grouped else {})
 
 

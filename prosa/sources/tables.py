@@ -27,6 +27,7 @@ from pyspark.sql import types as T
 
 from prosa.schemas import NOTEBOOK_RUNS
 from prosa.sources import skipping
+from prosa.sources.guard import Guard
 
 BATCH, WRITER, BUCKET, VERSION, SCHEMA = "_batch_id", "_writer", "_bucket", "_version", "_schema"
 #: What tables are clustered and versioned by.
@@ -251,25 +252,45 @@ class Tables:
             partitions = (*partitions, BUCKET)
         df.write.mode("overwrite").partitionBy(*partitions).parquet(folder)
 
-    def append(self, df: DataFrame, name: str, batch: int | None = None, writer: str | None = None) -> int:
+    def append(self, df: DataFrame, name: str, batch: int | None = None, writer: str | None = None,
+               rules: Mapping[str, Column] | None = None) -> int:
         """Add rows as a new batch of this writer and return its number. New columns are allowed.
 
         Writing a given number again replaces that batch of the same writer, so a retried job adds
-        its rows once.
+        its rows once. With ``rules`` (see ``Guard``) the batch is written beside the table and moved in if no row breaks one.
         """
-        path, writer = self.path(name), writer or self.writer
+        path, writer, guard = self.path(name), writer or self.writer, Guard(rules)
         if self.fmt == "delta":
-            df.write.format("delta").mode("append").option("mergeSchema", "true").save(path)
+            guard.stopping(df).write.format("delta").mode("append").option("mergeSchema", "true").save(path)
             return self.version(name)
         number = self.version(name) + 1 if batch is None else batch
         buckets = self.bucket_count(name) if KEY in df.columns else None
-        if name in SKIPPING:
-            skipping.forget(self.spark, path, writer, number)
-        self._write(df, f"{path}/{WRITER}={writer}/{BATCH}={number}", buckets)
+        home = f"{path}/{WRITER}={writer}"
+        if rules:
+            staged = self._beside(path, "new")
+            try:
+                self._write(guard.watch(df), staged, buckets)
+                guard.check(name, self._rows_in(staged, df))
+                self._forget(name, writer, number)
+                self._move_in(staged, home, number)
+            finally:
+                files, hadoop = _file_system(self.spark, staged)
+                files.delete(hadoop, True)
+        else:
+            self._forget(name, writer, number)
+            self._write(df, f"{home}/{BATCH}={number}", buckets)
         _store_schema(self.spark, path, df.schema, writer, buckets)
         self._describe(name, writer, number)
         return number
 
+    def _rows_in(self, folder: str, df: DataFrame) -> DataFrame:
+        """What was written of ``df`` to a folder."""
+        return self.spark.read.schema(df.schema).parquet(folder)
+
+    def _forget(self, name: str, writer: str, number: int) -> None:
+        if name in SKIPPING:
+            skipping.forget(self.spark, self.path(name), writer, number)
+
     def _describe(self, name: str, writer: str, number: int) -> None:
         if name in SKIPPING:
             rows = self.read(name, origin=True)
@@ -277,17 +298,19 @@ class Tables:
                 mine = skipping.of_batches(rows, [(writer, number)]).select(*SKIPPING[name])
                 skipping.describe(mine, self.path(name), writer, number, *SKIPPING[name])
 
-    def overwrite(self, df: DataFrame, name: str) -> int:
+    def overwrite(self, df: DataFrame, name: str, rules: Mapping[str, Column] | None = None) -> int:
         """Replace table and schema. The rows go to a folder beside the table, which takes its place
-        when they are complete: a failed job leaves the table as it was, and rows may come from it."""
-        path = self.path(name)
+        when they are complete and none breaks one of the ``rules`` (see ``Guard``): a failed or refused job leaves the table
+        as it was, and rows may come from it."""
+        path, guard = self.path(name), Guard(rules)
         if self.fmt == "delta":
-            df.write.format("delta").mode("overwrite").option("overwriteSchema", "true").save(path)
+            guard.stopping(df).write.format("delta").mode("overwrite").option("overwriteSchema", "true").save(path)
             return self.version(name)
         fresh = self._beside(path, "new")
         buckets = self.buckets if KEY in df.columns else None
         try:
-            self._write(df, f"{fresh}/{WRITER}=batch/{BATCH}=0", buckets)
+            self._write(guard.watch(df), f"{fresh}/{WRITER}=batch/{BATCH}=0", buckets)
+            guard.check(name, self._rows_in(f"{fresh}/{WRITER}=batch/{BATCH}=0", df))
             _store_schema(self.spark, fresh, df.schema, "batch", buckets)
         except Exception:
             files, hadoop = _file_system(self.spark, fresh)
@@ -300,10 +323,13 @@ class Tables:
         return 0
 
     def write_many(self, df: DataFrame, tag: str, columns: Mapping[str, Sequence[str]], batch: int | None = None,
-                   writer: str | None = None) -> None:
+                   writer: str | None = None, rules: Mapping[str, Column] | None = None) -> None:
         """Several tables in one job: the rows whose ``tag`` is a table's name are that table's, with its columns. The
-        tables are replaced, or, with ``batch`` and ``writer``, get one more batch each."""
+        tables are replaced, or, with ``batch`` and ``writer``, get one more batch each. A row that breaks one of the ``rules``
+        (see ``Guard``) stops all of them."""
+        guard = Guard(rules)
         if self.fmt == "delta":
+            df = guard.stopping(df)
             for name, chosen in columns.items():
                 rows = df.where(F.col(tag) == name).select(*chosen)
                 self.overwrite(rows, self.place(name)) if batch is None else self.append(rows, self.place(name))
@@ -316,18 +342,14 @@ class Tables:
         buckets = sizes.pop()
         files, hadoop = _file_system(self.spark, staged)
         try:
-            self._write(df.withColumn(tag, F.replace(F.col(tag), F.lit("/"), F.lit("."))), staged, buckets, tag)
+            self._write(guard.watch(df).withColumn(tag, F.replace(F.col(tag), F.lit("/"), F.lit("."))), staged, buckets, tag)
+            guard.check(", ".join(columns), self._rows_in(staged, df))
             for leaf, name in names.items():
                 path, schema = self.place(name), df.select(*columns[name]).schema
                 rows = f"{staged}/{tag}={leaf}"
                 files.mkdirs(_file_system(self.spark, rows)[1])  # where there are no rows
                 target = self._beside(path, "new") if batch is None else path
-                home = f"{target}/{WRITER}={'batch' if batch is None else writer}"
-                place = _file_system(self.spark, f"{home}/{BATCH}={0 if batch is None else batch}")[1]
-                files.mkdirs(_file_system(self.spark, home)[1])
-                files.delete(place, True)
-                if not files.rename(_file_system(self.spark, rows)[1], place):
-                    raise OSError(f"{place} can't be written")
+                self._move_in(rows, f"{target}/{WRITER}={'batch' if batch is None else writer}", 0 if batch is None else batch)
                 _store_schema(self.spark, target, schema, "batch" if batch is None else writer, buckets)
                 if batch is None:
                     self._swap(target, path)
@@ -338,6 +360,14 @@ class Tables:
         parent, leaf = os.path.split(path)
         return f"{parent}/.{leaf}-{what}-{uuid.uuid4().hex[:12]}"
 
+    def _move_in(self, rows: str, home: str, number: int) -> None:
+        """A complete folder of rows becomes a batch of the writer whose folder is ``home``."""
+        files, place = _file_system(self.spark, f"{home}/{BATCH}={number}")
+        files.mkdirs(_file_system(self.spark, home)[1])
+        files.delete(place, True)
+        if not files.rename(_file_system(self.spark, rows)[1], place):
+            raise OSError(f"{place} can't be written")
+
     def _swap(self, fresh: str, path: str) -> None:
         """Put a complete folder in the place of a table."""
         files, there = _file_system(self.spark, path)

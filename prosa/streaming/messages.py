@@ -16,7 +16,7 @@ from prosa.operators import conversations as C
 from prosa.operators import silver as S
 from prosa.operators import gold as G
 from prosa.params import CANONICAL, Profile
-from prosa.plans.medallion import build_gold, gold_state, unheld, write_grouped
+from prosa.plans.medallion import build_gold, gold_rules, gold_state, sum_rules, unheld, write_grouped
 from prosa.schemas import SOURCE_MESSAGES
 from prosa.sources.tables import BATCH, KEY, VERSION, WRITER, Tables, current
 
@@ -99,7 +99,7 @@ def _batch(tables: Tables, name: str, writer: str, number: int, own: bool) -> Da
 
 
 def refresh_touched(bronze_stream: DataFrame, tables: Tables, checkpoint: str, every: str | None = "60 seconds",
-                    profile: Profile = CANONICAL, gold: bool = True) -> StreamingQuery:
+                    profile: Profile = CANONICAL, gold: bool = True, guard: bool = True) -> StreamingQuery:
     """Keep Silver and Gold current as Bronze grows.
 
     Each micro-batch names the conversations it touched. Their messages are read again from their buckets of Bronze and
@@ -109,7 +109,8 @@ def refresh_touched(bronze_stream: DataFrame, tables: Tables, checkpoint: str, e
     is added, and those small tables are written from the sums. Where Gold is not there yet, or Silver was built
     anew, all of it is built first. One stream refreshes a folder of tables.
 
-    A micro-batch repeated after a failure replaces its own versions and sums and compares with all others.
+    A micro-batch repeated after a failure replaces its own versions and sums and compares with all others. One that would
+    bring personal data into Gold stops the stream before any Gold table is changed (``guard``, see ``build_gold``).
     """
     def write(batch: DataFrame, number: int, writer: str) -> None:
         touched = batch.select(KEY).where(F.col(KEY).isNotNull()).distinct()
@@ -119,19 +120,20 @@ def refresh_touched(bronze_stream: DataFrame, tables: Tables, checkpoint: str, e
         written = _batch(tables, "silver_messages", writer, number, own=True).drop(VERSION)
         tables.append(C.silver_conversations(written, profile).select("*", version), "silver_conversations", batch=number, writer=writer)
         if gold:
-            refresh_gold(tables, writer, number, profile)
+            refresh_gold(tables, writer, number, profile, guard=guard)
         else:
             tables.drop(gold_state(tables))
 
     return _start(bronze_stream, write, checkpoint, every)
 
 
-def refresh_gold(tables: Tables, writer: str, number: int, profile: Profile = CANONICAL, fold: int = 32) -> None:
+def refresh_gold(tables: Tables, writer: str, number: int, profile: Profile = CANONICAL, fold: int = 32,
+                 guard: bool = True) -> None:
     """Bring Gold from the state before one batch of Silver conversations to that after it. After ``fold`` batches the
     sums are added up into one."""
     state = gold_state(tables)
     if not tables.exists(state):
-        build_gold(tables, profile, current(_batch(tables, "silver_conversations", writer, number, own=False)), grouped=False)
+        build_gold(tables, profile, current(_batch(tables, "silver_conversations", writer, number, own=False)), grouped=False, guard=guard)
     elif len(tables.batches(state)) > fold:
         tables.overwrite(G.summed(_batch(tables, state, writer, number, own=False)), state)
     fresh = _batch(tables, "silver_conversations", writer, number, own=True)
@@ -141,9 +143,10 @@ def refresh_gold(tables: Tables, writer: str, number: int, profile: Profile = CA
     before = before.where(~((F.col(WRITER) == writer) & (F.col(BATCH) == number))).join(touched, KEY, "left_semi")
     before = current(before.drop(WRITER, BATCH))
     columns = {name: (*chosen, VERSION) for name, chosen in G.row_columns(profile).items()}
-    tables.write_many(G.row_tables(fresh, profile, VERSION), G.TABLE, columns, batch=number, writer=writer)
+    tagged = G.row_tables(fresh, profile, VERSION)
+    tables.write_many(tagged, G.TABLE, columns, batch=number, writer=writer, rules=gold_rules(tagged) if guard else None)
     delta = G.summed(G.contributions(fresh, profile), G.contributions(before, profile, sign=-1))
-    tables.append(delta, state, batch=number, writer=writer)
+    tables.append(delta, state, batch=number, writer=writer, rules=sum_rules(delta) if guard else None)
     write_grouped(tables, profile)
 
 

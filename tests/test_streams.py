@@ -1,4 +1,7 @@
 
+import pytest
+from pyspark.sql import functions as F
+
 from fixtures import by, later_batch, message, source, two_conversations
 from prosa.operators.bronze import cast_timestamp
 from prosa.plans.medallion import build_gold, build_silver, ingest, one_plan
@@ -158,6 +161,33 @@ def test_gold_by_deltas_equals_batch(spark, tmp_path):
     assert rows_of(live, "bronze", few).count() == source_rows.where(source_rows.conversation_id.isin(ids)).count()
 
 
+def test_a_leak_stops_gold(spark, tmp_path):
+    """A CPF in a text column of Silver that Gold takes over: neither a build nor a refresh writes it; every table stays."""
+    from prosa.sources.guard import BrokenRules
+    from prosa.streaming.messages import refresh_gold
+    tables = Tables(spark, str(tmp_path / "data"))
+    path = str(tmp_path / "messages.parquet")
+    two_conversations(spark).write.parquet(path)
+    ingest(tables, path)
+    build_silver(tables)
+    build_gold(tables)
+    before = all_gold(tables)
+    clean = tables.read("silver_conversations")
+    for column, planted in (("conversation_outcome", "cpf 383.182.856-01"), ("campaign_id", "a@b.com"), ("agent_id", "38318285601")):
+        leaking = clean.withColumn(column, F.lit(planted))
+        with pytest.raises(BrokenRules) as refused:
+            build_gold(tables, convs=leaking)
+        assert sum(refused.value.counts.values()) > 0
+        assert all_gold(tables) == before
+    build_gold(tables)
+    tables.append(clean.withColumn("agent_id", F.lit("38318285601")).withColumn("_version", F.lit(1 << 60)), "silver_conversations", batch=1, writer="w")
+    with pytest.raises(BrokenRules):
+        refresh_gold(tables, "w", 1)
+    assert all_gold(tables) == before
+    refresh_gold(tables, "w", 1, guard=False)
+    assert {r["agent_id"] for r in tables.read("gold_vendor").collect()} == {"38318285601"}
+
+
 def test_repeated_micro_batch_changes_nothing(spark, tmp_path):
     """The last micro-batch runs again, as after a failure before its commit, also when sums are folded."""
     from prosa.streaming.messages import refresh_gold

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from fixtures import by
 from prosa.operators.quality import missing_tables
+from prosa.sources.guard import BrokenRules, Guard
 from prosa.sources.tables import Tables, append_record, export_csv, nanos_to_timestamp, read_source
 
 
@@ -42,6 +43,32 @@ def test_failed_overwrite_keeps_the_table(tables, spark):
     assert tables.exists("bronze") and tables.count("bronze") == 4
 
 
+def test_rules_stop_a_write(tables, spark):
+    """Replacing, appending and writing several tables at once: what breaks a rule changes nothing, and its rows are counted."""
+    rules = {"big": F.col("id") > 8, "odd": F.col("id") % 2 == 1, "unknown": F.lit(None).cast("boolean")}
+    good, bad = spark.range(0, 8, 2), spark.range(0, 11, 1, 3)
+    tables.overwrite(good, "bronze", rules=rules)
+    for write in (tables.overwrite, tables.append):
+        with pytest.raises(BrokenRules) as refused:
+            write(bad, "bronze", rules=rules)
+        assert refused.value.counts == {"big": 2, "odd": 5, "unknown": 0}
+        assert tables.count("bronze") == 4 and len(tables.batches("bronze")) == 1
+    assert tables.append(spark.range(8, 9), "bronze", rules=rules) == 1 and tables.count("bronze") == 5
+    tables.append(spark.range(6, 7), "bronze", batch=1, rules=rules)  # a repeated batch replaces itself
+    assert sorted(r[0] for r in tables.read("bronze").collect()) == [0, 2, 4, 6, 6]
+    tables.append(good.limit(0), "bronze", rules=rules)
+    assert tables.count("bronze") == 5
+    columns = {"a": ["id"], "b": ["id"]}
+    tagged = good.withColumn("t", F.explode(F.array(F.lit("a"), F.lit("b"))))
+    tables.write_many(tagged, "t", columns, rules=rules)
+    with pytest.raises(BrokenRules):
+        tables.write_many(tagged.union(spark.sql("SELECT 3L, 'b'")), "t", columns, rules=rules)
+    assert tables.count(tables.place("a")) == tables.count(tables.place("b")) == 4
+    with pytest.raises(Exception, match="breaks a rule"):
+        Guard(rules).stopping(bad).collect()
+    assert Guard(rules).stopping(good).count() == 4
+
+
 def test_writers_keep_apart(tables, spark):
     tables.append(spark.range(4), "bronze")
     tables.append(spark.range(4, 6), "bronze", batch=0, writer="stream-a")
