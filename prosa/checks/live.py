@@ -168,15 +168,15 @@ def _(spark, d):
     """A table of masked texts is written under the leak rules; one of the texts as they came is refused, with what the write
     itself counted, and the table stays."""
     tables, messages = Tables(spark, scratch_dir(spark, "guard")), messages_of(spark, d)
-    seen = {}
+    seen, guarded = {}, tables.place("guarded")
     for label, column in (("mascarado", "message_body_masked"), ("corpo", "message_body_normalized")):
         rows = messages.select("message_id", F.col(column).alias("texto"))
         try:
-            tables.overwrite(rows, "guarded", rules=silver.leak_rules(rows, ("cpf", "email"), leave=("message_id",)))
+            tables.overwrite(rows, guarded, rules=silver.leak_rules(rows, ("cpf", "email"), leave=("message_id",)))
             seen[label] = {"cpf": 0, "email": 0}
         except BrokenRules as refused:
             seen[label] = refused.counts
-    held = tables.read("guarded")
+    held = tables.read(guarded)
     if held.where(F.col("texto").contains("@")).count():
         raise AssertionError("refused rows are in the table")
     counts = [(table, kind, n, held.count()) for table, kinds in seen.items() for kind, n in kinds.items()]
