@@ -79,10 +79,12 @@ def unseen_ids(incoming: DataFrame, existing: DataFrame, key: str = "message_id"
     """Incoming rows whose id the table does not hold.
 
     The large table is only scanned for its id column and semi-joined with the batch's ids, so
-    what leaves it is at most one batch of ids, whatever the size of the table.
+    what leaves it is at most one batch of ids, whatever the size of the table. The rows themselves
+    pass a hash table of these ids: they are not sorted, which would hold whole messages in memory.
+    Neither join minds an id that stands twice on its right, so no ids are made distinct.
     """
-    held = existing.select(key).join(incoming.select(key).distinct(), key, "left_semi")
-    return incoming.join(held.distinct(), key, "left_anti")
+    held = existing.select(key).join(incoming.select(key), key, "left_semi")
+    return incoming.join(held.hint("shuffle_hash"), key, "left_anti")
 
 
 def new_rows(incoming: DataFrame, existing: DataFrame, latest: Column | None = None) -> DataFrame:
