@@ -13,6 +13,10 @@ one group; classes that met the same smallest class but are in different groups
 in blocks inside tasks, groups against groups, as a pair inside one group can change nothing. So no list of
 all pairs of a group is ever made, and no link between groups is lost.
 
+Sets move only for pairs that can link. A set's sketch is how many of its shingles fall into each of some cells, two to
+four on average; two sets have at most the smaller count of each cell in common. A pair whose sketches leave too little
+for the threshold can't link, so nothing is lost by that.
+
 Nulls and edges: a null text is empty; a text without words has an empty set, size 0 and links with nothing; with
 fewer words than a shingle has, the whole sequence is the one shingle. Null ids are kept and never are a
 component's smallest id unless it has no other. Repeated rows each get a row. Long texts are handled
@@ -22,6 +26,7 @@ whole. Extra columns are ignored; empty tables give no rows.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 from math import exp
 
 import numpy as np
@@ -64,6 +69,43 @@ def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
     return np.unique(mixed(out))
 
 
+def sketch_of(s: np.ndarray) -> bytes | None:
+    """How many shingles fall into each cell, by their first bits, a byte a cell; None if a count doesn't fit."""
+    bits = max(len(s).bit_length() - 2, 1)
+    counts = np.bincount((s >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
+    return counts.astype(np.uint8).tobytes() if counts.max() < 256 else None
+
+
+def may_link(left: list[bytes | None], right: list[bytes | None], part: int, whole: int) -> np.ndarray:
+    """Boolean matrix: which sets of the two lists can link, by their sketches. Where one has none, they can."""
+    out = np.zeros((len(left), len(right)), bool)
+    for side, sketches in ((out, left), (out.T, right)):
+        side[[i for i, s in enumerate(sketches) if s is None]] = True
+
+    def at_level(sketches: list[bytes | None], cells: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The sketches with so many cells, and with twice as many, folded; which they are; which are folded."""
+        which = [i for i, s in enumerate(sketches) if s is not None and len(s) in (cells, 2 * cells)]
+        counts = [np.frombuffer(sketches[i], np.uint8).reshape(cells, -1).sum(axis=1, dtype=np.int16) for i in which]
+        folded = np.array([len(sketches[i]) > cells for i in which], bool)
+        return np.array(counts, np.int16).reshape(len(which), cells), np.array(which, np.int64), folded
+
+    # Linked sets differ by less than half, so their numbers of cells do by a factor of two at most.
+    levels = {len(s) for s in chain(left, right) if s is not None} if 2 * part > whole else set()
+    if not levels:
+        out[:] |= 2 * part <= whole
+    for cells in sorted(levels):
+        (a, ia, fa), (b, ib, fb) = at_level(left, cells), at_level(right, cells)
+        if not len(a) or not len(b):
+            continue
+        n, m = a.sum(axis=1, dtype=np.int64), b.sum(axis=1, dtype=np.int64)
+        for k in range(len(a)):
+            near = np.flatnonzero((whole * np.minimum(n[k], m) >= part * np.maximum(n[k], m)) & ~(fa[k] & fb))
+            if len(near):
+                common = np.minimum(a[k], b[near]).sum(axis=1, dtype=np.int64)
+                out[ia[k], ib[near]] |= whole * common >= part * (n[k] + m[near] - common)
+    return out
+
+
 def class_of(s: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63)
 
@@ -133,16 +175,17 @@ def signatures(s: np.ndarray, band: int, plan: tuple[int, int, int]) -> np.ndarr
 
 
 def classes_of(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """doc_id, th, n_shingles, cls: th is a hash of the text, cls is null for an empty set."""
+    """doc_id, th, n_shingles, cls, sketch: th is a hash of the text, cls is null for an empty set."""
     rows = small_batches(docs.select("doc_id", "text", F.xxhash64("text").alias("th")))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             sets = [shingles(t, words) for t in batch["text"]]
             yield pd.DataFrame({"doc_id": batch["doc_id"], "th": batch["th"], "n_shingles": [len(s) for s in sets],
-                                "cls": pd.array([class_of(s) if len(s) else None for s in sets], "Int64")})
+                                "cls": pd.array([class_of(s) if len(s) else None for s in sets], "Int64"),
+                                "sketch": [sketch_of(s) if len(s) else None for s in sets]})
 
-    return rows.mapInPandas(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, th long, n_shingles long, cls long")
+    return rows.mapInPandas(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, th long, n_shingles long, cls long, sketch binary")
 
 
 def signature_rows(docs: DataFrame, plans: dict[int, tuple[int, int, int]], edges: list[int], words: int) -> DataFrame:
@@ -227,12 +270,21 @@ def linked_in_block(left: list[np.ndarray], right: list[np.ndarray], part: int,
     return whole * common >= part * (sizes[:n, None] + sizes[None, n:] - common)
 
 
-def links_between(pairs: DataFrame, groups: DataFrame, sets: DataFrame, part: int, whole: int) -> DataFrame:
+def that_may_link(pairs: DataFrame, sketches: DataFrame, part: int, whole: int) -> DataFrame:
+    """The ``pairs`` (leader, cls) that can link by their sketches."""
+    def test(one: pd.Series, other: pd.Series) -> pd.Series:
+        return pd.Series([may_link([a], [b], part, whole)[0, 0] for a, b in zip(one, other, strict=True)], dtype=bool)
+
+    both = pairs.join(sketches, "cls").join(sketches.select(F.col("cls").alias("leader"), F.col("sketch").alias("other")), "leader")
+    return both.where(F.pandas_udf(test, "boolean")("sketch", "other")).select("leader", "cls")
+
+
+def links_between(docs: DataFrame, pairs: DataFrame, groups: DataFrame, sketches: DataFrame, words: int, part: int, whole: int) -> DataFrame | None:
     """a, b: links between classes that met the same leader and are in different groups.
 
     ``pairs``: leader, cls. ``groups``: node, component. Members of a leader are dealt into blocks: groups of more
     than ``BLOCK`` members into blocks of their own, the others together. A task gets two blocks, never two
-    of one group.
+    of one group. It first compares sketches: sets move only for members that can link with another group there. None: no links.
     """
     grouped = pairs.join(groups.withColumnRenamed("node", "cls"), "cls", "left").select(
         "leader", "cls", F.coalesce("component", "cls").alias("grp"))
@@ -254,7 +306,22 @@ def links_between(pairs: DataFrame, groups: DataFrame, sets: DataFrame, part: in
     mine = placed.select("leader", "cls", "grp", mine.alias("z"))
     first = mine.join(both.withColumn("z", F.col("x")), ["leader", "z"]).select("leader", "x", "y", "cls", "grp", F.lit(True).alias("first"))
     second = mine.join(both.where("x <> y").withColumn("z", F.col("y")), ["leader", "z"]).select("leader", "x", "y", "cls", "grp", F.lit(False).alias("first"))
-    rows = first.unionByName(second).withColumn("task", F.struct("leader", "x", "y")).drop("leader", "x", "y").join(sets, "cls")
+    rows = first.unionByName(second).withColumn("task", F.xxhash64("leader", "x", "y")).drop("leader", "x", "y")
+
+    def rivals(block: pd.DataFrame) -> pd.DataFrame:
+        one, two = block[block["first"]], block[~block["first"]]
+        alone = not len(two)
+        two = one if alone else two
+        hit = may_link(list(one["sketch"]), list(two["sketch"]), part, whole)
+        hit &= one["grp"].to_numpy()[:, None] != two["grp"].to_numpy()[None, :]
+        left, right = hit.any(axis=1), hit.any(axis=0)
+        stay = one[left | right] if alone else pd.concat([one[left], two[right]])
+        return stay[["task", "cls", "grp", "first"]]
+
+    rows = settle(rows.join(sketches, "cls").groupBy("task").applyInPandas(rivals, "task long, cls long, grp long, first boolean"))
+    if rows.isEmpty():
+        return None
+    rows = rows.join(sets_of(docs, rows.select("cls").distinct(), words), "cls")
 
     def compare(block: pd.DataFrame) -> pd.DataFrame:
         one = block[block["first"]]
@@ -292,14 +359,16 @@ def grouped(docs: DataFrame, words: int = WORDS, part: int = PART, whole: int =
     leader = F.min("cls").over(Window.partitionBy("key"))
     pairs = settle(keys.withColumn("leader", leader).where("cls <> leader").select("leader", "cls").distinct())
     wanted = pairs.select("cls").union(pairs.select(F.col("leader").alias("cls"))).distinct()
-    sets = sets_of(docs, wanted, words)
-    tested = pairs.join(sets, "cls").join(sets.select(F.col("cls").alias("leader"), F.col("items").alias("other")), "leader")
+    sketches = settle(rows.select("cls", "sketch").join(wanted, "cls", "left_semi").groupBy("cls").agg(F.any_value("sketch").alias("sketch")))
+    near = settle(that_may_link(pairs, sketches, part, whole))
+    sets = sets_of(docs, near.select("cls").union(near.select(F.col("leader").alias("cls"))).distinct(), words)
+    tested = near.join(sets, "cls").join(sets.select(F.col("cls").alias("leader"), F.col("items").alias("other")), "leader")
     common = F.size(F.array_intersect("items", "other"))
     linked = tested.where(whole * common >= part * (F.size("items") + F.size("other") - common))
     links = settle(linked.select(F.col("leader").alias("a"), F.col("cls").alias("b")))
     groups = settle(components(links))
-    more = settle(links_between(pairs, groups, sets, part, whole))
-    if not more.isEmpty():
+    more = links_between(docs, pairs, groups, sketches, words, part, whole)
+    if more is not None and not (more := settle(more)).isEmpty():
         groups = settle(components(links.unionByName(more)))
     named = classes.join(groups.withColumnRenamed("node", "cls"), "cls", "left").select(
         "cls", "least", F.coalesce("component", "cls").alias("grp"))
