@@ -10,7 +10,8 @@ around one anchor are its block. A first pass writes a row for each anchor, abou
 its block. Anchors that stand once can't be in a copy. Where all blocks of an anchor are equal, their windows have the same
 copies, so the second pass writes the block as one; where blocks differ, at the edges of passages, it writes each window.
 Bitmaps of a fixed size tell which anchor is which; a false hit costs rows and changes nothing. What has an earlier copy
-gives all words of all maximal runs. Blocks and windows are known by 96-bit hashes; texts move once, in the last join.
+gives all words of all maximal runs. Blocks and windows are known by 96-bit hashes and move once. Texts move once, in the
+last join, and only those of documents that a bitmap of a fixed size says may lose words.
 
 Two exceptions: a single word at the edge of a passage stays if its line has other words left, as chance gives that much;
 and a run that overlaps its earlier place, both beginning in one line, is no copy (a word or phrase said over and over).
@@ -23,34 +24,22 @@ result. ``n_deleted`` counts lines that lost words. Extra columns are ignored; e
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
-import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from prosa.llm.common import scratch, shipped, small_batches
+from prosa.llm.common import PIECE, settle, shipped, small_batches, word_hashes
 
 MIN_WORDS = 50
 #: Bits of each map of anchors that stand more than once.
 FILTER = 1 << 26
-KEEP_WORDS = 400_000
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
-class Hashes(dict):
-    """Word to hash; forgets everything when it holds many words."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > KEEP_WORDS:
-            self.clear()
-        self[word] = value = xxhash.xxh3_64_intdigest(word)
-        return value
-
-
 class Powers:
     """The powers of a base and of its inverse modulo 2^64, as many as were asked for."""
 
@@ -101,19 +90,39 @@ def anchors_of(total: np.ndarray, least: int, powers: Powers) -> tuple[np.ndarra
     return anchor[first], first, last, places != len(first)
 
 
-def word_hashes(text: str | None, hashes: Hashes) -> np.ndarray:
-    words = (text or "").encode("utf-8", "replace").split()
-    return np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
+def hashed(texts: Iterable[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray, bytes]]:
+    """Of each text the hashes of its words, where they start, and its bytes. Short texts are hashed together."""
+    held, size = [], 0
+
+    def together() -> Iterator[tuple[np.ndarray, np.ndarray, bytes]]:
+        h, start = word_hashes(b"\n".join(held))
+        at = np.cumsum([0, *[len(x) + 1 for x in held]])
+        cut = np.searchsorted(start, at)
+        for i, data in enumerate(held):
+            yield h[cut[i]:cut[i + 1]], start[cut[i]:cut[i + 1]] - at[i], data
+
+    for text in texts:
+        held.append((text or "").encode("utf-8", "replace"))
+        size += len(held[-1])
+        if size > PIECE:
+            yield from together()
+            held, size = [], 0
+    yield from together()
+
+
+def bit_of(column: str) -> tuple[Column, Column]:
+    """A hash's place in a bitmap, and its bit within a cell of 64."""
+    bit = F.col(column).bitwiseAND(F.lit(FILTER - 1))
+    return bit, F.call_function("shiftleft", F.lit(1).cast("long"), bit.bitwiseAND(F.lit(63)).cast("int"))
 
 
 def repeated_anchors(docs: DataFrame, least: int) -> tuple[np.ndarray, np.ndarray]:
     """Bitmaps of the anchors that stand more than once: in equal blocks, one a document; and others."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashes, powers = Hashes(), Powers(BASES[0])
+        powers = Powers(BASES[0])
         for batch in batches:
             anchors, blocks = [], []
-            for text in batch["text"]:
-                h = word_hashes(text, hashes)
+            for h, _, _ in hashed(batch["text"]):
                 if len(h) < least:
                     continue
                 total = sums(h, powers)
@@ -133,16 +142,18 @@ def repeated_anchors(docs: DataFrame, least: int) -> tuple[np.ndarray, np.ndarra
 
     rows = small_batches(docs.select("text")).mapInPandas(run, "anchor long, block long")
     known = rows.groupBy("anchor").agg(F.count("*").alias("n"), F.min("block").alias("x"), F.max("block").alias("y")).where("n > 1")
-    bit = F.col("anchor").bitwiseAND(F.lit(FILTER - 1))
-    one = F.call_function("shiftleft", F.lit(1).cast("long"), bit.bitwiseAND(F.lit(63)).cast("int"))
+    bit, one = bit_of("anchor")
     zero = F.lit(0).cast("long")
     cells = known.groupBy(F.shiftright(bit, 6).alias("cell")).agg(
         F.bit_or(F.when(F.col("x") == F.col("y"), one).otherwise(zero)).alias("equal"),
         F.bit_or(F.when(F.col("x") != F.col("y"), one).otherwise(zero)).alias("other")).toPandas()
-    maps = np.zeros((2, FILTER // 64), np.uint64)
-    for k, name in enumerate(("equal", "other")):
-        maps[k, cells["cell"].to_numpy(np.int64)] = cells[name].to_numpy(np.int64).view(np.uint64)
-    return maps[0], maps[1]
+    return filled(cells, "equal"), filled(cells, "other")
+
+
+def filled(cells: pd.DataFrame, name: str) -> np.ndarray:
+    bits = np.zeros(FILTER // 64, np.uint64)
+    bits[cells["cell"].to_numpy(np.int64)] = cells[name].to_numpy(np.int64).view(np.uint64)
+    return bits
 
 
 def in_map(bits: np.ndarray, anchor: np.ndarray) -> np.ndarray:
@@ -166,11 +177,10 @@ def window_rows(docs: DataFrame, least: int) -> DataFrame:
     rows = small_batches(docs.select("doc_id", "text", F.xxhash64("text").alias("th")))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashes, powers, others = Hashes(), Powers(BASES[0]), Powers(BASES[1])
+        powers, others = Powers(BASES[0]), Powers(BASES[1])
         equal, other = shared.value
 
-        def of_document(text: str | None) -> tuple[np.ndarray, ...] | None:
-            h = word_hashes(text, hashes)
+        def of_document(h: np.ndarray, start: np.ndarray, data: bytes) -> tuple[np.ndarray, ...] | None:
             if len(h) < least:
                 return None
             total = sums(h, powers)
@@ -184,10 +194,10 @@ def window_rows(docs: DataFrame, least: int) -> DataFrame:
             size = np.concatenate([(last - first)[whole] + least, np.full(len(windows), least)])
             one = hash_of(total, powers, at, size)
             two = hash_of(sums(mixed(h ^ np.uint64(BASES[1])), others), others, at, size) >> np.uint64(33)
-            ends = np.cumsum([len(x.split()) for x in text.encode("utf-8", "replace").split(b"\n")])
+            line = np.searchsorted(np.flatnonzero(np.frombuffer(data, np.uint8) == 10), start[at])
             loops = np.zeros(len(at), bool)
             loops[len(at) - len(windows):] = close_repeats(one[len(at) - len(windows):], windows, least)
-            return at, size, np.searchsorted(ends, at, side="right"), loops, one.view(np.int64), two.astype(np.int64)
+            return at, size, line, loops, one.view(np.int64), two.astype(np.int64)
 
         def table(batch: pd.DataFrame, found: list[tuple[int, tuple[np.ndarray, ...]]]) -> pd.DataFrame:
             rows = np.repeat([i for i, _ in found], [len(f[0]) for _, f in found])
@@ -197,8 +207,8 @@ def window_rows(docs: DataFrame, least: int) -> DataFrame:
 
         for batch in batches:
             found, held = [], 0
-            for i, text in enumerate(batch["text"]):
-                if (f := of_document(text)) is not None:
+            for i, words in enumerate(hashed(batch["text"])):
+                if (f := of_document(*words)) is not None:
                     found.append((i, f))
                     held += len(f[0])
                     if held > 200_000:
@@ -212,15 +222,14 @@ def window_rows(docs: DataFrame, least: int) -> DataFrame:
 
 
 def later_copies(docs: DataFrame, least: int = MIN_WORDS) -> DataFrame:
-    """doc_id, th, cuts: of each document with later copies, the runs (pos, size) of words to delete."""
-    folder = scratch(docs.sparkSession, "windows")
-    window_rows(docs, least).write.parquet(folder)
-    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th", "pos", "line")
-    windows = docs.sparkSession.read.parquet(folder).select("h1", "h2", "size", "loops", place.alias("place"))
-    first = windows.groupBy("h1", "h2").agg(F.min("place").alias("first"), F.max("place").alias("last")).where("first < last").drop("last")
-    apart = "not loops or not (place.doc_id <=> first.doc_id) or place.th <> first.th or place.line <> first.line"
-    copies = windows.join(first, ["h1", "h2"]).where("place > first").where(apart)
-    return copies.groupBy("place.doc_id", "place.th").agg(F.collect_set(F.struct("place.pos", "size")).alias("cuts"))
+    """doc_id, th, cuts: of each document with later copies, the runs of words to delete, as 2^32 * pos + size; stored."""
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th", "pos", "line", "size", "loops")
+    windows = window_rows(docs, least).select("h1", "h2", place.alias("place"))
+    first = F.min("place").over(Window.partitionBy("h1", "h2"))
+    apart = "not place.loops or not (place.doc_id <=> first.doc_id) or place.th <> first.th or place.line <> first.line"
+    copies = windows.withColumn("first", first).where("place > first").where(apart)
+    run = F.col("place.pos").cast("long") * F.lit(1 << 32) + F.col("place.size")
+    return settle(copies.groupBy("place.doc_id", "place.th").agg(F.collect_set(run).alias("cuts")))
 
 
 def without_words(line: str, gone: np.ndarray) -> str:
@@ -247,7 +256,8 @@ def without(texts: pd.Series, cuts: pd.Series) -> pd.DataFrame:
         if runs is None or not len(runs):
             out.append((text, n, 0, total, total))
             continue
-        starts, sizes = (np.array([r[x] for r in runs], np.int64) for x in ("pos", "size"))
+        runs = np.asarray(runs, np.int64)
+        starts, sizes = runs >> 32, runs & 0xFFFFFFFF
         steps = np.zeros(total + 1, np.int64)
         np.add.at(steps, starts, 1)
         np.add.at(steps, starts + sizes, -1)
@@ -271,12 +281,22 @@ def without(texts: pd.Series, cuts: pd.Series) -> pd.DataFrame:
 
 def line_dedup(docs: DataFrame, least: int = MIN_WORDS, keep: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, text, n_lines, n_deleted, n_words, n_words_left of every document, and the columns in ``keep``."""
-    cuts = later_copies(docs, least).alias("c")
+    cuts = later_copies(docs, least)
+    key = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "th")
+    bit, one = bit_of("_key")
+    cells = cuts.select(key.alias("_key")).groupBy(F.shiftright(bit, 6).alias("cell")).agg(F.bit_or(one).alias("bits")).toPandas()
+    shared = docs.sparkSession.sparkContext.broadcast(filled(cells, "bits"))
+    may_lose = F.pandas_udf(lambda k: pd.Series(in_map(shared.value, k.to_numpy(np.int64).view(np.uint64))), "boolean")
     cut = F.pandas_udf(without, "struct<text string, n_lines int, n_deleted int, n_words int, n_words_left int>")
-    rows = docs.select("doc_id", "text", *keep, F.xxhash64("text").alias("_th")).alias("d")
-    same = F.col("d.doc_id").eqNullSafe(F.col("c.doc_id")) & (F.col("d._th") == F.col("c.th"))
-    joined = rows.join(cuts, same, "left").select("d.doc_id", *[f"d.{c}" for c in keep], cut("d.text", "c.cuts").alias("_out"))
-    return joined.select("doc_id", *keep, "_out.*")
+    rows = docs.select(*[F.col(c).alias(f"_{c}") for c in keep], "doc_id", "text", F.xxhash64("text").alias("th"))
+    rows = rows.select("*", may_lose(key).alias("_may"))
+    held = [f"_{c}" for c in keep]
+    c = cuts.select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"), "cuts")
+    moved = rows.where("_may").join(c, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("th") == F.col("_th")), "left")
+    rest = rows.where("not _may").select(*held, "doc_id", "text", F.lit(None).cast("array<long>").alias("cuts"))
+    both = rest.unionByName(moved.select(*held, "doc_id", "text", "cuts"))
+    out = both.select("doc_id", *held, cut("text", "cuts").alias("_out"))
+    return out.select("doc_id", *[F.col(f"_{c}").alias(c) for c in keep], "_out.*")
 
 
 shipped(__name__)

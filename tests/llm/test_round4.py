@@ -5,7 +5,7 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
-from prosa.llm import jaccard
+from prosa.llm import jaccard, line_dedup
 
 
 def frame(spark, rows):
@@ -34,3 +34,22 @@ def test_jaccard_sets_move_only_for_pairs_that_can_link(spark):
     names = {r["cls"]: r["doc_id"] for r in rows.collect()}
     found = {tuple(sorted((names[r["leader"]], names[r["cls"]]))) for r in jaccard.that_may_link(pairs, sketches, 85, 100).collect()}
     assert found == {(0, 20), (1, 21)}  # of 91
+
+
+def test_line_dedup_moves_only_texts_that_may_lose_words(spark, monkeypatch):
+    words = random.Random(7)
+    passage = " ".join(f"p{words.random()}" for _ in range(70))
+    docs = [(i, "\n".join(f"w{words.random()} \t\n é" for _ in range(30))) for i in range(40)] + [(50, "a b " + passage), (51, "c\n\n" + passage + " d"), (52, None)]
+    out = line_dedup.line_dedup(frame(spark, docs))
+    rows = {r["doc_id"]: r for r in out.collect()}
+    assert rows[51]["n_deleted"] == 1 and rows[51]["n_words_left"] == 2 and sum(r["n_deleted"] for r in rows.values()) == 1
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    still, moved = plan[plan.index("Union"):].split("Join", 1)  # one branch has no join, and its rows no exchange
+    assert still.count("without") and moved.count("without") == 0
+    assert [(r["doc_id"], [c >> 32 for c in r["cuts"]], [c & 0xFFFFFFFF for c in r["cuts"]]) for r in line_dedup.later_copies(frame(spark, docs)).collect()][0][0] == 51
+
+    monkeypatch.setattr(line_dedup, "PIECE", 200)
+    for (_, text), (h, start, data) in zip(docs, line_dedup.hashed([t for _, t in docs]), strict=True):
+        found = (text or "").encode().split()
+        assert data == (text or "").encode() and [data[a:a + len(w)] for a, w in zip(start, found, strict=True)] == found
+        assert len(set(h.tolist())) == len(set(found))
