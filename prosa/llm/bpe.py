@@ -6,8 +6,9 @@ last token of its encoding. Of all tokens that end at a place exactly one follow
 of the prefix has a last token it can stand next to, that is, the merges leave the two as they are.
 
 The vocabulary comes from a file named by the caller and reaches executors as one broadcast of the
-file's size. A worker remembers what it has encoded up to ``REMEMBER`` units and then forgets it all;
-that bounds memory and changes no result. Null texts count as empty and have no tokens; long texts are
+file's size. A worker remembers the words and units it has encoded, in two generations: when the younger one holds
+``REMEMBER`` of them, it becomes the older one, and what was not used since the last time is forgotten. So what comes
+again and again stays; that bounds memory and changes no result. Null texts count as empty and have no tokens; long texts are
 handled whole; repeated rows get a row each; extra columns are ignored; empty tables give no rows.
 """
 
@@ -26,7 +27,7 @@ from pyspark.sql import DataFrame
 
 from prosa.llm.common import shipped, small_batches
 
-REMEMBER = 200_000
+REMEMBER = 400_000
 BLOCK = 1_500_000
 #: White space as Unicode defines it, and the words of byte-level BPE: fixed values.
 SPACE = "".join(map(chr, (*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
@@ -61,7 +62,7 @@ class Coder:
         for rank, pair in enumerate(model["merges"]):
             left, right = map(as_bytes, pair.split(" ") if isinstance(pair, str) else pair)
             self.merges[self.ids[left], self.ids[right]] = (rank, self.ids[left + right])
-        self.known, self.pairs, self.spines = {}, defaultdict(dict), {}
+        self.known, self.older, self.pairs, self.spines = {}, {}, defaultdict(dict), {}
         self.sizes = {i: len(b) for i, b in self.bytes.items()}
         self.endings = None
         self.words = regex.compile(WORDS)
@@ -160,27 +161,37 @@ class Coder:
         return out
 
     def learn(self, units: set[str]) -> None:
-        new = {}
-        for u in units:
-            if u not in self.known:
-                if u[0] == "\0" and u[1:] in self.special:
-                    self.known[u] = (self.special[u[1:]],)
-                elif u[1:].isalpha() and (u[0] == " " or u[0].isalpha()):
-                    new[u] = [u if u.isascii() else u.encode().decode("latin-1")]
-                else:
-                    new[u] = [w if w.isascii() else w.encode().decode("latin-1") for w in self.words.findall(u)]
-        ids = self.encode_words(w for ws in new.values() for w in ws)
-        for u, ws in new.items():
-            self.known[u] = ids[ws[0]] if len(ws) == 1 else tuple(chain.from_iterable(map(ids.__getitem__, ws)))
+        """After this all ``units`` are known."""
+        if len(self.known) > REMEMBER:
+            self.older, self.known = self.known, {}
+            if sum(map(len, self.pairs.values())) > REMEMBER:
+                self.pairs.clear()
+        known, older = self.known, self.older.get
+        single, several, fresh = [], {}, {}
+        for u in units.difference(known):
+            if (ids := older(u)) is not None:
+                known[u] = ids
+            elif u[0] == "\0" and u[1:] in self.special:
+                known[u] = (self.special[u[1:]],)
+            elif u[1:].isalpha() and (u[0] == " " or u[0].isalpha()):
+                single.append(u)
+            else:
+                several[u] = self.words.findall(u)
+        for w in set(chain(single, *several.values())).difference(known):
+            if (ids := older(w)) is not None:
+                known[w] = ids
+            else:
+                fresh[w] = w if w.isascii() else w.encode().decode("latin-1")
+        ids = self.encode_words(fresh.values())
+        for w, data in fresh.items():
+            known[w] = ids[data]
+        for u, ws in several.items():
+            if len(ws) > 1:
+                known[u] = tuple(chain.from_iterable(map(known.__getitem__, ws)))
 
     def encode(self, texts: list[str]) -> list[list[int]]:
         cut = [self.units(t) for t in texts]
-        every = set().union(*cut)
-        if len(self.known) + len(every - self.known.keys()) > REMEMBER:
-            self.known.clear()
-            if sum(map(len, self.pairs.values())) > REMEMBER:
-                self.pairs.clear()
-        self.learn(every)
+        self.learn(set().union(*cut))
         known = self.known.__getitem__
         return [list(chain.from_iterable(map(known, units))) for units in cut]
 

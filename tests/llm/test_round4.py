@@ -5,7 +5,8 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
-from prosa.llm import jaccard, line_dedup
+from prosa.llm import bpe, jaccard, line_dedup
+from prosa.llm.queries import tokenizer_file
 
 
 def frame(spark, rows):
@@ -53,3 +54,17 @@ def test_line_dedup_moves_only_texts_that_may_lose_words(spark, monkeypatch):
         found = (text or "").encode().split()
         assert data == (text or "").encode() and [data[a:a + len(w)] for a, w in zip(start, found, strict=True)] == found
         assert len(set(h.tolist())) == len(set(found))
+
+
+def test_bpe_keeps_words_that_come_again(monkeypatch):
+    with open(tokenizer_file(), encoding="utf-8") as f:
+        coder, whole = bpe.Coder(definition := f.read()), bpe.Coder(definition)
+    monkeypatch.setattr(bpe, "REMEMBER", 60)
+    seen, encode_words = [], coder.encode_words
+    coder.encode_words = lambda words: encode_words(seen.extend(words := list(words)) or words)
+    for k in range(12):
+        text = " ".join(["again", "über.\nNew", "it's", "\0x"] + [f"once{chr(97 + k)}{chr(97 + j)}" for j in range(25)]) + " <|endoftext|>"
+        assert coder.encode([text, "", text]) == [whole.encode([t])[0] for t in (text, "", text)]
+        assert coder.decode(coder.encode([text])[0]) == text
+    assert seen.count(" again") + seen.count("again") == 1 and seen.count(" it") == 1 and len(seen) == len(set(seen))
+    assert len(coder.known) + len(coder.older) < 4 * 60
