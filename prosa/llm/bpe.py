@@ -8,13 +8,14 @@ of the prefix has a last token it can stand next to, that is, the merges leave t
 The vocabulary comes from a file named by the caller and reaches executors as one broadcast of the
 file's size. A worker remembers the words and units it has encoded, in two generations: when the younger one holds
 ``REMEMBER`` of them, it becomes the older one, and what was not used since the last time is forgotten. So what comes
-again and again stays; that bounds memory and changes no result. Null texts count as empty and have no tokens; long texts are
+again and again stays; that bounds memory and changes no result. Their ids are kept as packed integers. Null texts count as empty and have no tokens; long texts are
 handled whole; repeated rows get a row each; extra columns are ignored; empty tables give no rows.
 """
 
 from __future__ import annotations
 
 import json
+from array import array
 from collections import defaultdict
 from collections.abc import Iterable, Iterator
 from itertools import chain
@@ -27,8 +28,8 @@ from pyspark.sql import DataFrame
 
 from prosa.llm.common import shipped, small_batches
 
-REMEMBER = 400_000
-BLOCK = 1_500_000
+REMEMBER = 250_000
+BLOCK = 500_000
 #: White space as Unicode defines it, and the words of byte-level BPE: fixed values.
 SPACE = "".join(map(chr, (*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 WORDS = (r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^" + SPACE + r"\p{L}\p{N}]+|[" + SPACE + r"]+(?![^" + SPACE + r"])|[" + SPACE + "]+")
@@ -105,8 +106,8 @@ class Coder:
                     return False
         return True
 
-    def encode_words(self, words: Iterable[str]) -> dict[str, tuple[int, ...]]:
-        """Token ids of each distinct word, from one walk over the trie of the words.
+    def encode_words(self, words: Iterable[str]) -> dict[str, bytes]:
+        """Token ids of each distinct word, packed, from one walk over the trie of the words.
 
         A word is given as its UTF-8 bytes, one character each, which for ASCII is the word itself.
         """
@@ -140,7 +141,7 @@ class Coder:
                 tokens.append(token)
                 end -= sizes[token]
             tokens.reverse()
-            out[word] = tuple(tokens)
+            out[word] = array("i", tokens).tobytes()
         return out
 
     def units(self, text: str) -> list[str]:
@@ -172,7 +173,7 @@ class Coder:
             if (ids := older(u)) is not None:
                 known[u] = ids
             elif u[0] == "\0" and u[1:] in self.special:
-                known[u] = (self.special[u[1:]],)
+                known[u] = array("i", (self.special[u[1:]],)).tobytes()
             elif u[1:].isalpha() and (u[0] == " " or u[0].isalpha()):
                 single.append(u)
             else:
@@ -187,13 +188,20 @@ class Coder:
             known[w] = ids[data]
         for u, ws in several.items():
             if len(ws) > 1:
-                known[u] = tuple(chain.from_iterable(map(known.__getitem__, ws)))
+                known[u] = b"".join(map(known.__getitem__, ws))
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
+    def encode(self, texts: list[str]) -> list[array]:
         cut = [self.units(t) for t in texts]
         self.learn(set().union(*cut))
         known = self.known.__getitem__
-        return [list(chain.from_iterable(map(known, units))) for units in cut]
+        return [array("i", b"".join(map(known, units))) for units in cut]
+
+    def batches(self, batches: Iterable[pd.DataFrame]) -> Iterator[tuple[pd.Series, list[array]]]:
+        """The doc_ids and tokens of each block of texts."""
+        for batch in batches:
+            texts = [t or "" for t in batch["text"]]
+            for a, b in blocks(texts):
+                yield batch["doc_id"].iloc[a:b], self.encode(texts[a:b])
 
     def decode(self, ids: Iterable[int]) -> str:
         return b"".join(map(self.bytes.__getitem__, ids)).decode("utf-8", "replace")
@@ -230,10 +238,8 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         coder = coder_in(shared.value)
-        for batch in batches:
-            texts = [t or "" for t in batch["text"]]
-            for a, b in blocks(texts):
-                yield pd.DataFrame({"doc_id": batch["doc_id"].iloc[a:b], "ids": coder.encode(texts[a:b])})
+        for ids, coded in coder.batches(batches):
+            yield pd.DataFrame({"doc_id": ids, "ids": [np.frombuffer(c, np.int32) for c in coded]})
 
     return rows.mapInPandas(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, ids array<int>")
 
@@ -259,11 +265,8 @@ def encode_decode(docs: DataFrame, path: str) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         coder = coder_in(shared.value)
-        for batch in batches:
-            texts = [t or "" for t in batch["text"]]
-            for a, b in blocks(texts):
-                ids = coder.encode(texts[a:b])
-                yield pd.DataFrame({"doc_id": batch["doc_id"].iloc[a:b], "ids": [np.array(i, np.int32) for i in ids], "decoded": [coder.decode(i) for i in ids]})
+        for ids, coded in coder.batches(batches):
+            yield pd.DataFrame({"doc_id": ids, "ids": [np.frombuffer(c, np.int32) for c in coded], "decoded": [coder.decode(c) for c in coded]})
 
     return rows.mapInPandas(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, ids array<int>, decoded string")
 
