@@ -105,6 +105,23 @@ def new_rows(incoming: DataFrame, existing: DataFrame, latest: Column | None = N
     )
 
 
+def compared_ids(incoming: DataFrame, existing: DataFrame) -> DataFrame:
+    """Each id of ``incoming`` once, and whether ``existing`` holds it (``_held``). Only ids are moved."""
+    ids = incoming.select("message_id").where(F.col("message_id").isNotNull()).distinct()
+    held = (existing.select("message_id").join(ids, "message_id", "left_semi").distinct()
+            .withColumn("_held", F.lit(True)))
+    return ids.join(held, "message_id", "left").select("message_id", F.col("_held").isNotNull().alias("_held"))
+
+
+def rows_by_ids(incoming: DataFrame, ids: DataFrame, held: bool, latest: Column) -> DataFrame:
+    """What :func:`new_rows` gives, where the ``ids`` of the earlier incoming rows that are held are known, or (``held``
+    false) those that aren't. Ids stand once."""
+    marked = incoming.join(ids.select("message_id", F.lit(True).alias("_listed")), "message_id", "left")
+    listed = F.col("_listed").isNotNull()
+    fresh = ~listed if held else listed | F.col("message_id").isNull()
+    return marked.where((F.col("timestamp") > latest) | fresh).select(*incoming.columns)
+
+
 def to_bronze(df: DataFrame, source_file: str | None = None, profile: Profile = CANONICAL) -> DataFrame:
     """Typed and stamped messages; ``df`` has passed :func:`require_valid`."""
     if dict(df.dtypes)["timestamp"] == "string":

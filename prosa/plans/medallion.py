@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from typing import Any
+from typing import Any, Callable
 
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
@@ -26,22 +26,24 @@ def ingest(tables: Tables, source_path: str, mode: str = "auto", profile: Profil
     exists = tables.exists("bronze")
     mode_used = mode if mode != "auto" else "incremental" if exists else "full"
 
+    fresh = raw if profile.name == "notebook" else B.cast_timestamp(raw)
     if mode_used == "incremental" and exists:
-        fresh = unheld(tables, raw if profile.name == "notebook" else B.cast_timestamp(raw), profile)
-    else:
-        fresh = raw if profile.name == "notebook" else B.cast_timestamp(raw)
+        fresh, release = compared(tables, fresh, profile)
     incremental = mode_used == "incremental"
     if incremental and exists:
         # Compared once, used twice: to see whether there is anything, and to write it.
         fresh = fresh.persist()
         if fresh.isEmpty():
             fresh.unpersist()
+            release()
             return {"rows_read": rows_read, "rows_written": 0, "mode": "incremental", "status": "no_new_data"}
     typed = B.stamp(B.parse_metadata(fresh, profile), source_path)
     seen = Observation("ingest")
     observed = typed.observe(seen, F.count(F.lit(1)).alias("rows"))
     version = tables.write(observed, "bronze", "append" if incremental else "overwrite")
     fresh.unpersist()
+    if incremental and exists:
+        release()
     return {
         "rows_read": rows_read, "rows_written": seen.get["rows"], "total_rows": tables.count("bronze"),
         "mode": mode_used, "version": version, "status": "success",
@@ -58,12 +60,35 @@ def unheld(tables: Tables, incoming: DataFrame, profile: Profile = CANONICAL, le
         return B.unseen_ids(incoming, tables.possible("bronze", incoming.select("message_id"), leave))
     if tables.fmt == "delta" or not tables.batches("bronze"):
         return B.new_rows(incoming, tables.read("bronze"))
-    newest = skipping.newest(tables, "bronze", "timestamp", leave)
-    latest = F.timestamp_micros(F.lit(newest).cast("long"))
-    late = incoming.where((F.col("timestamp") <= latest) | F.col("timestamp").isNull() | latest.isNull())
+    late, latest = earlier(tables, incoming, leave)
     return B.new_rows(incoming, tables.possible("bronze", late.select("message_id"), leave), latest)
 
 
+def earlier(tables: Tables, incoming: DataFrame, leave: tuple[str, int] | None) -> tuple[DataFrame, Column]:
+    """The incoming messages that aren't later than all of Bronze, and its latest time."""
+    latest = F.timestamp_micros(F.lit(skipping.newest(tables, "bronze", "timestamp", leave)).cast("long"))
+    return incoming.where((F.col("timestamp") <= latest) | F.col("timestamp").isNull() | latest.isNull()), latest
+
+
+def compared(tables: Tables, incoming: DataFrame, profile: Profile = CANONICAL,
+             leave: tuple[str, int] | None = None) -> tuple[DataFrame, Callable[[], None]]:
+    """What :func:`unheld` gives, for a load, and what to call when it is written.
+
+    Ids are compared first and alone. The messages then meet the shorter list, that of the ids held or that of the ids
+    not held, whose size Spark knows by then: where nearly all or nearly none are held, messages aren't shuffled.
+    """
+    if profile.name == "notebook" or tables.fmt == "delta" or not tables.batches("bronze"):
+        return unheld(tables, incoming, profile, leave), lambda: None
+    late, latest = earlier(tables, incoming, leave)
+    ids = B.compared_ids(late, tables.possible("bronze", late.select("message_id"), leave)).persist()
+    total, known = ids.agg(F.count(F.lit(1)), F.count_if("_held")).first()
+    held = 2 * known <= total
+    shorter = ids.where(F.col("_held") if held else ~F.col("_held")).select("message_id").persist()
+    shorter.count()
+    ids.unpersist()
+    return B.rows_by_ids(incoming, shorter, held, latest), lambda: shorter.unpersist()
+
+
 def build_silver(tables: Tables, profile: Profile = CANONICAL) -> dict[str, Any]:
     """Bronze to both Silver tables. Messages are written once; conversations aggregate what was
     written, so the text patterns run once. Gold no longer follows from Silver then: a refresh builds it anew."""

@@ -28,15 +28,23 @@ def folder(path: str) -> str:
     return f"{parent}/.{leaf}-index"
 
 
-def probe(key: str) -> list[Column]:
-    """An id's hash, which chooses the block, and the bits it sets in the block's longs."""
-    h = F.xxhash64(key, F.lit(1))
+def hashes(key: str) -> list[Column]:
+    """An id's hash, which chooses the block, and the one its bits come from."""
+    return [F.xxhash64(key).alias("h"), F.xxhash64(key, F.lit(1)).alias("g")]
+
 
+def bits_of(h: Column) -> list[Column]:
+    """The bits that an id sets in the longs of its block."""
     def bit(k: int) -> Column:
         place = F.shiftright(h, 5 * k).bitwiseAND(F.lit(31)) + F.lit(32 * (k % 2))
         return F.call_function("shiftleft", F.lit(1).cast("long"), place.cast("int"))
 
-    return [F.xxhash64(key).alias("h"), *[bit(2 * i).bitwiseOR(bit(2 * i + 1)).alias(f"m{i}") for i in range(WORDS)]]
+    return [bit(2 * i).bitwiseOR(bit(2 * i + 1)) for i in range(WORDS)]
+
+
+def probe(key: str) -> list[Column]:
+    """An id's hash and the bits it sets."""
+    return [F.xxhash64(key).alias("h"), *[m.alias(f"m{i}") for i, m in enumerate(bits_of(F.xxhash64(key, F.lit(1))))]]
 
 
 def describe(rows: DataFrame, path: str, writer: str, number: int, key: str, time: str) -> None:
@@ -89,6 +97,15 @@ def of_batches(rows: DataFrame, batches: list[tuple[str, int]]) -> DataFrame:
     return rows.where(reduce(lambda a, b: a | b, chosen) if chosen else F.lit(False))
 
 
+def hits(ids: DataFrame, filters: DataFrame, key: str) -> DataFrame:
+    """Writer and number of the batches whose filter has all bits of one of the ids."""
+    sizes = [r[0] for r in filters.select(BLOCKS).distinct().collect()]  # powers of two
+    probes = ids.select(*hashes(key)).withColumn(BLOCKS, F.explode(F.array(*[F.lit(s) for s in sizes]))).withColumn("block", F.pmod("h", BLOCKS))
+    # Bits are worked out after the join: an id moves as one hash and its block.
+    met = reduce(lambda a, b: a & b, [F.col(f"w{i}").bitwiseAND(m) == m for i, m in enumerate(bits_of(F.col("g")))])
+    return probes.join(filters, [BLOCKS, "block"]).where(met).select("_writer", "_batch_id").distinct()
+
+
 def possible(tables: Tables, name: str, ids: DataFrame, key: str) -> list[tuple[str, int]]:
     """The batches that may hold one of the ids."""
     known = bounds(tables, name)
@@ -96,11 +113,7 @@ def possible(tables: Tables, name: str, ids: DataFrame, key: str) -> list[tuple[
     if not known:
         return sorted(unknown)
     filters = tables.spark.read.parquet(f"{folder(tables.path(name))}/filters")
-    sizes = [r[0] for r in filters.select(BLOCKS).distinct().collect()]  # powers of two
-    probes = ids.select(*probe(key)).withColumn(BLOCKS, F.explode(F.array(*[F.lit(s) for s in sizes]))).withColumn("block", F.pmod("h", BLOCKS))
-    met = reduce(lambda a, b: a & b, [F.col(f"w{i}").bitwiseAND(F.col(f"m{i}")) == F.col(f"m{i}") for i in range(WORDS)])
-    hits = probes.join(filters, [BLOCKS, "block"]).where(met).select("_writer", "_batch_id").distinct().collect()
-    found = {(r["_writer"], r["_batch_id"]) for r in hits}
+    found = {(r["_writer"], r["_batch_id"]) for r in hits(ids, filters, key).collect()}
     return sorted([*unknown, *[b for b in known if b in found]])
 
 

@@ -16,7 +16,7 @@ from prosa.operators import conversations as C
 from prosa.operators import silver as S
 from prosa.operators import gold as G
 from prosa.params import CANONICAL, Profile
-from prosa.plans.medallion import build_gold, gold_rules, gold_state, sum_rules, unheld, write_grouped
+from prosa.plans.medallion import build_gold, compared, gold_rules, gold_state, sum_rules, write_grouped
 from prosa.schemas import SOURCE_MESSAGES
 from prosa.sources.tables import BATCH, KEY, VERSION, WRITER, Tables, current
 
@@ -55,11 +55,16 @@ def stream_to_bronze(source: DataFrame, tables: Tables, checkpoint: str, every:
     """
     def write(batch: DataFrame, number: int, writer: str) -> None:
         typed = batch if profile.name == "notebook" else B.cast_timestamp(batch)
+        release = None
         if tables.exists("bronze"):
-            typed = unheld(tables, typed, profile, leave=(writer, number))
+            typed, release = compared(tables, typed, profile, leave=(writer, number))
         came = typed.withColumn("_from", F.col(ORIGIN)).drop(ORIGIN) if ORIGIN in typed.columns else typed.withColumn("_from", F.lit("stream"))
         stamped = B.stamp(B.parse_metadata(came, profile), "").withColumn("_source_file", F.col("_from")).drop("_from")
-        tables.append(stamped, "bronze", batch=number, writer=writer)
+        try:
+            tables.append(stamped, "bronze", batch=number, writer=writer)
+        finally:
+            if release:
+                release()
 
     return _start(source, write, checkpoint, every)
 
