@@ -26,10 +26,12 @@ import pandas as pd
 import regex
 from pyspark.sql import DataFrame
 
-from prosa.llm.common import shipped, small_batches
+from prosa.llm.common import give_back, shipped, small_batches
 
 REMEMBER = 250_000
 BLOCK = 500_000
+#: After so many blocks, and at the end of a task, a worker returns the memory it has freed.
+RETURN = 4
 #: White space as Unicode defines it, and the words of byte-level BPE: fixed values.
 SPACE = "".join(map(chr, (*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 WORDS = (r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^" + SPACE + r"\p{L}\p{N}]+|[" + SPACE + r"]+(?![^" + SPACE + r"])|[" + SPACE + "]+")
@@ -198,10 +200,17 @@ class Coder:
 
     def batches(self, batches: Iterable[pd.DataFrame]) -> Iterator[tuple[pd.Series, list[array]]]:
         """The doc_ids and tokens of each block of texts."""
+        done = 0
         for batch in batches:
             texts = [t or "" for t in batch["text"]]
             for a, b in blocks(texts):
                 yield batch["doc_id"].iloc[a:b], self.encode(texts[a:b])
+                done += 1
+                if done % RETURN == 0:
+                    give_back()
+        # Batches end with the task. The worker waits for another with what it remembers, not with what it has freed.
+        batch = texts = None
+        give_back()
 
     def decode(self, ids: Iterable[int]) -> str:
         return b"".join(map(self.bytes.__getitem__, ids)).decode("utf-8", "replace")

@@ -246,13 +246,18 @@ def without_words(line: str, gone: np.ndarray) -> str:
     return "".join([*out, line[at:]])
 
 
+def line_words(text: str | None) -> tuple[list[str], list[int], int, int]:
+    """The lines and their numbers of words; how many lines have words, and how many words there are."""
+    rows = (text or "").split("\n")
+    counts = [len(x.encode("utf-8", "replace").split()) for x in rows]
+    return rows, counts, sum(c > 0 for c in counts), sum(counts)
+
+
 def without(texts: pd.Series, cuts: pd.Series) -> pd.DataFrame:
     """The text without the runs of words, and what was there before and after."""
     out = []
     for text, runs in zip(texts, cuts, strict=True):
-        rows = (text or "").split("\n")
-        counts = [len(x.encode("utf-8", "replace").split()) for x in rows]
-        n, total = sum(c > 0 for c in counts), sum(counts)
+        rows, counts, n, total = line_words(text)
         if runs is None or not len(runs):
             out.append((text, n, 0, total, total))
             continue
@@ -286,17 +291,30 @@ def line_dedup(docs: DataFrame, least: int = MIN_WORDS, keep: tuple[str, ...] =
     bit, one = bit_of("_key")
     cells = cuts.select(key.alias("_key")).groupBy(F.shiftright(bit, 6).alias("cell")).agg(F.bit_or(one).alias("bits")).toPandas()
     shared = docs.sparkSession.sparkContext.broadcast(filled(cells, "bits"))
-    may_lose = F.pandas_udf(lambda k: pd.Series(in_map(shared.value, k.to_numpy(np.int64).view(np.uint64))), "boolean")
+
+    def lose(k: pd.Series) -> np.ndarray:
+        return in_map(shared.value, k.to_numpy(np.int64).view(np.uint64))
+
+    def look(k: pd.Series, texts: pd.Series) -> pd.DataFrame:
+        may = lose(k)
+        counts = [(0, 0) if m else line_words(t)[2:] for m, t in zip(may, texts, strict=True)]
+        return pd.DataFrame(counts, columns=["n_lines", "n_words"]).assign(may=may)
+
+    may_lose = F.pandas_udf(lambda k: pd.Series(lose(k)), "boolean")
+    # One Python step for each stage: every further one is one more Python process for each core. So texts that lose nothing
+    # are counted where that is seen (as nondeterministic, else the filter would run it again), and the others are shuffled.
+    looked = F.pandas_udf(look, "struct<n_lines int, n_words int, may boolean>").asNondeterministic()
     cut = F.pandas_udf(without, "struct<text string, n_lines int, n_deleted int, n_words int, n_words_left int>")
     rows = docs.select(*[F.col(c).alias(f"_{c}") for c in keep], "doc_id", "text", F.xxhash64("text").alias("th"))
-    rows = rows.select("*", may_lose(key).alias("_may"))
     held = [f"_{c}" for c in keep]
     c = cuts.select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"), "cuts")
-    moved = rows.where("_may").join(c, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("th") == F.col("_th")), "left")
-    rest = rows.where("not _may").select(*held, "doc_id", "text", F.lit(None).cast("array<long>").alias("cuts"))
-    both = rest.unionByName(moved.select(*held, "doc_id", "text", "cuts"))
-    out = both.select("doc_id", *held, cut("text", "cuts").alias("_out"))
-    return out.select("doc_id", *[F.col(f"_{c}").alias(c) for c in keep], "_out.*")
+    moved = rows.where(may_lose(key)).join(
+        c.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("th") == F.col("_th")), "left")
+    moved = moved.select("doc_id", *held, cut("text", "cuts").alias("_out")).select("doc_id", *held, "_out.*")
+    rest = rows.select("*", looked(key, "text").alias("_seen")).where("not _seen.may").select(
+        "doc_id", *held, "text", "_seen.n_lines", F.lit(0).alias("n_deleted"), "_seen.n_words", F.col("_seen.n_words").alias("n_words_left"))
+    out = rest.unionByName(moved)
+    return out.select("doc_id", *[F.col(f"_{c}").alias(c) for c in keep], "text", "n_lines", "n_deleted", "n_words", "n_words_left")
 
 
 shipped(__name__)
