@@ -105,9 +105,18 @@ def new_rows(incoming: DataFrame, existing: DataFrame, latest: Column | None = N
     )
 
 
-def compared_ids(incoming: DataFrame, existing: DataFrame) -> DataFrame:
-    """Each id of ``incoming`` once, and whether ``existing`` holds it (``_held``). Only ids are moved."""
-    ids = incoming.select("message_id").where(F.col("message_id").isNotNull()).distinct()
+def compared_ids(incoming: DataFrame, existing: DataFrame, many: bool = False) -> DataFrame:
+    """Each id of ``incoming`` once, and whether ``existing`` holds it (``_held``). Only ids are moved.
+
+    ``many``: incoming ids are too many to be sent to every task. Then both sides are shuffled in any case, and one grouping
+    of all ids tells what is held: no side is sorted. Few ids meet the table where it is.
+    """
+    ids = incoming.select("message_id").where(F.col("message_id").isNotNull())
+    if many:
+        both = ids.withColumn("_old", F.lit(False)).unionByName(existing.select("message_id", F.lit(True).alias("_old")))
+        flags = both.groupBy("message_id").agg(F.min("_old").alias("_only"), F.max("_old").alias("_held"))
+        return flags.where(~F.col("_only")).select("message_id", "_held")
+    ids = ids.distinct()
     held = (existing.select("message_id").join(ids, "message_id", "left_semi").distinct()
             .withColumn("_held", F.lit(True)))
     return ids.join(held, "message_id", "left").select("message_id", F.col("_held").isNotNull().alias("_held"))

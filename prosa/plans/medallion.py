@@ -14,6 +14,9 @@ from prosa.params import CANONICAL, Profile
 from prosa.sources import skipping
 from prosa.sources.tables import KEY, Tables, read_source
 
+#: Above so many incoming ids, all ids are grouped; up to here they are joined, and Spark may send them to every task.
+MANY = 50_000
+
 
 def ingest(tables: Tables, source_path: str, mode: str = "auto", profile: Profile = CANONICAL,
            schema=None) -> dict[str, Any]:
@@ -80,12 +83,17 @@ def compared(tables: Tables, incoming: DataFrame, profile: Profile = CANONICAL,
     if profile.name == "notebook" or tables.fmt == "delta" or not tables.batches("bronze"):
         return unheld(tables, incoming, profile, leave), lambda: None
     late, latest = earlier(tables, incoming, leave)
-    ids = B.compared_ids(late, tables.possible("bronze", late.select("message_id"), leave)).persist()
+    many = late.select("message_id").limit(MANY + 1).count() > MANY
+    ids = B.compared_ids(late, tables.possible("bronze", late.select("message_id"), leave), many).persist()
     total, known = ids.agg(F.count(F.lit(1)), F.count_if("_held")).first()
     held = 2 * known <= total
     shorter = ids.where(F.col("_held") if held else ~F.col("_held")).select("message_id").persist()
-    shorter.count()
+    listed = shorter.count()
     ids.unpersist()
+    if not held and not listed:
+        # Nothing is new but what is later or has no id: two columns tell whether there is any.
+        rest = (F.col("timestamp") > latest) | F.col("message_id").isNull()
+        incoming = incoming.where(F.lit(False) if incoming.where(rest).isEmpty() else rest)
     return B.rows_by_ids(incoming, shorter, held, latest), lambda: shorter.unpersist()
 
 

@@ -21,6 +21,8 @@ if TYPE_CHECKING:
 
 BITS, BLOCK, WORDS = 32, 256, 4
 BLOCKS = "_blocks"
+#: How many ids are looked up before all are: a load of much that is held mostly finds its batches by these.
+FIRST = 4096
 
 
 def folder(path: str) -> str:
@@ -113,7 +115,10 @@ def possible(tables: Tables, name: str, ids: DataFrame, key: str) -> list[tuple[
     if not known:
         return sorted(unknown)
     filters = tables.spark.read.parquet(f"{folder(tables.path(name))}/filters")
-    found = {(r["_writer"], r["_batch_id"]) for r in hits(ids, filters, key).collect()}
+    found = {(r["_writer"], r["_batch_id"]) for r in hits(ids.limit(FIRST), filters, key).collect()}
+    left = [b for b in known if b not in found]
+    if left:  # these alone meet all ids
+        found |= {(r["_writer"], r["_batch_id"]) for r in hits(ids, of_batches(filters, left), key).collect()}
     return sorted([*unknown, *[b for b in known if b in found]])
 
 
